@@ -31,6 +31,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents with the items found in them."""
+    from . import decontaminate
+
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter
 
@@ -46,6 +53,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
+    import public_tokenizers
+
+    from . import tokenfiles
+
+    manifest = tokenfiles.write_token_files(documents(spark, sf_dir), public_tokenizers.path(tokenizer), end_id)
+    read = tokenfiles.read_token_files(manifest)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    from . import ann
+
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % every == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
@@ -58,15 +82,76 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def _digests(docs: DataFrame, ranks: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    where = public_tokenizers.path(ranks), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *where).select("doc_id", "ids"), *where)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    return _digests(documents(spark, sf_dir), ranks)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    from . import quality
+
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).filter("predicted = 1").select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    from . import simhash
+
+    return simhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with words of repeated windows cut from their texts and n_chars as it is then."""
+    from . import substring
+
+    kept = substring.remove_repeats(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    from . import decontaminate
+
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of every document that is left."""
+    return _digests(docs, "byte_bpe_multi_50k.tiktoken")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_token_files": op5_token_files,
+    "op6_nearest": op6_nearest,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
-
-STAGES: list = []

@@ -72,6 +72,16 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of these spans of bytes, from differences of one running sum."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(max(21, len(data).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of a slice: where they are, whose they are, and a 64-bit hash of each."""
 
@@ -94,12 +104,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(max(21, int(len(self.data)).bit_length()))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends)
 
     def document(self) -> np.ndarray:
         """The number of each word's document in the slice."""
