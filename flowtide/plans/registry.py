@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "enriched_flow_records"
+from . import packet_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(packet_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(packet_queries.SQL)
+FLAGSHIP = "interval_records"
