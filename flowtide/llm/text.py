@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 20) - 1
 SLICE_DOCS = 4096
 
 U = np.uint64
@@ -76,7 +76,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each of these spans of bytes, from differences of one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(21, len(data).bit_length()))
+    up, down = _powers(max(20, len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
