@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packet_queries
+from . import inventory_queries, packet_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(packet_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(packet_queries.SQL)
-FLAGSHIP = "interval_records"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = packet_queries.QUERIES | inventory_queries.QUERIES
+ORACLE_SQL: dict[str, str] = packet_queries.SQL | inventory_queries.SQL
+FLAGSHIP = "enriched_flows"
