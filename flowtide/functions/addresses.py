@@ -47,11 +47,11 @@ def in_networks(address: Column, texts: list[str]) -> Column:
     return found
 
 
-def key_ports(protocol: Column, source: Column, target: Column, icmp_type: Column | None = None, icmp_code: Column | None = None) -> tuple[Column, Column, Column]:
-    """The ports that a flow's identity takes, and whether it is one-way.
+def key_ports(protocol: Column, source: Column, target: Column, icmp_type: Column | None = None, icmp_code: Column | None = None) -> tuple[Column, Column]:
+    """The ports that a flow's identity takes.
 
-    TCP, UDP and SCTP have theirs. An ICMP type stands with the type that answers it; one without an answer
-    stands with its code and is one-way. All else has zeros.
+    TCP, UDP and SCTP have theirs. An ICMP type stands with the type that answers it, or with its code if
+    none does, so that it isn't the same the other way round. All else has zeros.
     """
     zero, icmp = F.lit(0), protocol.isin(ICMP, ICMPV6)
     type_, code = (icmp_type, icmp_code) if icmp_type is not None else (source, target)
@@ -59,13 +59,12 @@ def key_ports(protocol: Column, source: Column, target: Column, icmp_type: Colum
     plain = protocol.isin(TCP, UDP, SCTP)
     first = F.when(plain, source).when(icmp, type_).otherwise(zero).cast("int")
     second = F.when(plain, target).when(icmp, F.coalesce(answer, code)).otherwise(zero).cast("int")
-    return first, second, icmp & answer.isNull()
+    return first, second
 
 
-def community_id(source_ip: Column, target_ip: Column, source_port: Column, target_port: Column, protocol: Column, one_way: Column | None = None, seed: int = 0) -> Column:
-    """Community ID v1 from the key ports; equal in both directions unless one-way."""
+def community_id(source_ip: Column, target_ip: Column, source_port: Column, target_port: Column, protocol: Column, seed: int = 0) -> Column:
+    """Community ID v1 from the key ports."""
     swap = (source_ip > target_ip) | ((source_ip == target_ip) & (source_port > target_port))
-    swap = swap if one_way is None else swap & ~one_way
     two = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
     pick = lambda a, b: F.when(swap, b).otherwise(a)
     head = F.unhex(F.lpad(F.hex(protocol), 2, "0"))
@@ -76,9 +75,9 @@ def community_id(source_ip: Column, target_ip: Column, source_port: Column, targ
 def with_key(packets: DataFrame) -> DataFrame:
     """Adds the normalised flow key (a_ip, a_port, b_ip, b_port) and a_to_b: whether the packet runs that way."""
     icmp = (F.col("icmp_type"), F.col("icmp_code")) if "icmp_type" in packets.columns else (None, None)
-    first, second, one_way = key_ports(F.col("proto"), F.col("src_port"), F.col("dst_port"), *icmp)
-    packets = packets.withColumns({"key_src_port": first, "key_dst_port": second, "one_way": F.coalesce(one_way, F.lit(False))})
-    swap = ((F.col("src_ip") > F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("key_src_port") > F.col("key_dst_port")))) & ~F.col("one_way")
+    first, second = key_ports(F.col("proto"), F.col("src_port"), F.col("dst_port"), *icmp)
+    packets = packets.withColumns({"key_src_port": first, "key_dst_port": second})
+    swap = (F.col("src_ip") > F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("key_src_port") > F.col("key_dst_port")))
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     keys = {"a_ip": pick("src_ip", "dst_ip"), "a_port": pick("key_src_port", "key_dst_port"), "b_ip": pick("dst_ip", "src_ip"), "b_port": pick("key_dst_port", "key_src_port"), "a_to_b": ~swap}
     return packets.withColumns(keys).drop("key_src_port", "key_dst_port")
@@ -89,4 +88,4 @@ KEY = ["a_ip", "a_port", "b_ip", "b_port", "proto"]
 
 def key_id(seed: int = 0) -> Column:
     """Community ID of the normalised key."""
-    return community_id(F.col("a_ip"), F.col("b_ip"), F.col("a_port"), F.col("b_port"), F.col("proto"), F.lit(True), seed)
+    return community_id(F.col("a_ip"), F.col("b_ip"), F.col("a_port"), F.col("b_port"), F.col("proto"), seed)
