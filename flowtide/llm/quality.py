@@ -64,9 +64,9 @@ class Adam:
         w -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 1500, batch: int = 256, l2: float = 1e-5) -> np.ndarray:
+def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 2500, batch: int = 256, l2: float = 1e-5) -> np.ndarray:
     """Weights and bias, by batches. With a prior: the non-negative risk; without: positives against unlabelled."""
-    w, scale = np.zeros(N_FEATURES + 1, np.float32), np.float32(8)
+    w, scale = np.zeros(positive.shape[1] + 1, np.float32), np.float32(8)
     adam, draw = Adam(len(w), 0.05), np.random.default_rng(11)
     for step in range(steps):
         adam.rate = 0.05 * (1 - step / steps)
@@ -98,20 +98,28 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def fit(batches) -> bytes:
-    parts: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    empty = np.zeros((0, N_FEATURES), np.float16)
+    parts: dict[bool, list[np.ndarray]] = {True: [empty], False: [empty]}
     for batch in batches:
-        marks = np.array(batch.column("positive").to_pylist(), bool)
-        x = np.concatenate([*all_features(batch.column("text")), np.zeros((0, N_FEATURES), np.float32)])
-        for kind in parts:
-            parts[kind].append(x[marks == kind])
-    p, u = (np.concatenate([*parts[kind], np.zeros((0, N_FEATURES), np.float32)]) for kind in (True, False))
+        marks, first = np.array(batch.column("positive").to_pylist(), bool), 0
+        for x in all_features(batch.column("text")):  # half precision: shares of trigrams need no more
+            own = marks[first : first + len(x)]
+            first += len(x)
+            for kind in parts:
+                parts[kind].append(x[own == kind].astype(np.float16))
+    p, u = (np.concatenate(parts.pop(kind)) for kind in (True, False))
     if not len(p):
         return np.zeros(N_FEATURES + 1).tobytes()
     if len(u) < 10:
         u = np.concatenate([u, p])
+    used = np.flatnonzero(p.any(0) | u.any(0))
+    p, u = (x[:, used].astype(np.float32) for x in (p, u))
     first = descend(p[::2], u[::2], None, steps=600)
     prior = class_prior(p[1::2] @ first[:-1], u[1::2] @ first[:-1]) if len(p) > 20 and len(u) > 20 else 0.5
-    return descend(p, u, prior).tobytes()
+    weights = descend(p, u, prior)
+    out = np.zeros(N_FEATURES + 1)
+    out[used], out[-1] = weights[:-1], weights[-1]
+    return out.tobytes()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> bytes:

@@ -4,9 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_SHARDS = 40
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of whole texts that Spark hands to a Python worker at a time (by default 10,000)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -109,6 +116,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate component."""
     from . import simhash
 
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -116,6 +124,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, with words of repeated windows cut from their texts and n_chars as it is then."""
     from . import substring
 
+    bound_batches(spark)
     kept = substring.remove_repeats(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(docs.columns)
@@ -130,6 +139,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of every document that is left."""
+    bound_batches(spark)
     return _digests(docs, "byte_bpe_multi_50k.tiktoken")
 
 

@@ -48,7 +48,7 @@ def fit(batches) -> bytes:
         data, offsets = utf8(batch.column("text"))
         for i in range(len(offsets) - 1):
             part = data[offsets[i] : offsets[i + 1]]
-            rows.append(np.unique(features(part, np.array([0, len(part)]))[0]))
+            rows.append(np.unique(features(part, np.array([0, len(part)]))[0]).astype(np.int32))
     z, n = np.zeros(1 + (1 << BITS)), np.zeros(1 + (1 << BITS))
     bias = 1 << BITS
     order = np.random.default_rng(7)
