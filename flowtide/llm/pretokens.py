@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from .text import gather, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-MOST_PIECES = 1_000_000
+MOST_PIECES = 500_000
 
 
 @lru_cache(maxsize=1)
