@@ -12,7 +12,7 @@ DAY_NS = 86_400_000_000_000
 
 
 def span_name(network_type: Column, proto: Column) -> Column:
-    transport = F.when(proto == 58, "icmpv6").otherwise(protocol_name(proto))
+    transport = protocol_name(proto)
     return F.when(network_type == "arp", "flow_arp").otherwise(F.concat_ws("_", F.lit("flow"), network_type, transport))
 
 
