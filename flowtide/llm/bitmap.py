@@ -5,6 +5,7 @@ Its size is a parameter and does not depend on the data, which makes it safe to
 """
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,14 @@ class Bitmap:
         for number, row in rows:
             self.bytes[(number - 1) * 4096 : number * 4096] = np.frombuffer(row, np.uint8)
 
+    def __getstate__(self) -> dict:
+        """It travels compressed: a bitmap that is far from full is mostly zeros."""
+        return {"bits": self.bits, "packed": zstandard.ZstdCompressor(level=1).compress(self.bytes.tobytes())}
+
+    def __setstate__(self, state: dict) -> None:
+        self.bits = state["bits"]
+        self.bytes = np.frombuffer(zstandard.ZstdDecompressor().decompress(state["packed"]), np.uint8)
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -125,15 +125,19 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of docs and ids: little-endian unsigned 32-bit integers."""
-    docs, schema = extended(docs, "ids binary")
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """The columns of docs and ids (little-endian unsigned 32-bit integers); with decoded, also what they decode to."""
+    docs, schema = extended(docs, "ids binary" + ", decoded binary" * decoded)
+    names = docs.columns
 
     def task(batches):
-        encoder = codec(path, pattern)
+        coder = codec(path, pattern)
         for batch in batches:
-            ids = [np.array(encoder.encode(text or ""), "<u4").tobytes() for text in map(pa.StringScalar.as_py, batch.column("text"))]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in schema.names[:-1]} | {"ids": pa.array(ids, pa.binary())})
+            ids = [coder.encode(text or "") for text in map(pa.StringScalar.as_py, batch.column("text"))]
+            columns = {c: batch.column(c) for c in names} | {"ids": pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(map(coder.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(task, schema)
 

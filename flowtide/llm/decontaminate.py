@@ -15,10 +15,11 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap, bitmap
+from .bitmap import bitmap
 from .storage import materialize
 from .text import LOWER, NOT_TERM, Words, grams, slices, utf8
 
@@ -57,7 +58,7 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, k: int = MIN_TILE) -> list[tu
     return out
 
 
-def seeds(rows: DataFrame, id_column: str, known: Bitmap | None) -> DataFrame:
+def seeds(rows: DataFrame, id_column: str, known: Broadcast | None) -> DataFrame:
     """id, text_hash, n (terms of the text), at and seed for all seeds, or for those that may be known."""
 
     def task(batches):
@@ -67,7 +68,7 @@ def seeds(rows: DataFrame, id_column: str, known: Bitmap | None) -> DataFrame:
                 words = Words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], NOT_TERM)
                 seed = grams(words.hashes(), MIN_TILE)
                 ok = words.left()[: len(seed)] >= MIN_TILE
-                at = np.flatnonzero(ok if known is None else ok & known.holds(seed))
+                at = np.flatnonzero(ok if known is None else ok & known.value.holds(seed))
                 document = np.searchsorted(words.first, at, "right") - 1
                 row = pa.array(document + i)
                 columns = {"id": batch.column("id").take(row), "text_hash": batch.column("text_hash").take(row), "n": pa.array(words.counts[document].astype(np.int32))}
@@ -79,7 +80,7 @@ def seeds(rows: DataFrame, id_column: str, known: Bitmap | None) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each contaminated pair: doc_id, text_hash, item_id, coverage, n_tiles, longest_tile, first_term, end_term."""
     known = materialize(seeds(benchmark, "item_id", None).distinct(), "seeds")
-    mine = seeds(docs, "doc_id", bitmap(known, "seed", FILTER_BITS))
+    mine = seeds(docs, "doc_id", docs.sparkSession.sparkContext.broadcast(bitmap(known, "seed", FILTER_BITS)))
     item = known.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("n").alias("item_terms"), F.col("at").alias("item_at"), "seed")
     pair = ["doc_id", "text_hash", "item_id", "item_hash", "item_terms"]
     shared = mine.select(F.col("id").alias("doc_id"), "text_hash", F.col("at").alias("doc_at"), "seed").join(item, "seed")

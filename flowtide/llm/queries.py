@@ -94,8 +94,7 @@ def _digests(docs: DataFrame, ranks: str) -> DataFrame:
 
     from . import bpe
 
-    where = public_tokenizers.path(ranks), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *where).select("doc_id", "ids"), *where)
+    coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(ranks), public_tokenizers.PATTERN, decoded=True)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -164,4 +163,18 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM lists),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
+repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN repeated USING (s), (SELECT unnest(range(0, 35)) AS k) AS offsets),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM lists),
+kept AS (
+  SELECT words.doc_id, count(*) AS n_words, count(covered.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (covered.pos IS NULL), '') AS text
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id AND covered.pos = words.pos GROUP BY words.doc_id
+)
+SELECT lists.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM lists LEFT JOIN kept ON kept.doc_id = lists.doc_id
+""",
+}

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ MIN_WORDS, ANCHOR = 35, 8
 #: Symbols of a window's pattern in the FM-index.
 PATTERN = 5
 FILTER_BITS, HOT_BITS = 28, 24
-HOT_COUNT, SHARD_SEGMENTS = 10_000, 10_000
+HOT_COUNT, SHARD_SEGMENTS = 10_000, 4_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,14 +94,14 @@ def anchor_counts(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def segments(docs: DataFrame, min_words: int, repeated: Bitmap, hot: Bitmap | None, content: bool) -> DataFrame:
+def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast, content: bool) -> DataFrame:
     """Segments that may repeat: with their content, or else with the hash of it and where they are."""
 
     def task(batches):
         for batch in batches:
             for i, j, words in _slices(batch):
-                found = Segments(words, min_words, hot)
-                chosen = np.flatnonzero(found.again | repeated.holds(found.anchors))
+                found = Segments(words, min_words, hot.value)
+                chosen = np.flatnonzero(found.again | repeated.value.holds(found.anchors))
                 starts, lengths = found.starts[chosen], found.lengths[chosen]
                 buffer, at = words.joined()
                 begins, ends = at[starts], at[starts + lengths] - 1
@@ -156,8 +157,9 @@ def repeated_intervals(table: pa.Table, min_words: int) -> pa.RecordBatch:
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, low, high): word intervals to remove, in documents with columns text, id and text_hash."""
     counts = materialize(anchor_counts(docs, min_words).filter("n > 1"), "anchors")
-    repeated = bitmap(counts, "anchor", FILTER_BITS)
-    hot = bitmap(counts.filter(F.col("n") > HOT_COUNT), "anchor", HOT_BITS)
+    send = docs.sparkSession.sparkContext.broadcast
+    repeated = send(bitmap(counts, "anchor", FILTER_BITS))
+    hot = send(bitmap(counts.filter(F.col("n") > HOT_COUNT), "anchor", HOT_BITS))
     n_shards = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SHARD_SEGMENTS))
     distinct = segments(docs, min_words, repeated, hot, True).groupBy("anchor", "content").agg(F.count("*").alias("n"))
     sharded = distinct.withColumn("hash", F.xxhash64("content")).repartitionById(n_shards, F.pmod("anchor", F.lit(n_shards)).cast("int"))

@@ -113,6 +113,8 @@ def test_damage_is_found(spark, tmp_path):
 def test_bpe_rows(spark):
     df = spark.createDataFrame([(None, None, "a", 0.0), (1, "", "a", 0.0), (2, "Straße 中 " * 10, "a", 0.0), (2, "Straße 中 " * 10, "a", 0.0)], SCHEMA)
     coded = bpe.decode(bpe.encode(df, MULTI, P.PATTERN), MULTI, P.PATTERN)
+    both = bpe.encode(df, MULTI, P.PATTERN, decoded=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, coded.collect()))
     assert coded.columns == ["doc_id", "text", "start", "ids", "decoded"]
     for x in coded.collect():
         assert bytes(x.decoded) == (x.text or "").encode()
