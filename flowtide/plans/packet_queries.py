@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.addresses import KEY, key_id, to_text, with_key
 from ..operators import direction, flows, metrics
-from ..sources.packets import EVENTS, LINES, flow_snapshots_sql
+from ..sources.packets import EVENTS, LINES, flow_snapshots_sql, with_wall_clock
 from . import sqltext as S
 
 QUERIES, SQL = {}, {}
@@ -223,3 +223,25 @@ def flows_over_bytes(spark, sf_dir):
 def reset_flows(spark, sf_dir):
     tags = names.flag_tags(F.col("tcp_flags"))
     return line_flows(spark, sf_dir).filter(F.array_contains(tags, "rst")).select("community_id", "host", "last_ns")
+
+
+_BOOTS = "SELECT CAST(i AS INT) AS host, 1700000000000000000 + i * 1000 AS boot_ns FROM (VALUES (0), (1), (2), (3)) AS t(i)"
+
+
+@query(f"WITH {LINES.cte()}, boots AS ({_BOOTS}) SELECT host, direction, min(ts_ns + boot_ns) AS first_wall_ns, max(ts_ns + boot_ns) AS last_wall_ns FROM packets JOIN boots USING (host) GROUP BY ALL")
+def wall_clock(spark, sf_dir):
+    """When each host first and last saw packets, by wall clock."""
+    timed = with_wall_clock(LINES.read(spark, sf_dir), spark.sql(_BOOTS))
+    return timed.groupBy("host", "direction").agg(F.min("wall_ns").alias("first_wall_ns"), F.max("wall_ns").alias("last_wall_ns"))
+
+
+@query(
+    f"""WITH {S.RECORDS}, k AS (SELECT *, CASE WHEN proto = 6 AND src_port >= 32768 AND dst_port < 32768 THEN 'CLIENT' WHEN proto = 6 AND src_port < 32768 AND dst_port >= 32768 THEN 'SERVER' ELSE 'INTERNAL' END AS kind FROM records)
+SELECT kind, CAST(sum(CASE WHEN kind = 'SERVER' THEN wait_sum_ns END) AS BIGINT) AS service, CAST(sum(CASE WHEN kind = 'CLIENT' THEN wait_sum_ns END) AS BIGINT) AS round_trip, count(*) AS records FROM k GROUP BY ALL"""
+)
+def latency_by_kind(spark, sf_dir):
+    """Waits of transactions as service time where the source serves, and as round trips where it asks."""
+    records = flows.interval_records(folded_events(spark, sf_dir))
+    kind = F.when(F.col("proto") == 6, F.coalesce(direction.by_ports(F.col("src_port"), F.col("dst_port")), F.lit(direction.INTERNAL))).otherwise(direction.INTERNAL)
+    split = direction.split_latency(F.col("kind"), F.col("wait_sum_ns"))
+    return records.withColumn("kind", kind).groupBy("kind").agg(*[F.sum(c).alias(k) for k, c in split.items()], F.count("*").alias("records"))

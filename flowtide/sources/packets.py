@@ -111,3 +111,8 @@ def flow_snapshots_sql(step_ns: int = 5_000_000_000) -> str:
   SELECT conn, poll_ns, sum(fwd) OVER w AS fwd_packets, sum(rev) OVER w AS rev_packets, sum(fwd_len) OVER w AS fwd_bytes, sum(rev_len) OVER w AS rev_bytes
   FROM steps WINDOW w AS (PARTITION BY conn ORDER BY poll_ns ROWS UNBOUNDED PRECEDING)
 )"""
+
+
+def with_wall_clock(packets: DataFrame, boots: DataFrame) -> DataFrame:
+    """Adds wall_ns from hosts' boot times (host, boot_ns); one row a host, joined by Spark's choice."""
+    return packets.join(boots.select("host", "boot_ns"), "host", "left").withColumn("wall_ns", F.col("ts_ns") + F.col("boot_ns")).drop("boot_ns")
