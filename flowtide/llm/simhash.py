@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, distance: int = DISTA
     ids = linked.groupBy("root").agg(F.min("own_id").alias("component_id"))
     of_linked = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
     of_all = own.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "own_id").alias("component_id"))
+    of_all = materialize(of_all, "components")  # so that the next join stands alone and AQE can split a hot fingerprint
     return fps.join(of_all, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
