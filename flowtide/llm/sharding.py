@@ -21,6 +21,8 @@ from .storage import shared_folder
 #: Bytes of text that a bucket aims at; a bucket is held in one task's memory.
 BUCKET_BYTES = 32 << 20
 ROW_BYTES = 16
+#: Rows of 12 bytes, one a bucket, that may be broadcast; with more, the manifest is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 SEED = 20240601
 
 
@@ -51,4 +53,5 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, text: str = "text", buck
     low = place < edge
     shard = F.when(low, F.floor(place / (small + 1))).otherwise(larger + F.floor((place - edge) / max(small, 1)))
     slot = F.when(low, place % (small + 1)).otherwise((place - edge) % max(small, 1))
+    manifest = F.broadcast(manifest) if n_buckets <= MOST_BROADCAST else manifest
     return written.join(manifest, "bucket").select("row.*", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
