@@ -87,9 +87,11 @@ def tcp_timing(packets: DataFrame, order: list[str]) -> DataFrame:
     keyed = with_key(packets.filter(F.col("proto") == TCP)).select("host", *KEY, *[c for c in order if c != "ts_ns"], "ts_ns", "a_to_b", "has_payload", "tcp_flags")
     syn = F.when(tcp.has(F.col("tcp_flags"), tcp.SYN) & ~tcp.has(F.col("tcp_flags"), tcp.ACK), F.col("ts_ns"))
     syn_ack = F.when(tcp.has(F.col("tcp_flags"), tcp.SYN | tcp.ACK), F.col("ts_ns"))
-    payload = Window.partitionBy("host", *KEY, "has_payload").orderBy(*order)
-    turned = F.col("has_payload") & (F.lag("a_to_b").over(payload) != F.col("a_to_b"))
-    waits = keyed.withColumn("wait", F.when(turned, F.col("ts_ns") - F.lag("ts_ns").over(payload)))
+    # The payload packet before: one window on the flow key, whose shuffle the aggregate below uses again.
+    earlier = Window.partitionBy("host", *KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("has_payload"), F.struct("ts_ns", "a_to_b")), ignorenulls=True).over(earlier)
+    turned = F.col("has_payload") & (F.col("before.a_to_b") != F.col("a_to_b"))
+    waits = keyed.withColumn("before", before).withColumn("wait", F.when(turned, F.col("ts_ns") - F.col("before.ts_ns")))
     out = waits.groupBy("host", *KEY).agg(F.max(syn).alias("syn_ns"), F.max(syn_ack).alias("syn_ack_ns"), F.coalesce(F.sum("wait"), F.lit(0)).alias("latency_sum_ns"), F.count("wait").alias("transactions"))
     handshake = F.when(F.col("syn_ns").isNotNull() & F.col("syn_ack_ns").isNotNull(), F.greatest(F.col("syn_ack_ns") - F.col("syn_ns"), F.lit(0)))
     mean = F.when(F.col("transactions") > 0, F.expr("latency_sum_ns DIV transactions"))
