@@ -113,8 +113,13 @@ class TokenReader:
             i = j
 
 
+def file_system(path: str):
+    """Arrow's file system of a path; what Hadoop calls s3a is its s3."""
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def open_file(path: str, write: bool = False):
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = file_system(path)
     return system.open_output_stream(at, compression=None) if write else system.open_input_file(at)
 
 
@@ -128,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, file_bytes:
     ordered = keyed.repartitionByRange(n_files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
 
     def task(batches):
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         part, encoder, writer, n_tokens = TaskContext.get().partitionId(), piece_encoder(tokenizer), None, 0
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
