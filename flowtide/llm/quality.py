@@ -5,7 +5,8 @@ class prior is estimated from how a first positive-against-unlabelled model rank
 a linear model minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
 Features are the shares of the trigrams of 16 byte classes (letters by case, digits, single marks, ...),
-which take the whole text and no words, so that they carry over between languages.
+and how many words repeat the one up to four words before. They take the whole text and no vocabulary, so
+that they carry over between languages.
 
 Training reads a bounded sample (``MOST_POSITIVES`` and ``MOST_UNLABELLED`` documents, lowest hashes of
 doc_id first); scoring reads all rows. Defined results: null and empty texts have no trigrams and get the
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import extended
-from .text import slices, utf8
+from .text import Words, slices, utf8
 from .training import first_by_hash, fold, labelled_texts, train
 
 MOST_POSITIVES, MOST_UNLABELLED = 4000, 6000
 FOLDS = 5
 THRESHOLD = 0.3
-N_FEATURES = 16**3
+N_TRIGRAMS = 16**3
+#: Shares of words that repeat the word 1 to 4 before reach these steps or not; each is a feature of this weight.
+GAPS, STEPS, WEIGHT = 4, np.array([0.01, 0.03, 0.06, 0.12, 0.25, 0.5, 0.8]), 0.3
+N_FEATURES = N_TRIGRAMS + GAPS * len(STEPS)
 
 _CLASS = np.full(256, 15, np.uint16)  # other marks; below: letters, digits, white space and marks of their own
 for _number, _members in enumerate([range(97, 123), range(65, 91), range(48, 58), b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!?", b"|", b"*#$%&@", b"'\"`", b"-_/\\:;", b"()[]{}<>=+~^", range(128, 256)]):
@@ -33,14 +37,21 @@ for _number, _members in enumerate([range(97, 123), range(65, 91), range(48, 58)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each document the square roots of its trigrams' shares: rows of length 1, or 0 without a trigram."""
+    """A row for each document: square roots of trigrams' shares, then steps of repetition; all 0 without text."""
     n = len(offsets) - 1
     kind = _CLASS[data].astype(np.int64)
     codes = kind[:-2] * 256 + kind[1:-1] * 16 + kind[2:] if len(kind) > 2 else np.zeros(0, np.int64)
     document = np.repeat(np.arange(n), np.diff(offsets))
     inside = document[: len(codes)] == document[2 : len(codes) + 2]
-    counts = np.bincount(document[: len(codes)][inside] * N_FEATURES + codes[inside], minlength=n * N_FEATURES).reshape(n, N_FEATURES)
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+    counts = np.bincount(document[: len(codes)][inside] * N_TRIGRAMS + codes[inside], minlength=n * N_TRIGRAMS).reshape(n, N_TRIGRAMS)
+    parts = [np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)]
+    words = Words(data, offsets)
+    h, of = words.hashes(), words.document()
+    for gap in range(1, GAPS + 1):
+        again = np.flatnonzero((h[gap:] == h[:-gap]) & (of[gap:] == of[:-gap]))
+        share = np.bincount(of[again], minlength=n) / np.maximum(words.counts, 1)
+        parts.append(WEIGHT * (share[:, None] >= STEPS).astype(np.float32))
+    return np.hstack(parts)
 
 
 def all_features(column: pa.Array):
@@ -64,7 +75,7 @@ class Adam:
         w -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 2500, batch: int = 256, l2: float = 1e-5) -> np.ndarray:
+def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 5000, batch: int = 256, l2: float = 1e-5) -> np.ndarray:
     """Weights and bias, by batches. With a prior: the non-negative risk; without: positives against unlabelled."""
     w, scale = np.zeros(positive.shape[1] + 1, np.float32), np.float32(8)
     adam, draw = Adam(len(w), 0.05), np.random.default_rng(11)
@@ -87,14 +98,16 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among unlabelled rows, from scores of rows that the scorer wasn't trained on.
 
     Above a threshold lie a share of the unlabelled rows, at least prior times that of the positives; the
-    lowest ratio over thresholds, each with its sampling error added, bounds the prior.
+    lowest ratio over thresholds, each with its sampling error added, bounds the prior from above. It is
+    lowered by its standard error: too high a prior would stop the non-negative risk before it has fitted.
     """
     cuts = np.unique(np.quantile(positive, np.linspace(0.0, 0.9, 40)))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     error = np.sqrt(1 / len(unlabelled)) + np.sqrt(1 / len(positive))
     best = np.argmin((u + error) / np.maximum(p, 1e-9))
-    return float(np.clip(u[best] / max(p[best], 1e-9), 0.05, 0.98))
+    deviation = np.sqrt(u[best] * (1 - u[best]) / len(unlabelled))
+    return float(np.clip((u[best] - deviation) / max(p[best], 1e-9), 0.05, 0.98))
 
 
 def fit(batches) -> bytes:
