@@ -24,7 +24,7 @@ MOST_ROWS = 8000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 BITS = 20
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 8
+ALPHA, BETA, L1, L2, EPOCHS = 8.0, 1.0, 6.0, 0.0, 16
 
 U = np.uint64
 
