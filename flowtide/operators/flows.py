@@ -98,7 +98,7 @@ def tcp_timing(packets: DataFrame, order: list[str]) -> DataFrame:
     return out.select(key_id().alias("community_id"), "host", handshake.alias("handshake_ns"), "latency_sum_ns", "transactions", mean.alias("latency_mean_ns"))
 
 
-FOLDED = "session int, start_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_a_to_b boolean"
+FOLDED = "session int, start_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_a_to_b boolean, place long"
 
 
 def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Timeouts(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -117,6 +117,7 @@ def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Time
 
     def task(batches):
         last_key = last = None
+        place = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -129,8 +130,9 @@ def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Time
             out: list[tuple] = []
             rows = zip(new.tolist(), *(batch.column(c).to_pylist() for c in ("proto", "ts_ns", "tcp_flags", "egress", "a_to_b", "has_payload")))
             for begins, proto, ts, flags, egress, along, payload in rows:
+                place += 1
                 if begins:
-                    last = None
+                    last, place = None, 0
                 if last is not None:
                     session, start, seen, state, jitter, wait_sum, waits, first, payload_ts, payload_along, last_ts = last
                     idle = seconds.get(proto, t.other)
@@ -150,8 +152,8 @@ def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Time
                             jitter += off // 16 if off >= 0 else -(-off // 16)
                         payload_ts, payload_along = ts, along
                 last = session, start, seen, state, jitter, wait_sum, waits, first, payload_ts, payload_along, ts
-                out.append(last[:8])
-            folded = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))]
+                out.append((*last[:8], place))
+            folded = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *folded], names=schema.names)
 
     return placed.mapInArrow(task, schema)
@@ -162,7 +164,7 @@ def sessions(folded: DataFrame) -> DataFrame:
     forward = F.col("a_to_b") == F.col("first_a_to_b")
     grouped = folded.groupBy(*KEY, "session", "start_ns").agg(
         F.max("ts_ns").alias("end_ns"),
-        F.first("first_a_to_b").alias("first_a_to_b"),
+        F.any_value("first_a_to_b").alias("first_a_to_b"),
         F.count_if(forward).alias("fwd_packets"),
         F.count_if(~forward).alias("rev_packets"),
         F.sum(F.when(forward, F.col("len")).otherwise(0)).alias("fwd_bytes"),
@@ -175,8 +177,8 @@ def sessions(folded: DataFrame) -> DataFrame:
 
 
 def _as_of_end() -> list[Column]:
-    """What the fold says at the last packet: waits only grow with every packet that changes anything of it."""
-    at_end = F.max(F.struct("ts_ns", "waits", "wait_sum_ns", "seen", "state", "jitter_ns"))
+    """What the fold says at the last packet."""
+    at_end = F.max_by(F.struct("state", "jitter_ns", "wait_sum_ns", "waits"), "place")
     return [at_end.getField(c).alias(c) for c in ("state", "jitter_ns", "wait_sum_ns", "waits")]
 
 
@@ -195,10 +197,10 @@ def interval_records(folded: DataFrame, metadata: tuple[str, ...] = (), timeouts
     step = timeouts.record * SECOND
     numbered = folded.withColumn("interval", F.expr(f"(ts_ns - start_ns) DIV {step}"))
     side = {"fwd": forward, "rev": ~forward}
-    aggs = [F.min("ts_ns").alias("record_start_ns"), F.max("ts_ns").alias("record_end_ns"), F.first("first_a_to_b").alias("first_a_to_b"), F.max("seen").alias("tcp_flags")]
+    aggs = [F.min("ts_ns").alias("record_start_ns"), F.max("ts_ns").alias("record_end_ns"), F.any_value("first_a_to_b").alias("first_a_to_b"), F.max("seen").alias("tcp_flags")]
     for name, mine in side.items():
         aggs += [F.count_if(mine).alias(f"{name}_packets_delta"), F.sum(F.when(mine, F.col("len")).otherwise(0)).alias(f"{name}_bytes_delta")]
-        aggs += [F.min(F.when(mine, F.struct("ts_ns", m))).getField(m).alias(f"{name}_{m}") for m in metadata]
+        aggs += [F.min_by(m, F.when(mine, F.col("place"))).alias(f"{name}_{m}") for m in metadata]
     records = numbered.groupBy(*KEY, "session", "start_ns", "interval").agg(*aggs, *_as_of_end())
     so_far = Window.partitionBy(*KEY, "session").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
     totals = {f"{n}_{what}_total": F.sum(f"{n}_{what}_delta").over(so_far) for n in side for what in ("packets", "bytes")}

@@ -58,8 +58,7 @@ def community_ids(spark, sf_dir):
   SELECT {S.community()} AS community_id, host, max(ts_ns) FILTER ((tcp_flags & 18) = 2) AS syn, max(ts_ns) FILTER ((tcp_flags & 18) = 18) AS syn_ack,
     CAST(coalesce(sum(wait), 0) AS BIGINT) AS latency_sum_ns, count(wait) AS transactions
   FROM waits GROUP BY a_ip, b_ip, a_port, b_port, proto, host
-) SELECT community_id, host, greatest(syn_ack - syn, 0) AS handshake_ns, latency_sum_ns, transactions, CASE WHEN transactions > 0 THEN latency_sum_ns // transactions END AS latency_mean_ns
-FROM (SELECT * REPLACE (CASE WHEN syn_ack IS NOT NULL THEN syn END AS syn) FROM t) u""".replace("greatest(syn_ack - syn, 0)", "CASE WHEN syn IS NOT NULL AND syn_ack IS NOT NULL THEN greatest(syn_ack - syn, 0) END")
+) SELECT community_id, host, CASE WHEN syn IS NOT NULL AND syn_ack IS NOT NULL THEN greatest(syn_ack - syn, 0) END AS handshake_ns, latency_sum_ns, transactions, CASE WHEN transactions > 0 THEN latency_sum_ns // transactions END AS latency_mean_ns FROM t"""
 )
 def tcp_timing(spark, sf_dir):
     return flows.tcp_timing(LINES.read(spark, sf_dir), LINES.order)
