@@ -52,13 +52,17 @@ def _oriented(prefix: str = "") -> dict[str, Column]:
     return {"src_ip": pick("a_ip", "b_ip"), "src_port": pick("a_port", "b_port"), "dst_ip": pick("b_ip", "a_ip"), "dst_port": pick("b_port", "a_port")}
 
 
-def flow_aggregate(packets: DataFrame, order: list[str], by: tuple[str, ...] = ("host",)) -> DataFrame:
-    """One row a flow: oriented endpoints, packets and bytes each way, first and last time, flags each way."""
+def flow_aggregate(packets: DataFrame, order: list[str], by: tuple[str, ...] = ("host",), first: tuple[str, ...] = ()) -> DataFrame:
+    """One row a flow: oriented endpoints, packets and bytes each way, first and last time, flags each way.
+
+    Columns named in first are kept as of the packet that created the flow.
+    """
     keyed = with_key(packets)
     groups = [*[c for c in by if c in packets.columns], *KEY]
     along = F.col("a_to_b")
     place = F.struct(*order)
     aggs = [F.min_by("a_to_b", place).alias("first_a_to_b"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.bit_or("tcp_flags").alias("tcp_flags")]
+    aggs += [F.min_by(c, place).alias(c) for c in first]
     for name, side in (("ab", along), ("ba", ~along)):
         aggs += [F.count_if(side).alias(f"packets_{name}"), F.sum(F.when(side, F.col("len")).otherwise(0)).alias(f"bytes_{name}")]
         aggs += [F.coalesce(F.bit_or(F.when(side, F.col("tcp_flags"))), F.lit(0)).alias(f"flags_{name}"), F.min_by("tcp_flags", F.when(side, place)).alias(f"first_flags_{name}")]

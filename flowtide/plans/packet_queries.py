@@ -128,10 +128,7 @@ _LISTENING = "SELECT * FROM (VALUES (0, 6, 443), (1, 6, 443), (2, 6, 443), (3, 6
 
 def observed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the hook direction and interface of the creating packet."""
-    packets = LINES.read(spark, sf_dir)
-    first = F.struct(*LINES.order)
-    seen = with_key(packets).groupBy("host", *KEY).agg(F.min_by("direction", first).alias("direction"), F.min_by("ifindex", first).alias("ifindex"), F.max("custkey").alias("custkey")).withColumn("community_id", key_id())
-    return flows.flow_aggregate(packets, LINES.order).join(seen.select("community_id", "host", "direction", "ifindex", "custkey"), ["community_id", "host"])
+    return flows.flow_aggregate(LINES.read(spark, sf_dir), LINES.order, first=("direction", "ifindex"))
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
