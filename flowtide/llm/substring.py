@@ -52,7 +52,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """The segments of a slice: first word (in the slice), number of words, anchor hash, and whether re-anchored."""
+    """The segments of a slice: first word (in the slice), number of words, anchor hash, and whether any window is re-anchored."""
 
     def __init__(self, words: Words, min_words: int, hot: Bitmap | None):
         h = words.hashes()
@@ -75,7 +75,8 @@ class Segments:
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]))
         n_windows = np.diff(np.append(new, len(windows)))
         self.starts, self.lengths = windows[new], n_windows + min_words - 1
-        self.anchors, self.again = gram[place[new]], again[new]
+        # Windows that kept their anchor may share it with re-anchored ones beside them.
+        self.anchors, self.again = gram[place[new]], np.logical_or.reduceat(again, new)
 
 
 def _slices(batch: pa.RecordBatch):
