@@ -8,8 +8,11 @@ occurs. What makes this linear is how content is dealt:
    anchors. Runs of windows with one anchor form a segment. Anchors are counted over all documents.
 2. Segments whose anchor occurs at least twice go to the shard of the anchor; what can't repeat stays
    where it is. Equal segments travel once, with their number. Which anchors repeat is broadcast as a
-   bitmap of fixed size: false positives only send a segment in vain. Windows whose anchor is very
-   frequent take the least gram that isn't, so a line that opens every document fills no shard.
+   bitmap of fixed size: false positives only send a segment in vain. Where an anchor is hot (in over
+   ``HOT_COUNT`` segments), all grams of its windows are counted, its windows take their least gram that
+   isn't hot as anchor, and anchors are counted again. A window of hot grams alone is a segment by itself
+   with its own hash as anchor, of which there is one content. So an anchor has 2 * ``HOT_COUNT`` distinct
+   segments at most, and a line that stands in every document fills no shard.
 3. In each shard an FM-index over grams of the segments counts every window by backward search. Intervals
    of repeated windows go back to the places of their segments, and from there to the documents.
 
@@ -51,32 +54,54 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def anchored(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of grams, the first words of all windows, and the place of each window's least gram."""
+    gram = grams(words.hashes(), ANCHOR)
+    windows = np.flatnonzero(words.left() >= min_words)
+    return gram, windows, sliding_least(gram, min_words - ANCHOR + 1)[windows] if len(windows) else windows
+
+
 class Segments:
-    """The segments of a slice: first word (in the slice), number of words, anchor hash, and whether any window is re-anchored."""
+    """The segments of a slice: first word (in the slice), number of words, and anchor hash.
 
-    def __init__(self, words: Words, min_words: int, hot: Bitmap | None):
-        h = words.hashes()
-        gram = grams(h, ANCHOR)
-        width = min_words - ANCHOR + 1
-        windows = np.flatnonzero(words.left() >= min_words)
+    Hot are the anchors that windows may not keep, and all grams that they may not take instead.
+    """
+
+    def __init__(self, words: Words, min_words: int, hot: tuple[Bitmap, Bitmap] | None = None):
+        gram, windows, place = anchored(words, min_words)
         self.starts = self.lengths = np.zeros(0, np.int64)
-        self.anchors, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.anchors = np.zeros(0, np.uint64)
         if not len(windows):
             return
-        place = sliding_least(gram, width)[windows]
-        again = np.zeros(len(windows), bool)
-        if hot is not None and len(frequent := np.flatnonzero(hot.holds(gram[place]))):
-            again[frequent] = True
+        anchors, width = gram[place], min_words - ANCHOR + 1
+        if hot is not None and len(frequent := np.flatnonzero(hot[0].holds(anchors))):
+            whole = grams(words.hashes(), min_words)
             for i in range(0, len(frequent), 1 << 15):
-                some = windows[frequent[i : i + (1 << 15)]]
+                own = frequent[i : i + (1 << 15)]
+                some = windows[own]
                 choice = gram[some[:, None] + np.arange(width)]
-                rank = (choice >> U(1)) | (hot.holds(choice).astype(np.uint64) << U(63))
-                place[frequent[i : i + (1 << 15)]] = some + np.argmin(rank, axis=1)
+                held = hot[1].holds(choice)
+                rank = (choice >> U(1)) | (held.astype(np.uint64) << U(63))
+                place[own] = some + np.argmin(rank, axis=1)
+                anchors[own] = gram[place[own]]
+                alone = own[held.all(axis=1)]
+                place[alone], anchors[alone] = -1 - windows[alone], whole[windows[alone]]
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]))
         n_windows = np.diff(np.append(new, len(windows)))
         self.starts, self.lengths = windows[new], n_windows + min_words - 1
-        # Windows that kept their anchor may share it with re-anchored ones beside them.
-        self.anchors, self.again = gram[place[new]], np.logical_or.reduceat(again, new)
+        self.anchors = anchors[new]
+
+
+def grams_beside(words: Words, min_words: int, hot: Bitmap) -> np.ndarray:
+    """All grams of a slice that stand in windows whose least gram is hot, each place once."""
+    gram, windows, place = anchored(words, min_words)
+    if not len(windows):
+        return np.zeros(0, np.uint64)
+    some = windows[hot.holds(gram[place])]
+    change = np.zeros(len(gram) + 1, np.int64)
+    change[some] += 1
+    change[some + min_words - ANCHOR + 1] -= 1
+    return gram[np.cumsum(change)[:-1] > 0]
 
 
 def _slices(batch: pa.RecordBatch):
@@ -85,24 +110,47 @@ def _slices(batch: pa.RecordBatch):
         yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def anchor_counts(docs: DataFrame, min_words: int) -> DataFrame:
+def _counts(docs: DataFrame, hashes) -> DataFrame:
+    """(anchor, n) of the hashes that a function gives for the words of each slice."""
+
     def task(batches):
         for batch in batches:
-            found = [Segments(words, min_words, None).anchors for _, _, words in _slices(batch)]
+            found = [hashes(words) for _, _, words in _slices(batch)]
             anchors, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchors.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     return docs.select("text").mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast, content: bool) -> DataFrame:
+def anchor_counts(docs: DataFrame, min_words: int, hot: Broadcast | None = None) -> DataFrame:
+    return _counts(docs, lambda words: Segments(words, min_words, hot and hot.value).anchors)
+
+
+def gram_counts(docs: DataFrame, min_words: int, hot: Broadcast) -> DataFrame:
+    return _counts(docs, lambda words: grams_beside(words, min_words, hot.value))
+
+
+def final_anchors(docs: DataFrame, min_words: int) -> tuple[DataFrame, Broadcast | None]:
+    """Counts of the anchors that repeat, and the bitmaps of hot anchors and grams if there are any."""
+    counts = materialize(anchor_counts(docs, min_words).filter("n > 1"), "anchors")
+    frequent = counts.filter(F.col("n") > HOT_COUNT).select("anchor")
+    first = bitmap(frequent, "anchor", HOT_BITS)
+    if not first.bytes.any():
+        return counts, None
+    send = docs.sparkSession.sparkContext.broadcast
+    beside = gram_counts(docs, min_words, send(first)).filter(F.col("n") > HOT_COUNT).select("anchor")
+    hot = send((first, bitmap(frequent.unionAll(beside), "anchor", HOT_BITS)))
+    return materialize(anchor_counts(docs, min_words, hot).filter("n > 1"), "anchors"), hot
+
+
+def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast | None, content: bool) -> DataFrame:
     """Segments that may repeat: with their content, or else with the hash of it and where they are."""
 
     def task(batches):
         for batch in batches:
             for i, j, words in _slices(batch):
-                found = Segments(words, min_words, hot.value)
-                chosen = np.flatnonzero(found.again | repeated.value.holds(found.anchors))
+                found = Segments(words, min_words, hot and hot.value)
+                chosen = np.flatnonzero(repeated.value.holds(found.anchors))
                 starts, lengths = found.starts[chosen], found.lengths[chosen]
                 buffer, at = words.joined()
                 begins, ends = at[starts], at[starts + lengths] - 1
@@ -157,11 +205,10 @@ def repeated_intervals(table: pa.Table, min_words: int) -> pa.RecordBatch:
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, low, high): word intervals to remove, in documents with columns text, id and text_hash."""
-    counts = materialize(anchor_counts(docs, min_words).filter("n > 1"), "anchors")
-    send = docs.sparkSession.sparkContext.broadcast
-    repeated = send(bitmap(counts, "anchor", FILTER_BITS))
-    hot = send(bitmap(counts.filter(F.col("n") > HOT_COUNT), "anchor", HOT_BITS))
-    n_shards = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SHARD_SEGMENTS))
+    counts, hot = final_anchors(docs, min_words)
+    repeated = docs.sparkSession.sparkContext.broadcast(bitmap(counts, "anchor", FILTER_BITS))
+    most = F.least("n", F.lit(2 * HOT_COUNT))  # counted more often are only windows by themselves
+    n_shards = max(1, -(-(counts.agg(F.sum(most)).first()[0] or 0) // SHARD_SEGMENTS))
     distinct = segments(docs, min_words, repeated, hot, True).groupBy("anchor", "content").agg(F.count("*").alias("n"))
     sharded = distinct.withColumn("hash", F.xxhash64("content")).repartitionById(n_shards, F.pmod("anchor", F.lit(n_shards)).cast("int"))
 

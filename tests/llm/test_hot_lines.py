@@ -32,3 +32,23 @@ def check(spark, rows):
 def test_repeats_beside_a_hot_line(spark, monkeypatch, line_words):
     monkeypatch.setattr(substring, "HOT_COUNT", 10)
     check(spark, beside_a_line(line_words, line_words))
+
+
+@pytest.mark.parametrize("line_words", [20, 30, 60])
+def test_segments_of_an_anchor_are_bounded(spark, monkeypatch, line_words):
+    monkeypatch.setattr(substring, "HOT_COUNT", 10)
+    most, segments = [], substring.segments
+
+    def seen(docs, min_words, repeated, hot, content):
+        found = segments(docs, min_words, repeated, hot, content)
+        if content:
+            most.append(found.distinct().groupBy("anchor").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(substring, "segments", seen)
+    r = random.Random(line_words)
+    words = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [r.choice(words) for _ in range(n)]
+    line, shared = draw(line_words), draw(10)
+    check(spark, [" ".join(draw(40) + (shared if k % 5 == 0 else []) + line + draw(40)) for k in range(150)])
+    assert most and most[0] <= 20
