@@ -10,9 +10,10 @@ occurs. What makes this linear is how content is dealt:
    where it is. Equal segments travel once, with their number. Which anchors repeat is broadcast as a
    bitmap of fixed size: false positives only send a segment in vain. Where an anchor is hot (in over
    ``HOT_COUNT`` segments), all grams of its windows are counted, its windows take their least gram that
-   isn't hot as anchor, and anchors are counted again. A window of hot grams alone is a segment by itself
-   with its own hash as anchor, of which there is one content. So an anchor has 2 * ``HOT_COUNT`` distinct
-   segments at most, and a line that stands in every document fills no shard.
+   isn't hot as anchor, and anchors are counted again, so such an anchor is in 2 * ``HOT_COUNT`` segments
+   at most. Windows of hot grams alone take the least of their grams of all but ``ANCHOR`` - 1 words. Equal
+   segments count once there, and what differs at either end lies in a hot gram with the words beside it:
+   n copies of a line have n / ``HOT_COUNT`` different ends of a length at most, on each side.
 3. In each shard an FM-index over grams of the segments counts every window by backward search. Intervals
    of repeated windows go back to the places of their segments, and from there to the documents.
 
@@ -75,7 +76,8 @@ class Segments:
             return
         anchors, width = gram[place], min_words - ANCHOR + 1
         if hot is not None and len(frequent := np.flatnonzero(hot[0].holds(anchors))):
-            whole = grams(words.hashes(), min_words)
+            long = grams(words.hashes(), width)
+            least = sliding_least(long, ANCHOR)
             for i in range(0, len(frequent), 1 << 15):
                 own = frequent[i : i + (1 << 15)]
                 some = windows[own]
@@ -85,7 +87,8 @@ class Segments:
                 place[own] = some + np.argmin(rank, axis=1)
                 anchors[own] = gram[place[own]]
                 alone = own[held.all(axis=1)]
-                place[alone], anchors[alone] = -1 - windows[alone], whole[windows[alone]]
+                at = least[windows[alone]]
+                place[alone], anchors[alone] = -1 - at, long[at]
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]))
         n_windows = np.diff(np.append(new, len(windows)))
         self.starts, self.lengths = windows[new], n_windows + min_words - 1
@@ -207,7 +210,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, low, high): word intervals to remove, in documents with columns text, id and text_hash."""
     counts, hot = final_anchors(docs, min_words)
     repeated = docs.sparkSession.sparkContext.broadcast(bitmap(counts, "anchor", FILTER_BITS))
-    most = F.least("n", F.lit(2 * HOT_COUNT))  # counted more often are only windows by themselves
+    most = F.least("n", F.lit(2 * HOT_COUNT))  # counted more often are only segments of hot grams, mostly equal
     n_shards = max(1, -(-(counts.agg(F.sum(most)).first()[0] or 0) // SHARD_SEGMENTS))
     distinct = segments(docs, min_words, repeated, hot, True).groupBy("anchor", "content").agg(F.count("*").alias("n"))
     sharded = distinct.withColumn("hash", F.xxhash64("content")).repartitionById(n_shards, F.pmod("anchor", F.lit(n_shards)).cast("int"))
