@@ -1,22 +1,31 @@
-"""Approximate nearest neighbours by cosine: a forest of random-projection trees, exact reranking.
+"""Approximate nearest neighbours by cosine: forests of random-projection trees, exact reranking.
 
-The forest is fitted on a bounded sample (``SAMPLE`` distinct vectors, lowest hashes first); every row is
-indexed. A node splits along the difference of two random vectors of its sample, at the median. A query
-walks all trees with one shared priority queue, always on from the node whose worst margin is best, until
-``SEARCH_LEAVES`` leaves are visited. Leaves are groups dealt by Spark: each meets its queries there, and
-cosines of all its vectors are computed in double precision.
+All trees share their top: a routing tree, fitted on a bounded sample (``SAMPLE`` distinct vectors, lowest
+hashes first), which deals every row into a cell of about ``CELL_ROWS`` vectors. Below, each cell grows
+``TREES`` trees of its own down to leaves of ``LEAF`` vectors. A level splits along the difference of two
+random vectors, each node at the median. A query walks all trees of a cell through one priority queue,
+always on at the node least far off (by the root of the sum of squared margins on the way), and ranks the members of the leaves it comes to by exact
+cosines. It stops when the leaves held ``MEET`` * n ** ``GROWTH`` of a cell's n vectors, or earlier, where all
+that is left is farther off than ``REACH`` standard deviations of what a neighbour nearer than the k found
+so far differs along a random direction. First it does so in the cell it falls in; then, with what it has found, in
+the next cells of the routing tree within that same reach, ``ROUTES`` * cells ** ``GROWTH`` at most.
+
+So work and traffic grow slower than the rows: a query sends its vector to some cells, vectors move twice
+(once a phase), and what is met in a cell grows as n ** ``GROWTH``. The exact way is ``exact=True``, which
+visits every leaf of every cell.
 
 Equal vectors are indexed once, with their k + 1 least ids, which is all that k neighbours can need; so a
-vector that a third of the rows share costs one row. Leaves with over ``LEAF_ROWS`` vectors are dealt in
-chunks, and their queries to each.
+vector that a third of the rows share costs one row. Cells that get over twice ``CELL_ROWS`` vectors are
+dealt in chunks, each with a forest of its own, and their queries to every chunk.
 
 Defined results: rows with a null id, null or zero vectors, null or non-finite components, or another
 number of components than most take no part; rows alike in id and vector count once; with fewer than k
-other vectors a query returns what there is.
+other vectors a query returns what there is; other columns are ignored.
 """
 
 import heapq
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,64 +37,112 @@ from .storage import materialize
 from .training import train
 
 K = 5
-TREES, SAMPLE, SAMPLE_LEAF = 16, 32_768, 48
-SEARCH_LEAVES = 480
-LEAF_ROWS = 50_000
-#: Cosines held at a time.
-TILE = 1 << 22
+TREES, LEAF = 64, 8
+SAMPLE, CELL_ROWS = 32_768, 32_768
+MEET, GROWTH, REACH, ROUTES = 3.2, 0.75, 1.0, 1.5
+#: Leaves whose members are ranked together, before the search asks whether to go on.
+ROUND = 48
 
 
 class Forest:
-    """Heap-numbered complete trees: normals and thresholds of the inner nodes 1 to 2**depth - 1."""
-
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = SAMPLE_LEAF, seed: int = 5):
-        n, size = sample.shape
-        self.depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-        inner = 1 << self.depth
-        self.normals = np.zeros((trees, inner, size), np.float32)
-        self.thresholds = np.zeros((trees, inner), np.float32)
-        draw = np.random.default_rng(seed)
+    """Complete trees over unit vectors: a direction for each level of a tree, a threshold for each node."""
+
+    def __init__(self, unit: np.ndarray, trees: int, depth: int, seed: int = 5):
+        n, size = unit.shape
+        self.depth, draw = depth, np.random.default_rng(seed)
+        directions = draw.standard_normal((trees, depth, size)).astype(np.float32)
+        if n > 1:
+            apart = unit[draw.integers(n, size=(trees, depth))] - unit[draw.integers(n, size=(trees, depth))]
+            directions = np.where((np.abs(apart).sum(2) > 1e-3)[:, :, None], apart, directions)
+        self.directions = directions / np.linalg.norm(directions, axis=2, keepdims=True)
+        self.thresholds = np.zeros((trees, 1 << depth), np.float32)
         for tree in range(trees):
-            members = {1: np.arange(n)}
-            for node in range(1, inner):
-                own = members.pop(node, np.zeros(0, np.int64))
-                normal = draw.standard_normal(size)
-                if len(own) > 1:
-                    a, b = draw.choice(own, 2, replace=False)
-                    if np.any(sample[a] != sample[b]):
-                        normal = sample[a] - sample[b]
-                normal = normal / np.linalg.norm(normal)
-                along = sample[own] @ normal
-                self.normals[tree, node] = normal
-                self.thresholds[tree, node] = np.median(along) if len(own) else 0
-                right = along > self.thresholds[tree, node]
-                members[2 * node], members[2 * node + 1] = own[~right], own[right]
+            node = np.ones(n, np.int64)
+            for along in (unit @ self.directions[tree].T).T:
+                order = np.lexsort((along, node))
+                nodes, begins, sizes = np.unique(node[order], return_index=True, return_counts=True)
+                self.thresholds[tree, nodes] = along[order[begins + (sizes - 1) // 2]]
+                node = 2 * node + (along > self.thresholds[tree, node])
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
-        """The leaf of each vector in each tree, as one number."""
-        out = np.empty((len(unit), len(self.normals)), np.int64)
-        for tree, (normals, thresholds) in enumerate(zip(self.normals, self.thresholds)):
+        """The leaf of each vector in each tree."""
+        out = np.empty((len(self.thresholds), len(unit)), np.int64)
+        for tree, thresholds in enumerate(self.thresholds):
             node = np.ones(len(unit), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + (np.einsum("ij,ij->i", unit, normals[node]) > thresholds[node])
-            out[:, tree] = (tree << self.depth) + node - (1 << self.depth)
+            for along in (unit @ self.directions[tree].T).T:
+                node = 2 * node + (along > thresholds[node])
+            out[tree] = node - (1 << self.depth)
         return out
 
-    def search(self, unit: np.ndarray, n_leaves: int) -> list[int]:
-        """The leaves that one query visits: all trees share the queue of margins."""
-        trees, inner = self.thresholds.shape
-        margins = np.einsum("tnd,d->tn", self.normals, unit, optimize=True) - self.thresholds
-        queue = [(-np.inf, tree, 1) for tree in range(trees)]
-        out: list[int] = []
-        while queue and len(out) < n_leaves:
-            worst, tree, node = heapq.heappop(queue)
-            if node >= inner:
-                out.append((tree << self.depth) + node - inner)
-                continue
-            margin = float(margins[tree, node])
-            heapq.heappush(queue, (max(worst, -margin), tree, 2 * node + 1))
-            heapq.heappush(queue, (max(worst, margin), tree, 2 * node))
-        return out
+    def walk(self, unit: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """(how far off, tree, leaf) of one query, nearest first: all trees share the queue."""
+        along, thresholds, inner = (self.directions @ unit).tolist(), self.thresholds, 1 << self.depth
+        queue = [(0.0, tree, 1) for tree in range(len(thresholds))]
+        while queue:
+            square, tree, node = heapq.heappop(queue)
+            level = node.bit_length() - 1
+            while node < inner:
+                margin = along[tree][level] - float(thresholds[tree, node])
+                right = margin > 0
+                heapq.heappush(queue, (square + margin * margin, tree, 2 * node + (not right)))
+                node, level = 2 * node + right, level + 1
+            yield square**0.5, tree, node - inner
+
+
+class Cell:
+    """The vectors of one cell with their forest."""
+
+    def __init__(self, uid: np.ndarray, vectors: np.ndarray):
+        self.uid, self.vectors = uid, vectors
+        self.length = np.sqrt((vectors * vectors).sum(1))
+        self.unit = units(vectors)
+        n = len(uid)
+        self.forest = Forest(self.unit, TREES, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
+        leaves = self.forest.leaves(self.unit)
+        self.members = np.argsort(leaves, axis=1, kind="stable").astype(np.int32)
+        counts = [np.bincount(x, minlength=1 << self.forest.depth) for x in leaves]
+        self.begins = np.concatenate([np.zeros((TREES, 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+        self.met = np.zeros(n, bool)
+        #: Cosines computed so far.
+        self.n_cosines = 0
+
+    def nearest(self, query: np.ndarray, keep: int, reach: float | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """uids and cosines of the nearest found; a neighbour farther than limit (of unit vectors) is no use."""
+        unit = units(query[None])[0]
+        most = MEET * len(self.uid) ** GROWTH if reach is not None else np.inf
+        walk, found, near, n_met = self.forest.walk(unit), [], np.zeros(0, np.float32), 0
+        while n_met < most:
+            parts, bound = [], None
+            for bound, tree, leaf in walk:
+                parts.append(self.members[tree, self.begins[tree, leaf] : self.begins[tree, leaf + 1]])
+                if len(parts) == ROUND:
+                    break
+            if not parts:
+                break
+            some = np.concatenate(parts)
+            n_met += len(some)
+            some = np.unique(some[~self.met[some]])
+            self.met[some] = True
+            found.append(some)
+            self.n_cosines += len(some)
+            close = self.unit[some] @ unit
+            near = np.concatenate([near, close])
+            if len(near) > keep:
+                near = near[np.argpartition(-near, keep - 1)[:keep]]
+            if reach is not None:
+                if len(near) == keep:
+                    limit = min(limit, float(np.sqrt(max(0.0, 2 - 2 * near.min()))))
+                if bound > reach * limit / np.sqrt(len(unit)):
+                    break
+        some = np.concatenate(found)
+        self.met[some] = False
+        close = self.unit[some] @ unit
+        if len(some) > keep:  # what single precision may confuse with the last one stays in
+            some = some[close >= np.partition(close, len(close) - keep)[len(close) - keep] - 1e-5]
+        a, b = query, self.vectors[some]
+        cosine = (b * a).sum(1) / (np.sqrt((a * a).sum()) * self.length[some])
+        best = np.lexsort((self.uid[some], -cosine))[:keep]
+        return self.uid[some[best]], cosine[best]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -96,11 +153,6 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(batches) -> bytes:
-    parts = [units(matrix(b.column("vector"))) for b in batches if b.num_rows]
-    return pickle.dumps(Forest(np.concatenate(parts))) if parts else b""
-
-
 def valid(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     v = F.col(vector_column)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -109,22 +161,55 @@ def valid(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.filter(F.size("vector") == (size["size"] if size else 0))
 
 
-def nearest(queries: np.ndarray, members: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine) of each query's n nearest members."""
-    length = np.sqrt((members * members).sum(1))
-    out = []
-    for i in range(0, len(queries), step := max(1, TILE // len(members))):
-        q = queries[i : i + step]
-        cosine = (q @ members.T) / length
-        k = min(n, len(members))
-        best = np.argpartition(-cosine, k - 1, axis=1)[:, :k].ravel() if k < len(members) else np.tile(np.arange(k), len(q))
-        row = np.repeat(np.arange(len(q)), k)
-        a, b = q[row], members[best]
-        out.append((row + i, best, (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * length[best])))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def route(distinct: DataFrame, cell_rows: int) -> bytes:
+    """The routing tree over all distinct vectors, fitted on a bounded sample of them."""
+    n = distinct.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, n / cell_rows)))))
+    depth = min(depth, int(np.log2(SAMPLE / 32)))
+
+    def fit(batches) -> bytes:
+        parts = [units(matrix(b.column("vector"))) for b in batches if b.num_rows]
+        return pickle.dumps(Forest(np.concatenate(parts), 1, depth) if parts else None)
+
+    return train(distinct.orderBy("hash", "uid").limit(SAMPLE).select("vector"), fit)
+
 
+def _in_cells(members: DataFrame, visits: DataFrame, cell_rows: int, keep: int, exact: bool) -> DataFrame:
+    """(quid, uid, score) of what queries (quid, cell, cut: a cosine that results must reach) find in cells."""
+    # As many cells as the routing tree has at most: a bound that parameters set.
+    large = members.groupBy("cell").count().filter(F.col("count") > 2 * cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
+    large = F.broadcast(materialize(large, "cells"))
+    n_chunks = F.coalesce("chunks", F.lit(1))
+    members = members.join(large, "cell", "left").select("cell", F.pmod(F.xxhash64("uid"), n_chunks).cast("int").alias("chunk"), F.lit(0).alias("query"), "uid", "vector", F.lit(0.0).alias("cut"))
+    visits = visits.join(large, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), F.lit(1).alias("query"), F.col("quid").alias("uid"), "vector", "cut")
+    groups = members.unionAll(visits).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "query")
 
-def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, n_leaves: int = SEARCH_LEAVES) -> DataFrame:
+    def task(batches):
+        group, held_ids, held, cell = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, chunk, query = (batch.column(c).to_numpy() for c in ("cell", "chunk", "query"))
+            uid, cut, vectors = batch.column("uid").to_numpy(), batch.column("cut").to_numpy(), matrix(batch.column("vector"))
+            new = np.flatnonzero((number[1:] != number[:-1]) | (chunk[1:] != chunk[:-1]) | (query[1:] != query[:-1])) + 1
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+            for i, j in zip([0, *new], [*new, batch.num_rows]):
+                if (number[i], chunk[i]) != group:
+                    group, held_ids, held, cell = (number[i], chunk[i]), [], [], None
+                if not query[i]:
+                    held_ids.append(uid[i:j]), held.append(vectors[i:j])
+                elif held:
+                    cell = cell or Cell(np.concatenate(held_ids), np.concatenate(held))
+                    for k in range(i, j):
+                        ids, score = cell.nearest(vectors[k], keep, None if exact else REACH, float(np.sqrt(max(0.0, 2 - 2 * cut[k]))))
+                        for part, values in zip(out, (np.full(len(ids), uid[k]), ids, score)):
+                            part.append(values)
+            yield pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(part)) for name, part in zip(("quid", "uid", "score"), out)})
+
+    return groups.mapInArrow(task, "quid long, uid long, score double")
+
+
+def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, cell_rows: int = CELL_ROWS, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), id and score of the k nearest found; is_query is a condition on the column id."""
     rows = valid(rows, id_column, vector_column)
     by_vector = Window.partitionBy("vector").orderBy("id")
@@ -132,62 +217,43 @@ def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column:
     distinct = ids.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     distinct = materialize(distinct.select(F.col("ids")[0].alias("uid"), F.xxhash64("vector").alias("hash"), "vector", "ids"), "vectors")
     asked = materialize(rows.filter(is_query).withColumn("hash", F.xxhash64("vector")).join(distinct, ["hash", "vector"]).select(F.col("id").alias("query_id"), "uid").distinct(), "queries")
-    model = train(distinct.orderBy("hash", "uid").limit(SAMPLE).select("vector"), fit)
-    keep = k + 1
+    model = route(distinct, cell_rows)
+    keep, kind = k + 1, distinct.schema["vector"].dataType.simpleString()
+    tree = pickle.loads(model)
+    n_cells = 1 << tree.depth if tree else 1
+    n_routes = n_cells if exact else min(n_cells, int(np.ceil(ROUTES * n_cells**GROWTH)))
 
-    def index(batches):
-        forest = pickle.loads(model)
+    def deal(batches):
+        tree = pickle.loads(model)
         for batch in batches:
             if batch.num_rows:
-                leaves = forest.leaves(units(matrix(batch.column("vector"))))
-                row = pa.array(np.repeat(np.arange(batch.num_rows), leaves.shape[1]))
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaves.ravel()), "uid": batch.column("uid").take(row), "vector": batch.column("vector").take(row)})
+                cells = tree.leaves(units(matrix(batch.column("vector"))))[0]
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "uid": batch.column("uid"), "vector": batch.column("vector")})
 
-    def walk(batches):
-        forest = pickle.loads(model)
+    def others(batches):
+        tree = pickle.loads(model)
         for batch in batches:
             if batch.num_rows:
-                leaves = [forest.search(v, n_leaves) for v in units(matrix(batch.column("vector")))]
-                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array([x for xs in leaves for x in xs], pa.int64()), "uid": batch.column("uid").take(row), "vector": batch.column("vector").take(row)})
-
-    kind = distinct.schema["vector"].dataType.simpleString()
-    schema = f"leaf long, uid long, vector {kind}"
-    members = distinct.select("uid", "vector").mapInArrow(index, schema) if model else distinct.select(F.lit(0).cast("long").alias("leaf"), "uid", "vector")
-    wanted = distinct.join(asked.select("uid").distinct(), "uid").select("uid", "vector")
-    visits = wanted.repartition("uid").mapInArrow(walk, schema) if model else wanted.select(F.lit(0).cast("long").alias("leaf"), "uid", "vector")
-    # As many leaves as the forest has at most: a bound that parameters set.
-    large = members.groupBy("leaf").count().filter(F.col("count") > LEAF_ROWS).select("leaf", F.ceil(F.col("count") / LEAF_ROWS).cast("int").alias("chunks"))
-    large = F.broadcast(materialize(large, "leaves"))
-    n_chunks = F.coalesce("chunks", F.lit(1))
-    members = members.join(large, "leaf", "left").select("leaf", F.pmod(F.xxhash64("uid"), n_chunks).cast("int").alias("chunk"), F.lit(0).alias("query"), "uid", "vector")
-    visits = visits.join(large, "leaf", "left").select("leaf", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), F.lit(1).alias("query"), "uid", "vector")
-    groups = members.unionAll(visits).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "query")
-
-    def rerank(batches):
-        group, held_ids, held, whole = None, [], [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaf, chunk, query = (batch.column(c).to_numpy() for c in ("leaf", "chunk", "query"))
-            uid, vectors = batch.column("uid").to_numpy(), matrix(batch.column("vector"))
-            new = np.flatnonzero((leaf[1:] != leaf[:-1]) | (chunk[1:] != chunk[:-1]) | (query[1:] != query[:-1])) + 1
-            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-            for i, j in zip([0, *new], [*new, batch.num_rows]):
-                if (leaf[i], chunk[i]) != group:
-                    group, held_ids, held, whole = (leaf[i], chunk[i]), [], [], None
-                if not query[i]:
-                    held_ids.append(uid[i:j]), held.append(vectors[i:j])
-                elif held:
-                    whole = whole or (np.concatenate(held_ids), np.concatenate(held))
-                    q, m, score = nearest(vectors[i:j], whole[1], keep)
-                    for part, values in zip(found, (uid[i:j][q], whole[0][m], score)):
-                        part.append(values)
-            yield pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(part)) for name, part in zip(("quid", "uid", "score"), found)})
+                vectors, cuts = units(matrix(batch.column("vector"))), batch.column("cut").to_numpy()
+                chosen = []
+                for unit, cut in zip(vectors, cuts):
+                    limit = np.inf if exact else REACH * np.sqrt(max(0.0, 2 - 2 * cut) / len(unit))
+                    cells = [leaf for _, (bound, _, leaf) in zip(range(n_routes), tree.walk(unit)) if bound <= limit]
+                    chosen.append(cells[1:])  # the first is its own
+                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in chosen]))
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([c for x in chosen for c in x], pa.int64())} | {c: batch.column(c).take(row) for c in ("quid", "vector", "cut")})
 
-    pairs = groups.mapInArrow(rerank, "quid long, uid long, score double").groupBy("quid", "uid").agg(F.max("score").alias("score"))
+    members = distinct.select("uid", "vector").mapInArrow(deal, f"cell long, uid long, vector {kind}")
+    queries = members.join(asked.select("uid").distinct(), "uid").select(F.col("uid").alias("quid"), "cell", "vector")
+    found = _in_cells(members, queries.withColumn("cut", F.lit(-1.0)), cell_rows, keep, exact)
+    if n_routes > 1:
+        found = materialize(found, "found")
+        # The k-th other vector's cosine, if there are so many (the query's own vector is among keep = k + 1).
+        kth = found.groupBy("quid").agg(F.when(F.count("*") == keep, F.min("score")).otherwise(-1.0).alias("cut"))
+        routed = queries.join(kth, "quid").select("quid", "vector", "cut").repartition("quid").mapInArrow(others, f"cell long, quid long, vector {kind}, cut double")
+        found = found.unionAll(_in_cells(members, routed, cell_rows, keep, exact))
     best = Window.partitionBy("quid").orderBy(F.desc("score"), "uid")
-    pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
+    pairs = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
     listed = pairs.join(distinct.select("uid", "ids"), "uid").select("quid", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     answers = listed.join(asked.withColumnRenamed("uid", "quid"), "quid").filter("id <> query_id")
