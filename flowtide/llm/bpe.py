@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 
 from .storage import extended
 
-LEAF_CHARACTERS, LEAF_BYTES, LEAF_IDS = 4096, 96, 4096
+LEAF_CHARACTERS, LEAF_BYTES, LEAF_IDS = 256, 96, 256
 #: A run of this many characters without a cut is encoded match by match.
 LONG_RUN = 256
+NONE = 1 << 62
 
 _LAST_CUT = regex.compile(r"(?r)[\p{L}\p{N}\p{P}\p{S}][ \n]")
 _FIRST_CUT = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}][ \n]")
@@ -97,7 +98,19 @@ class Codec:
         return self._join_piece(self.encode_piece(piece[:middle]), self.encode_piece(piece[middle:]))
 
     def _short(self, piece: bytes) -> list[int]:
-        return self.encoding._encode_single_piece(piece)
+        """By the merge rule itself: of all neighbours that make a token, those of least rank first."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        ranks = [self.ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            ranks[i : i + 1] = []
+            for k in (i - 1, i):
+                if 0 <= k < len(ranks):
+                    ranks[k] = self.ranks.get(parts[k] + parts[k + 1], NONE)
+        return [self.ranks[x] for x in parts]
 
     def _join_piece(self, left: list[int], right: list[int]) -> list[int]:
         i, j, tokens = 1, 1, self.tokens
