@@ -71,7 +71,9 @@ def _byte_characters() -> dict[int, str]:
 class PieceEncoder:
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        assert tokenizer.normalizer is None and "ByteLevel" in repr(tokenizer.pre_tokenizer) and "add_prefix_space=False" in repr(tokenizer.pre_tokenizer), "not a plain byte-level tokenizer"
+        split = repr(tokenizer.pre_tokenizer)
+        if tokenizer.normalizer is not None or not split.startswith("ByteLevel") or "add_prefix_space=False" not in split or "use_regex=True" not in split:
+            raise ValueError(f"not a plain byte-level tokenizer with the split that is built in here: {split}")
         self.model, self.characters = tokenizer.model, _byte_characters()
         self.n_ids = tokenizer.get_vocab_size()
         self._forget()

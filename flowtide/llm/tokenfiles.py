@@ -6,12 +6,12 @@ frame, then the number of frames). A reader reads the table and decompresses onl
 frame's checksum (low 32 bits of XXH64) is verified. Token ids are little-endian, two bytes wide where
 the vocabulary allows.
 
-Documents stand in ascending doc_id order over all files (null first, ties by text hash), in as many
-files as their bytes ask for. A task writes under a name of its own; only files named in the manifest,
+Documents stand in ascending doc_id order over all files (null first, ties by text hash, rows alike in
+both in any order, so that they spread over files). Files are cut by bytes of text. A task writes under a name of its own; only files named in the manifest,
 which Spark writes from finished tasks, count, so lost and repeated tasks do no harm.
 
 Defined results: null counts as an empty text, which has the end id alone; repeated rows are written
-each; an empty table makes no file; only doc_id and text are read.
+each; an empty table makes no file; a very long text is one frame; only doc_id and text are read.
 """
 
 import struct
@@ -35,6 +35,7 @@ from .text import slices, utf8
 #: Bytes of text to a file.
 FILE_BYTES = 64 << 20
 LEVEL = 3
+ROW_BYTES = 16
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -42,12 +43,12 @@ HAS_CHECKSUMS = 0x80
 ENTRY = np.dtype([("compressed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 FOOTER = struct.Struct("<IBI")
 
-MANIFEST = "part int, path string, n_docs long, n_tokens long"
+MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 
 
 class TokenWriter:
-    def __init__(self, stream, width: int):
-        self.stream, self.width = stream, width
+    def __init__(self, path: str, width: int):
+        self.path, self.stream, self.width, self.n_bytes = path, open_file(path, write=True), width, 0
         self.compress = zstandard.ZstdCompressor(level=LEVEL).compress
         self.entries: list[tuple[int, int, int]] = []
         self.doc_ids: list[int | None] = []
@@ -58,13 +59,16 @@ class TokenWriter:
         self.entries.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.doc_ids.append(doc_id)
 
-    def finish(self) -> None:
+    def finish(self) -> tuple[str, int, int]:
+        """Close the file; its path, documents and tokens."""
         known = np.array([d is not None for d in self.doc_ids], np.uint8)
         numbers = np.array([d or 0 for d in self.doc_ids], "<i8")
         index = self.compress(bytes([self.width]) + known.tobytes() + numbers.tobytes())
         table = np.array(self.entries, ENTRY).tobytes() + FOOTER.pack(len(self.entries), HAS_CHECKSUMS, SEEKABLE_MAGIC)
         for magic, body in ((SKIPPABLE_INDEX, index), (SKIPPABLE_TABLE, table)):
             self.stream.write(struct.pack("<II", magic, len(body)) + body)
+        self.stream.close()
+        return self.path, len(self.entries), sum(size for _, size, _ in self.entries) // self.width
 
 
 class TokenReader:
@@ -124,48 +128,50 @@ def open_file(path: str, write: bool = False):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write all documents; the manifest: part, path, n_docs, n_tokens and start (tokens of all files before)."""
+    """Write all documents; the manifest: part, file, path, n_docs, n_tokens and start (tokens of all files before)."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
-    total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n_files = max(1, -(-total // file_bytes))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    ordered = keyed.repartitionByRange(n_files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    # The order of rows alike in doc_id and text is free, so a number of their own may spread them over files.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    ordered = keyed.repartitionByRange(n_files, "doc_id", "hash", "tie").sortWithinPartitions("doc_id", "hash", "tie").select("doc_id", "text")
 
     def task(batches):
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
-        part, encoder, writer, n_tokens = TaskContext.get().partitionId(), piece_encoder(tokenizer), None, 0
-        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
+        part, encoder, writer, rows = TaskContext.get().partitionId(), piece_encoder(tokenizer), None, []
         width = 2 if max(encoder.n_ids, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            if batch.num_rows and writer is None:
-                writer = TokenWriter(open_file(path, write=True), width)
             for i, j in slices(offsets):
+                if writer is None or writer.n_bytes >= file_bytes:  # files are cut by bytes, whatever the partition holds
+                    if writer is not None:
+                        rows.append(writer.finish())
+                    writer = TokenWriter(f"{folder}/part-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.zst", width)
                 ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 whole = np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{width}")
                 bounds = np.concatenate([[0], np.cumsum(counts + 1)])
-                n_tokens += len(whole)
+                writer.n_bytes += int(offsets[j] - offsets[i]) + ROW_BYTES * (j - i)
                 whole = whole.tobytes()
                 for k, (a, b) in enumerate(zip((bounds[:-1] * width).tolist(), (bounds[1:] * width).tolist())):
                     writer.add(doc_ids[i + k], whole[a:b])
         if writer is not None:
-            writer.finish()
-            writer.stream.close()
-            row = {"part": [part], "path": [path], "n_docs": [len(writer.entries)], "n_tokens": [n_tokens]}
-            yield pa.RecordBatch.from_arrays([pa.array(row["part"], pa.int32()), *(pa.array(row[c]) for c in ("path", "n_docs", "n_tokens"))], names=list(row))
+            rows.append(writer.finish())
+            path, n_docs, n_tokens = zip(*rows)
+            columns = [pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(path), pa.array(n_docs), pa.array(n_tokens)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "file", "path", "n_docs", "n_tokens"])
 
     manifest = materialize(ordered.mapInArrow(task, MANIFEST), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start and ids (little-endian unsigned 32-bit integers) of every document of the files."""
     n_files = max(1, manifest.count())
-    spread = manifest.repartitionById(n_files, F.pmod("part", F.lit(n_files)))
+    spread = manifest.repartition(n_files, "path")
 
     def task(batches):
         for batch in batches:
