@@ -1,14 +1,19 @@
 """Sharding: a two-pass external shuffle into shards of equal row counts.
 
-Pass 1 scatters rows uniformly into memory-sized buckets by a seeded hash, one bucket to a task. Pass 2
-runs a Fisher-Yates shuffle over each bucket (Spark's ``shuffle``) and writes it. The concatenated
-buckets are one random order of all rows; shard s is its s-th equal run, so row counts of shards differ
-by one at most (the ``rows`` law). Only DataFrame functions run.
-
-Defined results: a null text counts as empty; rows that are alike in every column are spread like any
-others (the hash also takes the row's place in the input, so copies and hot keys can't fill a bucket);
-an empty table gives no rows; all input columns are kept, except that the operator's own columns
-(``law``, ``shard``, ``slot``, ``grown_shard``) replace input columns of those names.
+Pass 1 scatters rows uniformly into memory-sized buckets by a seeded hash of the record. Pass 2 orders each
+bucket by that hash, runs a Fisher-Yates shuffle over it (Spark's ``shuffle``) and writes it. The
+concatenated buckets are one random order of all rows; shard s is its s-th equal run, so row counts of
+shards differ by one at most (the ``rows`` law). Only DataFrame functions run, and where a row goes depends
+on the rows and the seed alone, not on how the input is cut into files and tasks.
+
+Rows alike in every column have one hash. Where such copies make up over an eighth of a bucket's bytes,
+they travel as one row with their number, are dealt in pieces of a bounded number of copies, and become
+rows again in their buckets; so a record that a third of the table repeats fills no bucket. Records that
+hot are at most 8 * bytes / ``BUCKET_BYTES``; only their hashes are broadcast.
+
+Defined results: a null text counts as empty; a very long text is one row of one bucket; an empty table
+gives no rows; all input columns are kept, except that the operator's own columns (``law``, ``shard``,
+``slot``, ``grown_shard``) replace input columns of those names. Columns of map type can't be hashed.
 """
 
 from pyspark.sql import DataFrame
@@ -16,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import shared_folder
+from .storage import materialize, shared_folder
 
 #: Bytes of text that a bucket aims at; a bucket is held in one task's memory.
 BUCKET_BYTES = 32 << 20
+#: Shuffle partitions at most; beyond as many buckets, a task takes several, one after the other.
+MOST_PARTITIONS = 50_000
 ROW_BYTES = 16
 #: Rows of 12 bytes, one a bucket, that may be broadcast; with more, the manifest is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -30,14 +37,33 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def _records(rows: DataFrame, bucket_bytes: int, text: str, seed: int) -> DataFrame:
+    """(row, hash, copies): every record, those of hot copies in pieces."""
+    packed = rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(F.lit(seed), *rows.columns).alias("hash"), (text_bytes(text) + ROW_BYTES).alias("size"))
+    hot = packed.groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes / 8))
+    hot = materialize(hot.select("hash", "n", F.greatest(F.lit(1), F.floor(bucket_bytes / 8 / F.col("size"))).cast("long").alias("piece")), "hot")
+    if hot.isEmpty():
+        return packed.select("row", "hash", F.lit(1).cast("long").alias("copies"))
+    single = packed.join(F.broadcast(hot.select("hash")), "hash", "left_anti").select("row", "hash", F.lit(1).cast("long").alias("copies"))
+    one = packed.join(F.broadcast(hot), "hash").groupBy("hash", "n", "piece").agg(F.any_value("row").alias("row"))
+    at = F.explode(F.sequence(F.lit(0), F.expr("(n - 1) DIV piece"))).alias("at")
+    pieces = one.select("row", "hash", "n", "piece", at)
+    copies = F.least("piece", F.col("n") - F.col("at") * F.col("piece"))
+    return single.unionAll(pieces.select("row", F.xxhash64("hash", "at").alias("hash"), copies.alias("copies")))
+
+
 def shuffle_into_shards(rows: DataFrame, n_shards: int, text: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """All rows with ``law``, ``shard``, ``slot`` and ``grown_shard``, read from the written buckets."""
     rows = rows.drop("law", "shard", "slot", "grown_shard")
     total = rows.select(F.sum(text_bytes(text) + ROW_BYTES)).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), bucket.alias("bucket"))
-    shuffled = packed.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list("row").alias("all")).select("bucket", F.posexplode(F.shuffle("all", seed)).alias("at", "row"))
+    n_partitions = min(n_buckets, MOST_PARTITIONS)
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "hash"), F.lit(n_buckets)).cast("int")
+    scattered = _records(rows, bucket_bytes, text, seed).withColumn("bucket", bucket).repartitionById(n_partitions, F.pmod("bucket", F.lit(n_partitions)))
+    # Copies lie side by side in a bucket before it is shuffled; equal hashes otherwise mean equal rows.
+    by_hash = F.array_sort(F.collect_list(F.struct("hash", "copies", "row")), lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(0))
+    whole = F.flatten(F.transform(by_hash, lambda x: F.array_repeat(x["row"], x["copies"].cast("int"))))
+    shuffled = scattered.groupBy("bucket").agg(whole.alias("all")).select("bucket", F.posexplode(F.shuffle("all", seed)).alias("at", "row"))
     path = shared_folder(rows.sparkSession, "shards")
     shuffled.write.parquet(path)
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("row", rows.schema)])

@@ -14,8 +14,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder name under ``spark.checkpoint.dir``; in local mode a temporary folder where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
