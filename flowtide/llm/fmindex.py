@@ -1,30 +1,32 @@
-"""A compressed FM-index over many short integer strings, asked for many patterns at once.
+"""A compressed FM-index over many integer strings, asked for matching statistics of many places at once.
 
-The Burrows-Wheeler transform is held as a wavelet matrix: one bit vector for each bit of a symbol, in
-64-bit words with the ones before each word counted. Suffixes are sorted by their first ``DEPTH`` symbols
-only, which is enough for patterns up to that length.
+The Burrows-Wheeler transform is held as a wavelet matrix: one bit vector for each bit of a symbol, with the
+ones before each 256 bits counted, so n symbols out of m take 1.125 * n * log2(m) bits, whatever the length
+of the words that they stand for. Suffixes are sorted in full (to the end of their string) by doubling.
 """
 
 import numpy as np
 
 U = np.uint64
-DEPTH = 8
+BLOCK_WORDS = 4
+_BITS = np.arange(64 * BLOCK_WORDS)
+#: For each place in a block of words the bits before it.
+_BEFORE = np.packbits(_BITS[None, :] < _BITS[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 class Bits:
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
+        padded = np.zeros((len(bits) // len(_BITS) + 1) * len(_BITS), np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.cumsum(counts) - counts
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64).reshape(-1, BLOCK_WORDS)
+        counts = np.bitwise_count(self.words).sum(1, dtype=np.int64)
+        self.before = (np.cumsum(counts) - counts).astype(np.uint32)
         self.zeros = len(bits) - int(counts.sum())
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Ones among the first `at` bits."""
-        word = at >> 6
-        mask = (U(1) << (at & 63).astype(np.uint64)) - U(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        block, place = np.divmod(at, len(_BITS))
+        return self.before[block] + np.bitwise_count(self.words[block] & _BEFORE[place]).sum(1, dtype=np.int64)
 
 
 class WaveletMatrix:
@@ -48,43 +50,50 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over the chains i, next(i), next(next(i)), ... of positions; next is i + step inside one string."""
-
-    def __init__(self, symbols: np.ndarray, left: np.ndarray, step: int):
-        """symbols: ids from 0 of all positions; left: positions of the string from each on, itself included."""
+    def __init__(self, symbols: np.ndarray, left: np.ndarray):
+        """symbols: ids from 0 of all places of all strings; left: places of its string from each on, itself included."""
         n = len(symbols)
-        self.n_symbols = int(symbols.max()) + 2  # 0 stands where a chain begins
+        self.n_symbols = int(symbols.max()) + 2  # 0 stands where a string begins
         symbols = symbols + 1
-        rank, reach = symbols, step
+        rank, reach, longest = symbols, 1, int(left.max())
         while True:
             later = np.zeros(n, np.int64)
             some = np.flatnonzero(left > reach)
             later[some] = rank[some + reach]
             key = rank * (int(rank.max()) + 1) + later
-            if reach * 2 >= DEPTH * step:
+            reach *= 2
+            if reach >= longest:
                 break
             _, rank = np.unique(key, return_inverse=True)
-            rank, reach = rank + 1, reach * 2
+            rank = rank + 1
         order = np.argsort(key, kind="stable")
-        first = np.ones(n, bool)
-        some = np.flatnonzero(left > step) + step
-        first[some] = False
         before = np.zeros(n, np.int64)
-        before[some] = symbols[some - step]
-        last = left <= step
-        transform = np.concatenate([symbols[last], before[order]])  # empty suffixes, one a chain, come first
+        some = np.flatnonzero(left > 1) + 1
+        before[some] = symbols[some - 1]
+        last = left == 1
+        transform = np.concatenate([symbols[last], before[order]])  # empty suffixes, one a string, come first
         counts = np.bincount(symbols, minlength=self.n_symbols)
         counts[0] = int(last.sum())
         self.smaller = np.concatenate([[0], np.cumsum(counts)])
         self.wavelet = WaveletMatrix(transform, self.n_symbols)
 
-    def count(self, patterns: np.ndarray) -> np.ndarray:
-        """Occurrences of each row of symbol ids, by backward search in lockstep."""
-        patterns = patterns + 1
-        n, c = len(patterns), patterns[:, -1]
+    def longest(self, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int = 2) -> np.ndarray:
+        """Matching statistics: where the longest match that ends at each end begins, not before its begin.
+
+        A match is a run of symbols that the index holds `least` times or more. All ends go backward in
+        lockstep; those whose match is over drop out.
+        """
+        out = ends.copy()
+        lanes = np.flatnonzero(ends > begins)
+        c = symbols[ends[lanes] - 1] + 1
         low, high = self.smaller[c], self.smaller[c + 1]
-        for k in range(patterns.shape[1] - 2, -1, -1):
-            c = patterns[:, k]
+        while len(lanes):
+            found = high - low >= least
+            lanes, low, high = lanes[found], low[found], high[found]
+            out[lanes] -= 1
+            on = out[lanes] > begins[lanes]
+            lanes, low, high = lanes[on], low[on], high[on]
+            c = symbols[out[lanes] - 1] + 1
             ranks = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([low, high]))
-            low, high = self.smaller[c] + ranks[:n], self.smaller[c] + ranks[n:]
-        return high - low
+            low, high = self.smaller[c] + ranks[: len(c)], self.smaller[c] + ranks[len(c) :]
+        return out

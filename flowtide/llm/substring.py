@@ -1,8 +1,9 @@
 """Substring dedup: words covered by a window of `min_words` words that starts anywhere else, removed.
 
 The corpus is dealt into shards, each with a compressed FM-index; documents are streamed against the
-index of the shards they share content with, and backward search gives how often each of their windows
-occurs. What makes this linear is how content is dealt:
+index of the shards they share content with, and backward search over its wavelet tree gives their matching
+statistics: the longest match that ends at a word. Matches of min_words or more are reported as intervals.
+What makes this linear is how content is dealt:
 
 1. A window's anchor is the least hash among its ``ANCHOR``-word grams, so equal windows have equal
    anchors. Runs of windows with one anchor form a segment. Anchors are counted over all documents.
@@ -14,12 +15,13 @@ occurs. What makes this linear is how content is dealt:
    at most. Windows of hot grams alone take the least of their grams of all but ``ANCHOR`` - 1 words. Equal
    segments count once there, and what differs at either end lies in a hot gram with the words beside it:
    n copies of a line have n / ``HOT_COUNT`` different ends of a length at most, on each side.
-3. In each shard an FM-index over grams of the segments counts every window by backward search. Intervals
-   of repeated windows go back to the places of their segments, and from there to the documents.
+3. In each shard an FM-index over the words of the segments gives the longest match at every end that no
+   longer match covers. Intervals go back to the places of their segments, and from there to the documents.
+   A task takes shard after shard and holds one at a time.
 
 Defined results: a null text has no words; repeated rows count as further documents, so all their windows
-repeat; a null doc_id is a row like any other; texts under min_words words lose nothing; the operator's
-columns replace input columns of the same names. Equality of words and grams is by 64-bit hashes.
+repeat; a null doc_id is a row like any other; texts under min_words words lose nothing; a very long text
+is a slice of its own; the operator's columns replace input columns of the same names. Equality of words and grams is by 64-bit hashes.
 """
 
 import hashlib
@@ -35,11 +37,9 @@ from pyspark.sql import functions as F
 from .bitmap import Bitmap, bitmap
 from .fmindex import FMIndex
 from .storage import extended, materialize
-from .text import U, Words, binary, grams, slices, utf8
+from .text import U, Words, binary, gather, grams, slices, utf8
 
 MIN_WORDS, ANCHOR = 35, 8
-#: Symbols of a window's pattern in the FM-index.
-PATTERN = 5
 FILTER_BITS, HOT_BITS = 28, 24
 HOT_COUNT, SHARD_SEGMENTS = 10_000, 4_000
 
@@ -175,35 +175,40 @@ def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcas
     return docs.select("text", "id", "text_hash").mapInArrow(task, "anchor long, hash long, id long, text_hash long, at long")
 
 
+def matches(index: FMIndex, symbols: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, low, high): matches of min_words or more that together cover all such matches of all segments.
+
+    Segments stream by their ends, from the last one on. Where the longest match that ends at a place is
+    long enough, it is reported, and the next end asked is the last one of a window that begins before it.
+    """
+    lanes = np.arange(len(first) - 1)
+    ends, found = first[1:].copy(), []
+    lanes = lanes[ends - first[:-1] >= min_words]
+    while len(lanes):
+        begins, end = first[lanes], ends[lanes]
+        start = index.longest(symbols, begins, end)
+        good = end - start >= min_words
+        found.append((lanes[good], start[good], end[good]))
+        ends[lanes] = np.where(good, start + min_words - 1, end - 1)
+        lanes = lanes[(ends[lanes] - begins >= min_words) & ~(good & (start == begins))]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def repeated_intervals(table: pa.Table, min_words: int) -> pa.RecordBatch:
     """Of one shard: word intervals of each distinct segment whose windows occur twice or more in the shard."""
     column = table.column("content").combine_chunks().cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     words = Words(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
-    left, several = words.left(), table.column("n").to_numpy() > 1
-    step = min_words // PATTERN
-    size = min_words - (PATTERN - 1) * step
-    gram = grams(words.hashes(), size)
-    places = np.flatnonzero(left >= size)  # of grams inside one segment
-    _, symbols = np.unique(gram[places], return_inverse=True)
-    index = FMIndex(symbols, left[places] - size + 1, step)
-    number = np.zeros(len(left), np.int64)
-    number[places] = np.arange(len(places))
-    windows = np.flatnonzero(left >= min_words)
-    segment = np.repeat(np.arange(len(words.counts)), words.counts)[windows]
-    repeats = several[segment]
-    for i in range(0, len(windows), 1 << 16):  # documents stream by
-        part = np.flatnonzero(~repeats[i : i + (1 << 16)]) + i
-        repeats[part] = index.count(symbols[number[windows[part]][:, None] + np.arange(PATTERN) * step]) > 1
-    windows, segment = windows[repeats], segment[repeats]
-    begin = np.concatenate([[True], (windows[1:] != windows[:-1] + 1) | (segment[1:] != segment[:-1])])[: len(windows)]
-    new = np.flatnonzero(begin)
-    last = np.append(new[1:], len(windows))[: len(new)] - 1
-    of = segment[new]
-    first = words.first[of]
-    take = pa.array(of)
-    return pa.RecordBatch.from_pydict({"anchor": table.column("anchor").take(take).combine_chunks(), "hash": table.column("hash").take(take).combine_chunks(), "low": pa.array(windows[new] - first), "high": pa.array(windows[last] + min_words - first)})
+    _, symbols = np.unique(words.hashes(), return_inverse=True)
+    # A segment that occurs several times is indexed twice: as often as a match needs.
+    twice = np.flatnonzero(table.column("n").to_numpy() > 1)
+    again = gather(words.first[twice], words.counts[twice])
+    left = words.left()
+    index = FMIndex(np.concatenate([symbols, symbols[again]]), np.concatenate([left, left[again]]))
+    of, low, high = matches(index, symbols, words.first, min_words)
+    first, take = words.first[of], pa.array(of)
+    return pa.RecordBatch.from_pydict({"anchor": table.column("anchor").take(take).combine_chunks(), "hash": table.column("hash").take(take).combine_chunks(), "low": pa.array(low - first), "high": pa.array(high - first)})
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,14 +218,26 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     most = F.least("n", F.lit(2 * HOT_COUNT))  # counted more often are only segments of hot grams, mostly equal
     n_shards = max(1, -(-(counts.agg(F.sum(most)).first()[0] or 0) // SHARD_SEGMENTS))
     distinct = segments(docs, min_words, repeated, hot, True).groupBy("anchor", "content").agg(F.count("*").alias("n"))
-    sharded = distinct.withColumn("hash", F.xxhash64("content")).repartitionById(n_shards, F.pmod("anchor", F.lit(n_shards)).cast("int"))
+    sharded = distinct.select("anchor", "content", "n", F.xxhash64("content").alias("hash"), F.pmod("anchor", F.lit(n_shards)).alias("shard"))
+    # A task takes many shards, one after the other: as many tasks as the session shuffles into.
+    sharded = sharded.repartition("shard").sortWithinPartitions("shard")
 
-    def shard(batches):
-        held = list(batches)
-        if sum(b.num_rows for b in held):
+    def shards(batches):
+        held, last = [], None
+        for batch in batches:
+            number = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    if held and number[i] != last:
+                        yield repeated_intervals(pa.Table.from_batches(held), min_words)
+                        held = []
+                    last = number[i]
+                    held.append(batch.slice(i, j - i))
+        if held:
             yield repeated_intervals(pa.Table.from_batches(held), min_words)
 
-    found = sharded.mapInArrow(shard, "anchor long, hash long, low long, high long")
+    found = sharded.mapInArrow(shards, "anchor long, hash long, low long, high long")
     places = segments(docs, min_words, repeated, hot, False)
     return places.join(found, ["anchor", "hash"]).select("id", "text_hash", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
 
