@@ -103,20 +103,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.
     return _digests(documents(spark, sf_dir), ranks)
 
 
+def packed(docs: DataFrame, operator, *more: str) -> DataFrame:
+    """An operator's rows with the columns of docs, of which those besides doc_id and text travel in one struct.
+
+    So a caller's columns survive that are named like the operator's own.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *others).alias("__row"))
+    columns = [c if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns]
+    return operator(narrow).select(*columns, *more)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     from . import quality
 
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter("predicted = 1").select(docs.columns)
+    return packed(docs, lambda d: quality.score_quality(d, model).filter("predicted = 1"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    from . import simhash
+    """One document of each component of near-copies: five-word shingles, similarity 0.8 or more."""
+    from . import nearcopies
 
     bound_batches(spark)
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -124,9 +135,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from . import substring
 
     bound_batches(spark)
-    kept = substring.remove_repeats(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).select(docs.columns)
+    kept = packed(docs, lambda d: substring.remove_repeats(d).withColumn("__cut", F.col("n_removed") > 0), "__cut")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

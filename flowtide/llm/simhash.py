@@ -21,8 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .bitmap import bitmap
 from .components import stars
 from .storage import materialize
 from .text import LOWER, U, Words, gather, slices, utf8
@@ -31,6 +33,8 @@ WORDS, DISTANCE, SEED = 3, 3, 42
 BLOCK_ROWS = 100_000
 #: Fingerprints that a task works on at a time, and pairs that it holds at a time.
 CHUNK_ROWS, CHUNK_PAIRS = 200_000, 1_000_000
+#: Of the bitmap of rows that may have to go.
+FILTER_BITS = 27
 
 
 def simhashes(data: np.ndarray, offsets: np.ndarray, n_words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -178,15 +182,39 @@ def keep_one(docs: DataFrame, n_words: int = WORDS, distance: int = DISTANCE) ->
     Rows alike in doc_id and text are one document; null doc_ids come after all others.
     """
     fps = materialize(fingerprints(docs, n_words), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("kept")
-    own = fps.groupBy("fp").agg(first)
+    own = fps.groupBy("fp").agg(first_row().alias("kept"))
     roots = own.join(components(fps, distance), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "kept")
-    kept = roots.groupBy("root").agg(F.min("kept").alias("kept")).select(_key("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
-    keyed = docs.withColumns({"__id": _key("doc_id"), "__hash": F.xxhash64("text")})
-    once = Window.partitionBy("__id", "__hash").orderBy(F.col("doc_id").isNull(), F.length("text"))
-    single = keyed.withColumn("__row", F.row_number().over(once)).filter("__row = 1")
-    return single.join(kept, ["__id", "__hash"], "left_semi").drop("__id", "__hash", "__row")
+    return only_kept(docs, fps, roots.groupBy("root").agg(F.min("kept").alias("kept")))
 
 
+def only_kept(docs: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each of groups' kept (doc_id, text_hash); fps has those of all rows.
+
+    Texts of rows that surely stay aren't shuffled: a bitmap of fixed size says which may have to go.
+    """
+    kept = groups.select(_key("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash"), F.lit(True).alias("__kept"))
+    rows = fps.select(_key("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).groupBy("__id", "__hash").agg(F.count("*").alias("__n"))
+    doubtful = rows.join(kept, ["__id", "__hash"], "left").filter("__kept IS NULL OR __n > 1")
+    doubtful = materialize(doubtful.select("__id", "__hash", F.col("__kept").isNotNull().alias("__stays")), "doubtful")
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(doubtful.select(F.xxhash64("__id", "__hash").alias("mark")), "mark", FILTER_BITS))
+    keyed = docs.withColumns({"__id": _key("doc_id"), "__hash": F.xxhash64("text")}).withColumn("__mark", F.xxhash64("__id", "__hash"))
+    schema = T.StructType([*keyed.schema.fields[:-1], T.StructField("__doubt", T.BooleanType())])
+
+    def task(batches):
+        for batch in batches:
+            held = marks.value.holds(batch.column("__mark").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held)], names=schema.names)
+
+    marked = keyed.mapInArrow(task, schema)
+    unsure = marked.filter("__doubt").join(doubtful, ["__id", "__hash"], "left").filter("coalesce(__stays, true)")
+    once = Window.partitionBy("__id", "__hash").orderBy(F.col("doc_id").isNull())
+    unsure = unsure.withColumn("__row", F.row_number().over(once)).filter("__row = 1")
+    return marked.filter("NOT __doubt").select(docs.columns).unionAll(unsure.select(docs.columns))
+
+
+def first_row():
+    """Of several rows the first that has an id, by id and text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash"))
+
 def _key(column: str):
     return F.coalesce(F.col(column), F.lit(-(1 << 63)))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowtide.llm import ann, decontaminate, quality, sharding, toxicity, urlfilter
@@ -33,6 +34,36 @@ def test_sharding(spark):
     assert sharding.shuffle_into_shards(df.limit(3), 10).agg(F.max("slot")).first()[0] == 0
 
 
+def test_shards_depend_on_rows_alone(spark):
+    """Equal shards whatever the input's cut; copies that would fill buckets are spread."""
+    rows = [(i, prose(5), "x", "y") for i in range(300)] + [(7, "same " * 9, "", "")] * 500 + [(None, None, None, None)] * 3
+    R.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS)
+    shards = []
+    for parts in (1, 7):
+        got = sharding.shuffle_into_shards(df.repartition(parts), 4, bucket_bytes=2000).collect()
+        assert len(got) == len(rows) and sorted(str(r[:3]) for r in got) == sorted(str(r[:3]) for r in rows)
+        shards.append(sorted((r.shard, r.slot, str(r.doc_id), r.text or "") for r in got))
+    assert shards[0] == shards[1]
+    per_shard = [sum(r[2] == "7" for r in shards[0] if r[0] == s) for s in range(4)]
+    assert min(per_shard) > 80
+
+
+def test_repetitive_documents():
+    """A phrase that a document repeats thousands of times: the same tiles, in bounded chunks."""
+    phrase = np.arange(6)
+    doc, item = np.tile(phrase, 700), np.concatenate([np.tile(phrase, 12), np.arange(100, 140)])
+    seed = lambda x: np.array([hash(tuple(x[i : i + 5])) for i in range(len(x) - 4)])
+    a, b = seed(doc), seed(item)
+    pairs = np.array([(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y]])
+    want = sorted(map(tuple, decontaminate.runs(pairs[:, 0], pairs[:, 1]).tolist()))
+    before, decontaminate.CHUNK_PLACES = decontaminate.CHUNK_PLACES, 1000
+    found = decontaminate.shared_runs(np.arange(len(a)), a, np.arange(len(b)), b)
+    decontaminate.CHUNK_PLACES = before
+    assert sorted(map(tuple, found.tolist())) == want and len(pairs) > 40_000
+    assert sum(n for *_, n in decontaminate.greedy(found)) == 72
+
+
 def auc(scores, labels):
     order = np.argsort(np.argsort(scores))
     pos = order[np.array(labels) == 1]
@@ -128,11 +159,40 @@ def test_neighbours_brute_force(spark):
     assert [(x.rank, {1, 2} >= {x.id}) for x in sorted(few, key=lambda x: x.rank)] == [(1, True), (2, True)]
 
 
-def test_neighbours_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAF_ROWS", 7)
-    r = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(101, 4)))], "vec_id long, embedding array<double>")
-    assert ann.search(df, F.col("id") % 50 == 0).count() == 15
+def recall(found, m):
+    hits, queries = 0, sorted({x.query_id for x in found})
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in queries:
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        hits += len({x.id for x in found if x.query_id == q} & set(np.argsort(-cosine)[:5].tolist()))
+    return hits / 5 / len(queries)
+
+
+def test_neighbours_in_cells(spark):
+    """Many small cells and chunks of them: the exact way finds what brute force finds."""
+    m = np.random.default_rng(4).normal(size=(1001, 6))
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(m)], "vec_id long, embedding array<double>, rank string")
+    assert recall(ann.search(df, F.col("id") % 50 == 0, cell_rows=40, exact=True).collect(), m) == 1
+    assert recall(ann.search(df, F.col("id") % 50 == 0, cell_rows=40).collect(), m) > 0.8
+    hot = df.select("vec_id", F.when(F.col("vec_id") < 600, F.transform("embedding", lambda x: x * 1e-4 + 1.0)).otherwise(F.col("embedding")).alias("embedding"))
+    near = np.where(np.arange(1001)[:, None] < 600, m * 1e-4 + 1, m)
+    assert recall(ann.search(hot, F.col("id") % 50 == 0, cell_rows=100, exact=True).collect(), near) > 0.97  # cosines of the near ones are all but equal
+
+
+@pytest.mark.parametrize("spread", [None, 0.25])
+def test_neighbours_of_many_vectors(spread):
+    """Recall and the share of vectors met at 32,768 vectors in a cell, without structure and in clusters."""
+    r = np.random.default_rng(1)
+    n = ann.CELL_ROWS
+    m = r.normal(size=(n, 64)) if spread is None else r.normal(size=(300, 64))[r.integers(300, size=n)] + spread * r.normal(size=(n, 64))
+    cell, hits, queries = ann.Cell(np.arange(n), m), 0, range(0, n, 500)
+    for q in queries:
+        cosine = cell.unit @ cell.unit[q]
+        cosine[q] = -2
+        hits += len(set(np.argsort(-cosine)[:5].tolist()) & set(cell.nearest(m[q], 6, ann.REACH, 2.0)[0].tolist()))
+    share = cell.n_cosines / len(queries) / n
+    assert hits / 5 / len(queries) >= 0.9 and share <= (0.25 if spread is None else 0.12)
 
 
 def brute_tiles(doc, item, k):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from flowtide.llm import bpe, quality, storage
 
-from .test_dedup import WORD, brute_components, brute_repeats, brute_simhash
+from .test_dedup import WORD, brute_near, brute_repeats
 from .test_models import brute_tiles
 
 SF = "/root/testdata/sf0.001"
@@ -48,8 +48,7 @@ def test_stages(spark):
 
     rows = kept.collect()
     order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0))
-    fps = [brute_simhash(rows[i].text) for i in order]
-    single = sorted({(str(rows[order[c]].doc_id), rows[order[c]].text or "") for c in brute_components(fps)})
+    single = sorted({(str(rows[order[c]].doc_id), rows[order[c]].text or "") for c in brute_near([rows[i].text for i in order])})
     kept = storage.materialize(stages["near_dedup"](spark, kept, SF), "t")
     assert kept.columns == COLUMNS
     assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == single
@@ -83,3 +82,21 @@ def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     done = corpus_pipeline.run(spark, SF)
     assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < done.count() < 200
+
+
+def test_stages_keep_callers_columns(spark):
+    """Columns named like the operators' own come out as they went in, with or without n_chars."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars").limit(60)
+    clashing = ["score", "predicted", "n_words", "n_removed", "kept_sha256", "uid", "text_hash", "ids", "fp"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clashing})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in clashing), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 60
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

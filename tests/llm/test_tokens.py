@@ -36,7 +36,7 @@ def test_every_token_encodes_to_itself():
     assert all(CODEC._short(t) == [r] for r, t in list(CODEC.tokens.items())[::37])
 
 
-@pytest.mark.parametrize("leaf", [7, 33, 4096])
+@pytest.mark.parametrize("leaf", [7, 33, 256, 4096])
 def test_tree_is_the_library(monkeypatch, leaf):
     monkeypatch.setattr(bpe, "LEAF_CHARACTERS", leaf)
     for text in long_texts():
@@ -86,7 +86,7 @@ def test_files_round_trip(spark):
     for x in got:
         want[x.doc_id].remove(bytes(x.ids))
     # one document alone is read from its file
-    row = manifest.orderBy("part").first()
+    row = manifest.orderBy("part", "file").first()
     with tokenfiles.open_file(row.path) as file:
         reader = tokenfiles.TokenReader(file)
         one = next(reader.ids(len(reader) - 1))
@@ -94,13 +94,30 @@ def test_files_round_trip(spark):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(df.limit(0), BYTE, 2)).count() == 0
 
 
+def test_rows_alike_spread_over_files(spark):
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text in every row " * 4).alias("text"))
+    manifest = tokenfiles.write_token_files(same, BYTE, 2, file_bytes=500_000)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) >= 4 and sum(sizes) == 20_000 and max(sizes) < 12_000
+    assert tokenfiles.read_token_files(manifest).select("start").distinct().count() == 20_000
+
+
+def test_other_splits_are_refused(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(BYTE)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    other.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        pretokens.PieceEncoder(str(tmp_path / "t.json"))
+
+
 def test_damage_is_found(spark, tmp_path):
     path = f"file://{tmp_path}/x.zst"
-    with tokenfiles.open_file(path, write=True) as stream:
-        writer = tokenfiles.TokenWriter(stream, 2)
-        for k in range(3):
-            writer.add(k, bytes(range(200)) * (k + 1))
-        writer.finish()
+    writer = tokenfiles.TokenWriter(path, 2)
+    for k in range(3):
+        writer.add(k, bytes(range(200)) * (k + 1))
+    assert writer.finish() == (path, 3, 600)
     raw = bytearray((tmp_path / "x.zst").read_bytes())
     with tokenfiles.open_file(path) as file:
         assert len(next(tokenfiles.TokenReader(file).ids(1))) == 200
@@ -122,6 +139,11 @@ def test_bpe_rows(spark):
     assert bpe.encode(df.limit(0), MULTI, P.PATTERN).count() == 0
 
 
+def test_most_documents_pass_the_tree(spark):
+    n_long = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.char_length("text") > bpe.LEAF_CHARACTERS).count()
+    assert n_long > 900  # of 1000
+
+
 def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"abc"))).first()[0] == zlib.crc32(b"abc")
 
