@@ -1,5 +1,6 @@
 """TCP flags and the connection state machine as expressions."""
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +77,8 @@ def next_state_number(state: int, flags: int, egress: bool) -> int:
         if before in (None, name) and flags & (on | off) == on and needs in (None, direction):
             return _NUMBER[after]
     return state
+
+
+def next_states() -> np.ndarray:
+    """The same step for all packets: a row for each 2 * flags + egress, a column for each state."""
+    return np.array([[next_state_number(state, flags, bool(egress)) for state in range(len(STATES))] for flags in range(256) for egress in (0, 1)])

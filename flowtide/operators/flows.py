@@ -102,71 +102,154 @@ def tcp_timing(packets: DataFrame, order: list[str]) -> DataFrame:
     return out.select(key_id().alias("community_id"), "host", handshake.alias("handshake_ns"), "latency_sum_ns", "transactions", mean.alias("latency_mean_ns"))
 
 
-FOLDED = "session int, start_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_a_to_b boolean, place long"
+FOLDED = "start_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_a_to_b boolean, place long"
+
+
+def observed_key(df: DataFrame) -> list[str]:
+    """A flow is one host's view of a conversation, where packets say whose."""
+    return [*[c for c in ("host",) if c in df.columns], *KEY]
+
+
+def with_runs(keyed: DataFrame, key: list[str], timeouts: Timeouts) -> DataFrame:
+    """Adds run: a flow's packets between pauses over the longest timeout of its protocol.
+
+    Pauses are found on first and last times of fixed slices of time, so that a flow with very many packets
+    is spread over tasks from the start; flows without a pause join nothing.
+    """
+    t = timeouts
+    slot = F.expr(f"ts_ns DIV {max(t.icmp, t.tcp, t.udp, t.other) * SECOND}")
+    keyed = keyed.withColumn("slot", slot)
+    by_time = Window.partitionBy(*key).orderBy("slot")
+    slices = keyed.groupBy(*key, "slot").agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"))
+    pause = F.col("first") - F.lag("last").over(by_time) > timeouts.idle_ns(F.col("proto"))
+    runs = slices.withColumn("pause", pause).withColumn("run", F.count_if("pause").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return keyed.join(runs.filter("run > 0").select(*key, "slot", "run"), [*key, "slot"], "left").withColumn("run", F.coalesce("run", F.lit(0))).drop("slot")
+
+
+class Fold:
+    """Sessions, states and waits of packets in the order of their runs, a batch at a time."""
+
+    def __init__(self, timeouts: Timeouts):
+        t = self.timeouts = timeouts
+        self.idle = np.full(256, t.other, np.int64) * SECOND
+        self.idle[[TCP, UDP, ICMP, ICMPV6]] = np.array([t.tcp, t.udp, t.icmp, t.icmp]) * SECOND
+        self.shortest = min(t.tcp, t.tcp_fin, t.tcp_rst) * SECOND
+        self.next = tcp.next_states()
+        self.last: dict | None = None
+
+    def _cuts(self, new, proto, ts, before, flags) -> np.ndarray:
+        """Where a session begins inside a run. Only pauses that some timeout allows are looked at one by one."""
+        is_tcp, pause = proto == TCP, ts - before
+        cut = ~new & (pause > self.idle[proto])
+        counts = {bit: np.cumsum((flags & bit) != 0) for bit in (tcp.FIN, tcp.RST)}
+        unsure = np.flatnonzero(~new & ~cut & is_tcp & (pause > self.shortest))
+        starts = np.maximum.accumulate(np.where(new | cut, np.arange(len(ts)), -1))
+        begun = -1  # the last session that begins at an unsure place
+        for i in unsure.tolist():
+            start = max(int(starts[i]), begun)
+            seen = {bit: int(c[i - 1] - (c[start - 1] if start > 0 else 0)) if i else 0 for bit, c in counts.items()}
+            carried = self.last["seen"] if start < 0 else 0
+            t = self.timeouts
+            idle = t.tcp_rst if seen[tcp.RST] or carried & tcp.RST else t.tcp_fin if seen[tcp.FIN] or carried & tcp.FIN else t.tcp
+            if pause[i] > idle * SECOND:
+                cut[i], begun = True, i
+        return cut
+
+    def batch(self, new, proto, ts, flags, egress, along, payload) -> dict[str, np.ndarray]:
+        n, last, row = len(ts), self.last or dict.fromkeys(("ts", "start", "seen", "state", "jitter", "sum", "waits", "first", "payload", "payload_along", "place"), 0), np.arange(len(ts))
+        cut = self._cuts(new, proto, ts, np.concatenate([[last["ts"]], ts[:-1]]), flags)
+        begins = new | cut
+        start = np.maximum.accumulate(np.where(begins, row, -1))
+        carried, at = start < 0, np.maximum(start, 0)
+        out = {"start_ns": np.where(carried, last["start"], ts[at]), "first_a_to_b": np.where(carried, last["first"], along[at]).astype(bool)}
+        seen = np.where(carried, last["seen"], 0)
+        for bit in (1 << k for k in range(8)):
+            seen |= np.where(np.maximum.accumulate(np.where(flags & bit, row, -1)) >= at, bit, 0)
+        out["seen"] = seen
+        run = np.maximum.accumulate(np.where(new, row, -1))
+        out["place"] = np.where(run < 0, last["place"] + 1 + row, row - run)
+        # Waits: from the payload packet before, of the same session, to one that runs the other way.
+        speaks = payload & (proto == TCP)
+        spoke = np.concatenate([[-1], np.maximum.accumulate(np.where(speaks, row, -1))[:-1]])
+        known = spoke >= at
+        held = carried & (spoke < 0) & (last["payload"] is not None)
+        when = np.where(known, ts[np.maximum(spoke, 0)], last["payload"] or 0)
+        way = np.where(known, along[np.maximum(spoke, 0)], bool(last["payload_along"]))
+        turned = speaks & (known | held) & (way != along)
+        wait = np.where(turned, ts - when, 0)
+        sums, turns = np.cumsum(wait), np.cumsum(turned)
+        out["wait_sum_ns"] = sums - np.where(carried, -last["sum"], sums[at] - wait[at])
+        out["waits"] = turns - np.where(carried, -last["waits"], turns[at] - turned[at])
+        jitters, jitter, owner = np.zeros(n, np.int64), last["jitter"], -1
+        places = np.flatnonzero(turned)
+        for i, own, value in zip(places.tolist(), start[places].tolist(), np.minimum(wait[places], 0xFFFFFFFF).tolist()):
+            if own != owner:
+                jitter, owner = 0, own
+            off = value - jitter
+            jitter += off // 16 if off >= 0 else -(-off // 16)
+            jitters[i] = jitter
+        latest = np.maximum.accumulate(np.where(turned, row, -1))
+        out["jitter_ns"] = np.where(latest >= at, jitters[np.maximum(latest, 0)], np.where(carried, np.where(latest >= 0, jitters[np.maximum(latest, 0)], last["jitter"]), 0))
+        # States: packets that can't change any state are passed over.
+        states, state, table = np.zeros(n, np.int64), last["state"], self.next
+        codes = np.where(proto == TCP, 2 * (flags & 255) + egress, 0)
+        moving = np.flatnonzero(begins | ((proto == TCP) & (table != np.arange(table.shape[1])).any(axis=1)[codes]))
+        steps = table.tolist()
+        for i, opens, code, live in zip(moving.tolist(), begins[moving].tolist(), codes[moving].tolist(), (proto[moving] == TCP).tolist()):
+            state = 0 if opens else state
+            state = steps[code][state] if live else 0
+            states[i] = state
+        moved = np.maximum.accumulate(np.where(np.isin(row, moving), row, -1))
+        out["state"] = np.where(moved < 0, last["state"], states[np.maximum(moved, 0)])
+        final = np.flatnonzero(speaks & (row >= at[-1])) if not carried[-1] else np.flatnonzero(speaks)
+        spoken = (int(ts[final[-1]]), bool(along[final[-1]])) if len(final) else (last["payload"], last["payload_along"]) if carried[-1] else (None, None)
+        self.last = {"ts": int(ts[-1]), "payload": spoken[0], "payload_along": spoken[1]} | {k: out[c][-1].item() for k, c in (("start", "start_ns"), ("seen", "seen"), ("state", "state"), ("jitter", "jitter_ns"), ("sum", "wait_sum_ns"), ("waits", "waits"), ("first", "first_a_to_b"), ("place", "place"))}
+        return out
 
 
 def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Timeouts(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a packet: its flow key, its session, and the session's state and jitter as of the packet.
 
-    A session ends when no packet comes for the timeout, which depends on the flags that the session has
-    seen. Jitter is J += (|D| - J) / 16 in whole numbers over the waits D of transactions.
+    Flows are those of one host, where packets have a host. A session ends when no packet comes for the
+    timeout, which depends on the flags that the session has seen. Jitter is J += (|D| - J) / 16 in whole
+    numbers over the waits D of transactions. What is dealt to tasks is a run of a flow without a pause over
+    its longest timeout; a run of any length is folded with a state of a few numbers.
     """
+    key = observed_key(packets)
     columns = ["ts_ns", "len", "tcp_flags", "direction", "has_payload", *keep]
     tail = [c for c in order if c not in columns]
-    keyed = with_key(packets).withColumn("egress", F.col("direction") == "egress").select(*KEY, *columns, *tail, "a_to_b", "egress")
-    placed = keyed.repartition(*KEY).sortWithinPartitions(*KEY, *order).drop(*tail)
-    schema = StructType(placed.schema.fields + StructType.fromDDL(FOLDED).fields)
-    t = timeouts
-    seconds = {TCP: t.tcp, UDP: t.udp, ICMP: t.icmp, ICMPV6: t.icmp}
+    keyed = with_key(packets).withColumn("egress", F.col("direction") == "egress").select(*key, *columns, *tail, "a_to_b", "egress")
+    placed = with_runs(keyed, key, timeouts).repartition(*key, "run").sortWithinPartitions(*key, "run", *order).drop(*tail)
+    schema = StructType([*placed.drop("run").schema.fields, *StructType.fromDDL(FOLDED).fields])
+    kinds = {f.name: pa.bool_() if f.dataType.typeName() == "boolean" else pa.int64() if f.dataType.typeName() == "long" else pa.int32() for f in StructType.fromDDL(FOLDED).fields}
 
     def task(batches):
-        last_key = last = None
-        place = 0
+        fold, last_key = Fold(timeouts), None
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            new = np.ones(batch.num_rows, bool)
-            same = [pc.equal(batch.column(c).slice(1), batch.column(c).slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False) for c in KEY]
+            new = np.ones(n, bool)
+            whole = [*key, "run"]
+            same = [pc.equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in whole]
             new[1:] = ~np.logical_and.reduce(same)
-            key = tuple(batch.column(c)[0].as_py() for c in KEY)
-            new[0] = key != last_key
-            last_key = tuple(batch.column(c)[-1].as_py() for c in KEY)
-            out: list[tuple] = []
-            rows = zip(new.tolist(), *(batch.column(c).to_pylist() for c in ("proto", "ts_ns", "tcp_flags", "egress", "a_to_b", "has_payload")))
-            for begins, proto, ts, flags, egress, along, payload in rows:
-                place += 1
-                if begins:
-                    last, place = None, 0
-                if last is not None:
-                    session, start, seen, state, jitter, wait_sum, waits, first, payload_ts, payload_along, last_ts = last
-                    idle = seconds.get(proto, t.other)
-                    if proto == TCP and seen & (tcp.RST | tcp.FIN):
-                        idle = t.tcp_rst if seen & tcp.RST else t.tcp_fin
-                if last is None or ts - last_ts > idle * SECOND:
-                    session, start, seen, state, jitter, wait_sum, waits, first = 0 if last is None else session + 1, ts, 0, 0, 0, 0, 0, along
-                    payload_ts = payload_along = None
-                seen |= flags
-                if proto == TCP:
-                    state = tcp.next_state_number(state, flags, egress)
-                    if payload:
-                        if payload_ts is not None and payload_along != along:
-                            wait = ts - payload_ts
-                            wait_sum, waits = wait_sum + wait, waits + 1
-                            off = min(wait, 0xFFFFFFFF) - jitter
-                            jitter += off // 16 if off >= 0 else -(-off // 16)
-                        payload_ts, payload_along = ts, along
-                last = session, start, seen, state, jitter, wait_sum, waits, first, payload_ts, payload_along, ts
-                out.append((*last[:8], place))
-            folded = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *folded], names=schema.names)
-
-    return placed.mapInArrow(task, schema)
+            new[0] = tuple(batch.column(c)[0].as_py() for c in whole) != last_key
+            last_key = tuple(batch.column(c)[-1].as_py() for c in whole)
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("proto", "ts_ns", "tcp_flags", "egress", "a_to_b", "has_payload")]
+            out = fold.batch(new, *(v.astype(bool) if v.dtype == object else v for v in values))
+            kept = [batch.column(f.name) for f in schema.fields[: -len(kinds)]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[c]).cast(kind) for c, kind in kinds.items())], names=schema.names)
+
+    folded = placed.mapInArrow(task, schema)
+    # Spark leaves this out where nobody asks for the number.
+    return folded.withColumn("session", F.dense_rank().over(Window.partitionBy(*key).orderBy("start_ns")) - 1)
 
 
 def sessions(folded: DataFrame) -> DataFrame:
     """One row a session: times, counters each way of its first packet, flags, state, jitter and end reason."""
+    key = observed_key(folded)
     forward = F.col("a_to_b") == F.col("first_a_to_b")
-    grouped = folded.groupBy(*KEY, "session", "start_ns").agg(
+    grouped = folded.groupBy(*key, "start_ns").agg(
         F.max("ts_ns").alias("end_ns"),
         F.any_value("first_a_to_b").alias("first_a_to_b"),
         F.count_if(forward).alias("fwd_packets"),
@@ -177,7 +260,8 @@ def sessions(folded: DataFrame) -> DataFrame:
         *_as_of_end(),
     )
     columns = {"community_id": key_id(), **_oriented(), "state": lookup(F.col("state"), STATES), "end_reason": end_reason(F.col("tcp_flags"), F.lit(True))}
-    return grouped.withColumns(columns).drop("a_ip", "a_port", "b_ip", "b_port", "first_a_to_b")
+    numbered = grouped.withColumn("session", F.row_number().over(Window.partitionBy(*key).orderBy("start_ns")) - 1)
+    return numbered.withColumns(columns).drop("a_ip", "a_port", "b_ip", "b_port", "first_a_to_b")
 
 
 def _as_of_end() -> list[Column]:
@@ -205,13 +289,15 @@ def interval_records(folded: DataFrame, metadata: tuple[str, ...] = (), timeouts
     for name, mine in side.items():
         aggs += [F.count_if(mine).alias(f"{name}_packets_delta"), F.sum(F.when(mine, F.col("len")).otherwise(0)).alias(f"{name}_bytes_delta")]
         aggs += [F.min_by(m, F.when(mine, F.col("place"))).alias(f"{name}_{m}") for m in metadata]
-    records = numbered.groupBy(*KEY, "session", "start_ns", "interval").agg(*aggs, *_as_of_end())
-    so_far = Window.partitionBy(*KEY, "session").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
+    key = observed_key(folded)
+    records = numbered.groupBy(*key, "start_ns", "interval").agg(*aggs, *_as_of_end())
+    so_far = Window.partitionBy(*key, "start_ns").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
     totals = {f"{n}_{what}_total": F.sum(f"{n}_{what}_delta").over(so_far) for n in side for what in ("packets", "bytes")}
-    ordered = Window.partitionBy(*KEY, "session").orderBy("interval")
+    ordered = Window.partitionBy(*key, "start_ns").orderBy("interval")
     last = F.lead("interval").over(ordered).isNull()
     seen = F.bit_or("tcp_flags").over(so_far)
-    records = records.withColumns({**totals, "tcp_flags": seen, "end_reason": end_reason(seen, last)})
+    number = F.dense_rank().over(Window.partitionBy(*key).orderBy("start_ns")) - 1
+    records = records.withColumns({**totals, "tcp_flags": seen, "end_reason": end_reason(seen, last), "session": number})
     return records.withColumns({"community_id": key_id(), **_oriented(), "state": lookup(F.col("state"), STATES)}).drop("a_ip", "a_port", "b_ip", "b_port", "first_a_to_b")
 
 

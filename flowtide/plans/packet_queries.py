@@ -75,7 +75,7 @@ def packet_states(spark, sf_dir):
 
 @query(
     f"""WITH {S.RECORDS}, s AS (
-  SELECT community_id, proto, src_ip, src_port, dst_ip, dst_port, session, start_ns, max(record_end_ns) AS end_ns, bit_or(tcp_flags) AS tcp_flags,
+  SELECT host, community_id, proto, src_ip, src_port, dst_ip, dst_port, session, start_ns, max(record_end_ns) AS end_ns, bit_or(tcp_flags) AS tcp_flags,
     CAST(sum(fwd_packets_delta) AS BIGINT) AS fwd_packets, CAST(sum(rev_packets_delta) AS BIGINT) AS rev_packets, CAST(sum(fwd_bytes_delta) AS BIGINT) AS fwd_bytes, CAST(sum(rev_bytes_delta) AS BIGINT) AS rev_bytes,
     arg_max(state, interval) AS state, arg_max(jitter_ns, interval) AS jitter_ns, arg_max(wait_sum_ns, interval) AS wait_sum_ns, arg_max(waits, interval) AS waits, arg_max(end_reason, interval) AS end_reason
   FROM records GROUP BY ALL
@@ -167,7 +167,7 @@ def lifecycle_counters(spark, sf_dir):
 
 
 @query(
-    f"""WITH {S.RECORDS}, s AS (SELECT start_ns, max(record_end_ns) AS end_ns FROM records GROUP BY community_id, session, start_ns), c AS (SELECT start_ns AS moment, 1 AS change FROM s UNION ALL SELECT end_ns, -1 FROM s),
+    f"""WITH {S.RECORDS}, s AS (SELECT start_ns, max(record_end_ns) AS end_ns FROM records GROUP BY host, community_id, session, start_ns), c AS (SELECT start_ns AS moment, 1 AS change FROM s UNION ALL SELECT end_ns, -1 FROM s),
 t AS (SELECT moment - moment % 60000000000 AS step_ns, sum(change) AS change FROM c GROUP BY ALL) SELECT step_ns, CAST(sum(change) OVER (ORDER BY step_ns) AS BIGINT) AS active FROM t"""
 )
 def active_flows(spark, sf_dir):

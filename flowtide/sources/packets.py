@@ -72,7 +72,7 @@ LINES = PacketTable(
     ["ts_ns", "ln", *(f"tie{i}" for i in range(1, 10))],
 )
 
-#: One packet an event, fifty conversations: long flows with gaps. ICMP has its type as source port.
+#: One packet an event, fifty conversations that two hosts each see a part of: long flows with gaps. ICMP has its type as source port.
 EVENTS = PacketTable(
     ("events",),
     """raw AS (
@@ -82,10 +82,10 @@ EVENTS = PacketTable(
     40000 + user_id%50 AS client_port,
     CASE user_id%50%4 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 53 ELSE 8080 END AS server_port,
     CASE WHEN user_id%50%10=9 THEN 1 WHEN user_id%50%4=2 THEN 17 ELSE 6 END AS proto,
-    CAST(1 + user_id%50%3 AS INT) AS ifindex, event_type, value
+    CAST(1 + user_id%50%3 AS INT) AS ifindex, CAST(event_id%7%2 AS INT) AS host, event_type, value
   FROM {events}
 ), shaped AS (
-  SELECT packet_id, ts_ns, conn, from_client, len, proto, ifindex, client_ip, server_ip,
+  SELECT packet_id, ts_ns, conn, from_client, len, proto, ifindex, host, client_ip, server_ip,
     CASE WHEN proto <> 6 THEN 0 WHEN event_type='signup' THEN CASE WHEN from_client THEN 2 ELSE 18 END
       WHEN event_type IN ('click','purchase') THEN 24
       WHEN event_type='error' AND value>480 THEN 4 WHEN event_type='error' AND value>400 THEN 17 ELSE 16 END AS tcp_flags,
@@ -93,7 +93,7 @@ EVENTS = PacketTable(
     CASE WHEN proto=1 THEN 0 ELSE server_port END AS server_port
   FROM raw
 ), packets AS (
-  SELECT packet_id, ts_ns, conn, len, proto, ifindex, tcp_flags, tcp_flags = 24 AS has_payload,
+  SELECT packet_id, ts_ns, conn, len, proto, ifindex, host, tcp_flags, tcp_flags = 24 AS has_payload,
     CASE WHEN from_client THEN 'egress' ELSE 'ingress' END AS direction,
     """ + _ENDS + """ FROM shaped
 )""",

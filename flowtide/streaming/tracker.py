@@ -1,7 +1,8 @@
 """The flow tracker on Structured Streaming: one state of a few numbers a flow, timers in event time.
 
 Packets of a flow update its state; a record is emitted when a record interval is over, when the flow has
-idled out (an event-time timer), or when a later packet shows that it had. The batch twin is
+idled out (an event-time timer), or when a later packet shows that it had. A session is known by its flow
+and its start_ns, so nothing has to be kept of sessions that are over. The batch twin is
 flows.interval_records over flows.session_fold, which gives the same records once every flow is closed.
 
 Packets later than the watermark are dropped by Spark before they reach the tracker; `late` splits them
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import tcp
-from ..functions.addresses import KEY, with_key
+from ..functions.addresses import with_key
 from ..functions.names import END_REASONS, STATES
-from ..operators.flows import SECOND, Timeouts
+from ..operators.flows import SECOND, Timeouts, observed_key
 
-STATE = "session int, start_ns long, last_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_along boolean, payload_ns long, payload_along boolean, record long, record_start_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long"
+STATE = "start_ns long, last_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_along boolean, payload_ns long, payload_along boolean, record long, record_start_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long"
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
-RECORD = "flow string, session int, start_ns long, interval long, record_start_ns long, record_end_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, tcp_flags int, state string, jitter_ns long, end_reason string"
+RECORD = "flow string, start_ns long, interval long, record_start_ns long, record_end_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, tcp_flags int, state string, jitter_ns long, end_reason string"
 COUNTERS = [f"{way}_{what}" for way in ("fwd", "rev") for what in ("packets", "bytes")]
 MS = 1_000_000
 
@@ -48,14 +49,14 @@ class Tracked:
     def deadline(self) -> int:
         return self.v["last_ns"] + idle_ns(self.timeouts, self.proto, self.v["seen"])
 
-    def _open(self, session: int, ts: int, along: bool) -> None:
-        self.v = dict.fromkeys(FIELDS, 0) | {"session": session, "start_ns": ts, "first_along": along, "payload_ns": None, "payload_along": None, "record_start_ns": None}
+    def _open(self, ts: int, along: bool) -> None:
+        self.v = dict.fromkeys(FIELDS, 0) | {"start_ns": ts, "first_along": along, "payload_ns": None, "payload_along": None, "record_start_ns": None}
 
     def record(self, flow: str, last: bool) -> dict:
         """The record that ends now; deltas begin anew."""
         v = self.v
         reason = 2 if not last else 3 if v["seen"] & (tcp.FIN | tcp.RST) else 1
-        out = {"flow": flow, "session": v["session"], "start_ns": v["start_ns"], "interval": v["record"], "record_start_ns": v["record_start_ns"], "record_end_ns": v["last_ns"]}
+        out = {"flow": flow, "start_ns": v["start_ns"], "interval": v["record"], "record_start_ns": v["record_start_ns"], "record_end_ns": v["last_ns"]}
         out |= {f"{c}_delta": v[f"{c}_delta"] for c in COUNTERS} | {f"{c}_total": v[f"{c}_total"] for c in COUNTERS}
         out |= {"tcp_flags": v["seen"], "state": STATES[v["state"]], "jitter_ns": v["jitter_ns"], "end_reason": END_REASONS[reason]}
         v.update({f"{c}_delta": 0 for c in COUNTERS}, record_start_ns=None)
@@ -63,10 +64,10 @@ class Tracked:
 
     def packet(self, flow: str, ts: int, size: int, flags: int, egress: bool, along: bool, payload: bool) -> Iterator[dict]:
         if self.v is None:
-            self._open(0, ts, along)
+            self._open(ts, along)
         elif ts > self.deadline():
             yield self.record(flow, True)
-            self._open(self.v["session"] + 1, ts, along)
+            self._open(ts, along)
         v = self.v
         number = (ts - v["start_ns"]) // (self.timeouts.record * SECOND)
         if v["record_start_ns"] is not None and number != v["record"]:
@@ -91,7 +92,7 @@ class Tracked:
 
 
 class FlowTracker(StatefulProcessor):
-    """Keyed by flow (text) and proto. State outlives a restart; a session's number outlives its end."""
+    """Keyed by flow (text, host included) and proto. State outlives a restart, and ends with the session."""
 
     def __init__(self, timeouts: Timeouts = Timeouts(), boot_ns: int = 0):
         self.timeouts, self.boot_ns = timeouts, boot_ns
@@ -99,20 +100,12 @@ class FlowTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", STATE)
-        self.sessions = handle.getValueState("sessions", "n int")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         tracked = Tracked(self.flow.get(), key[1], self.timeouts)
-        if tracked.v is None and self.sessions.exists():
-            past = self.sessions.get()[0]
-        else:
-            past = None
         batch = pd.concat(list(rows)).sort_values(["ts_ns", "place"])
         out = []
         for r in batch.itertuples():
-            if past is not None:
-                tracked._open(past, int(r.ts_ns), bool(r.a_to_b))
-                past = None
             out += tracked.packet(key[0], int(r.ts_ns), int(r.len), int(r.tcp_flags), bool(r.egress), bool(r.a_to_b), bool(r.has_payload))
         self.flow.update(tracked.values())
         for timer in list(self.handle.listTimers()):
@@ -124,7 +117,6 @@ class FlowTracker(StatefulProcessor):
         tracked = Tracked(self.flow.get(), key[1], self.timeouts)
         out = [tracked.record(key[0], True)] if tracked.v is not None else []
         if tracked.v is not None:
-            self.sessions.update((tracked.v["session"] + 1,))
             self.flow.clear()
         yield _table(out)
 
@@ -139,15 +131,17 @@ def _table(records: list[dict]) -> pd.DataFrame:
 def track(packets: DataFrame, boot_ns: int, place: str, delay: str = "10 seconds", timeouts: Timeouts = Timeouts()) -> DataFrame:
     """Flow records of a stream of packets; place orders packets of one ts_ns; boot_ns is wall time of ts_ns 0."""
     event = F.timestamp_micros(F.expr(f"(ts_ns + {boot_ns}) DIV 1000"))
-    keyed = with_key(packets).withColumns({"event_time": event, "flow": F.concat_ws("|", *[F.hex(c) if c.endswith("ip") else F.col(c).cast("string") for c in KEY]), "egress": F.col("direction") == "egress", "place": F.col(place).cast("long")})
+    keyed_columns = with_key(packets)
+    keyed = keyed_columns.withColumns({"event_time": event, "flow": F.concat_ws("|", *[F.hex(c) if c.endswith("ip") else F.col(c).cast("string") for c in observed_key(keyed_columns)]), "egress": F.col("direction") == "egress", "place": F.col(place).cast("long")})
     rows = keyed.withWatermark("event_time", delay).select("flow", "proto", "event_time", "ts_ns", "place", "len", "tcp_flags", "egress", "a_to_b", "has_payload")
     return rows.groupBy("flow", "proto").transformWithStateInPandas(FlowTracker(timeouts, boot_ns), outputStructType=RECORD, outputMode="append", timeMode="EventTime")
 
 
 def new_flows(packets: DataFrame, boot_ns: int, delay: str = "10 seconds") -> DataFrame:
-    """The first packet of every flow key on a stream."""
+    """The first packet of every flow on a stream, host by host."""
     event = F.timestamp_micros(F.expr(f"(ts_ns + {boot_ns}) DIV 1000"))
-    return with_key(packets).withColumn("event_time", event).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(KEY)
+    keyed = with_key(packets)
+    return keyed.withColumn("event_time", event).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(observed_key(keyed))
 
 
 def late(packets: DataFrame, watermark_ns: int) -> tuple[DataFrame, DataFrame]:

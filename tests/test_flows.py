@@ -101,6 +101,31 @@ def test_sessions_and_records(spark):
     assert Timeouts().record == 60
 
 
+def test_hosts_are_apart(spark):
+    """Two hosts that see the same packets have twice the sessions, each as one host alone."""
+    s = SECOND
+    rows = [(i * 7 * s, i % 3 != 0, (16, 24, 18, 17, 24)[i % 5], i % 5 in (1, 4), 60 + i) for i in range(60)]
+    one = packet_frame(spark, rows)
+    two = one.unionByName(one.withColumn("host", F.lit(1)))
+    plain = lambda df: [r.asDict() | {"host": 0} for r in df.orderBy("host", "start_ns").collect()]
+    alone, both = plain(flows.sessions(flows.session_fold(one, ["ts_ns"]))), plain(flows.sessions(flows.session_fold(two, ["ts_ns"])))
+    assert len(alone) > 3 and both == alone + alone
+    alone, both = (flows.interval_records(flows.session_fold(p, ["ts_ns"])).drop("host") for p in (one, two))
+    assert sorted(map(str, both.collect())) == sorted(map(str, alone.collect() * 2))
+
+
+def test_fold_over_batches(spark):
+    """The fold doesn't depend on where batches end."""
+    s = SECOND
+    rows = [((i * 37 % 11 + i * 3) * s, i % 3 != 0, (16, 24, 18, 17, 24, 4, 8)[i % 7], i % 7 in (1, 4), 60) for i in range(400)]
+    found = []
+    for size in (10_000, 1, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(map(str, flows.session_fold(packet_frame(spark, rows), ["ts_ns"]).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+
+
 def test_snapshots(spark):
     df = spark.createDataFrame([(1, 5, 10, 640), (1, 10, 25, 1600), (1, 15, 25, 1600), (1, 20, 5, 100), (1, 25, 9, 300)], "flow int, at int, packets long, bytes long")
     got = flows.snapshot_deltas(df, ["flow"], "at", ["packets", "bytes"]).orderBy("at").collect()

@@ -31,7 +31,7 @@ def test_tracker_is_batch_twin(spark):
     got = spark.table("records").filter(F.col("start_ns") <= last).drop("flow").collect()
     folded = flows.session_fold(packets, EVENTS.order)
     twin = flows.interval_records(folded).collect()
-    fields = ["session", "start_ns", "interval", "record_start_ns", "record_end_ns", "fwd_packets_delta", "rev_packets_delta", "fwd_bytes_total", "rev_bytes_total", "tcp_flags", "state", "jitter_ns", "end_reason"]
+    fields = ["start_ns", "interval", "record_start_ns", "record_end_ns", "fwd_packets_delta", "rev_packets_delta", "fwd_bytes_total", "rev_bytes_total", "tcp_flags", "state", "jitter_ns", "end_reason"]
     pick = lambda rows: sorted(tuple(r[f] for f in fields) for r in rows)
     assert pick(got) == pick(twin) and len(twin) > 30
 
