@@ -7,6 +7,7 @@ AQE like any skewed key. Spark broadcasts the index where its measured size allo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import selectors
 
@@ -16,8 +17,8 @@ FOREVER = (1 << 63) - 1
 
 
 def ip_index(*objects: DataFrame) -> DataFrame:
-    """One row an address and object: ip, kind, namespace, name, uid, host_network, valid_from, valid_to."""
-    wanted = {"namespace": "string", "uid": "string", "host_network": "boolean", "valid_from": "long", "valid_to": "long"}
+    """One row an address and object: ip, kind, namespace, name, uid, host_network, valid_from, valid_to, ports."""
+    wanted = {"namespace": "string", "uid": "string", "host_network": "boolean", "valid_from": "long", "valid_to": "long", "ports": "array<struct<protocol: string, port: int>>"}
     parts = []
     for df in objects:
         if "deleting" in df.columns:
@@ -34,16 +35,26 @@ def ip_index(*objects: DataFrame) -> DataFrame:
 def candidates(index: DataFrame) -> DataFrame:
     """(ip, candidates). On a node's address only host-network pods and then the node count."""
     rank = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in PREFERENCE.items()], F.lit(9))
-    item = F.struct(rank.alias("rank"), "namespace", "name", "kind", "uid", "valid_from", "valid_to", "host_network")
+    item = F.struct(rank.alias("rank"), "namespace", "name", "kind", "uid", "valid_from", "valid_to", "host_network", "ports")
     by_ip = index.groupBy("ip").agg(F.array_sort(F.collect_list(item)).alias("all"), F.bool_or(F.col("kind") == "Node").alias("of_node"))
     allowed = F.filter("all", lambda x: ~F.col("of_node") | (x["kind"] == "Node") | ((x["kind"] == "Pod") & x["host_network"]))
     return by_ip.select("ip", allowed.alias("candidates"))
 
 
 def attribute(flows: DataFrame, by_ip: DataFrame, side: str, at: str) -> DataFrame:
-    """Adds <side>_kind, _namespace, _name and _uid of the object on the side's address at the time; null if none."""
+    """Adds <side>_kind, _namespace, _name and _uid of the object on the side's address at the time; null if none.
+
+    The address and the order of kinds decide; among objects of the best kind, one that has the flow's port
+    and protocol goes first, where objects have ports.
+    """
     joined = flows.join(by_ip.select(F.col("ip").alias(f"{side}_ip"), F.col("candidates").alias("__c")), f"{side}_ip", "left")
-    best = F.try_element_at(F.filter("__c", lambda x: (x["valid_from"] <= F.col(at)) & (F.col(at) < x["valid_to"])), F.lit(1))
+    there = F.filter("__c", lambda x: (x["valid_from"] <= F.col(at)) & (F.col(at) < x["valid_to"]))
+    best = F.try_element_at(there, F.lit(1))
+    if {"proto", f"{side}_port"} <= set(flows.columns):
+        protocol = F.when(F.col("proto") == 6, "TCP").when(F.col("proto") == 17, "UDP").when(F.col("proto") == 132, "SCTP")
+        own = lambda p: (F.upper(F.coalesce(p["protocol"], F.lit("TCP"))) == protocol) & (p["port"] == F.col(f"{side}_port"))
+        fits = F.filter(there, lambda x: (x["rank"] == best["rank"]) & F.coalesce(F.exists(x["ports"], own), F.lit(False)))
+        best = F.coalesce(F.try_element_at(fits, F.lit(1)), best)
     return joined.withColumn("__b", best).withColumns({f"{side}_{c}": F.col(f"__b.{c}") for c in ("kind", "namespace", "name", "uid")}).drop("__b", "__c")
 
 
@@ -55,22 +66,39 @@ def decorate(flows: DataFrame, index: DataFrame, at: str) -> DataFrame:
     return both.withColumn("decorator_status", F.when(found == 2, "ok").when(found == 1, "partial").otherwise("undecorated"))
 
 
+def _owned(df: DataFrame, *columns: str) -> DataFrame:
+    """columns, owner_kind and owner_name: a row for each owner of each object, from owner_refs or one pair of columns."""
+    if "owner_refs" in df.columns:
+        made = df.select(*columns, F.explode(F.array_distinct("owner_refs")).alias("owner"))
+        return made.select(*[c for c in made.columns if c != "owner"], F.col("owner.kind").alias("owner_kind"), F.col("owner.name").alias("owner_name"))
+    return df.select(*columns, "owner_kind", "owner_name").filter("owner_kind IS NOT NULL")
+
+
 def owner_chain(pods: DataFrame, objects: DataFrame, include=(), exclude=(), depth: int = 5, most: int = 32) -> DataFrame:
-    """(namespace, pod, depth, kind, name) of owners up the chain; exclusion wins, kinds compare without case."""
-    step = pods.select("namespace", F.col("name").alias("pod"), F.lit(1).alias("depth"), F.col("owner_kind").alias("kind"), F.col("owner_name").alias("name")).filter("kind IS NOT NULL")
-    parents = objects.select("namespace", "kind", "name", "owner_kind", "owner_name")
+    """(namespace, pod, depth, kind, name) of owners up the chain; exclusion wins, kinds compare without case.
+
+    Objects have owner_refs (several owners) or owner_kind and owner_name (one). A pod has `most` owners at
+    most, the nearest first.
+    """
+    step = _owned(pods, "namespace", F.col("name").alias("pod")).select("namespace", "pod", F.lit(1).alias("depth"), F.col("owner_kind").alias("kind"), F.col("owner_name").alias("name"))
+    parents = _owned(objects, "namespace", "kind", "name")
+    several = "owner_refs" in pods.columns or "owner_refs" in objects.columns
     levels = []
     for level in range(1, depth + 1):
         levels.append(step)
-        up = step.join(parents, ["namespace", "kind", "name"]).filter("owner_kind IS NOT NULL")
+        up = step.join(parents, ["namespace", "kind", "name"])
+        up = up.dropDuplicates(["namespace", "pod", "owner_kind", "owner_name"]) if several else up
         step = up.select("namespace", "pod", F.lit(level + 1).alias("depth"), F.col("owner_kind").alias("kind"), F.col("owner_name").alias("name"))
     out = levels[0]
     for one in levels[1:]:
         out = out.unionAll(one)
     lower = [F.lower("kind").isin([k.lower() for k in kinds]) for kinds in (include, exclude)]
     keep = (lower[0] if include else F.lit(True)) & (~lower[1] if exclude else F.lit(True))
-    # One owner a level, so depth bounds the number as well.
-    return out.filter(keep & (F.col("depth") <= most))
+    out = out.filter(keep)
+    if not several:  # one owner a level, so depth bounds the number as well
+        return out.filter(F.col("depth") <= most)
+    nearest = Window.partitionBy("namespace", "pod").orderBy("depth", "kind", "name")
+    return out.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= most).drop("place")
 
 
 def container_at(pods: DataFrame, flows: DataFrame, side: str) -> DataFrame:
@@ -134,25 +162,33 @@ def _rule_test(way: str, peer: str, where: Column, protocol: Column):
     return permits
 
 
-def permitting_policies(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, policies: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ingress_policies and egress_policies: sorted `namespace/name` of policies with a rule that permits the flow.
+def permitting_rules(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, policies: DataFrame, what: Column) -> DataFrame:
+    """Adds egress and ingress: arrays of `what`, one value for each set of like policies with a rule that permits the flow.
 
-    Egress is judged on the source pod, ingress on the destination pod. Which policies select a pod is
-    found once for each pod, not for each flow.
+    Egress is judged on the source pod, ingress on the destination pod. Policies of one namespace that have
+    one selector and the same rules are judged once; `what` aggregates them (columns namespace and policy).
+    Which of them select a pod is found once for each set of labels, not for each pod or flow.
     """
     spaces = namespaces.select(F.col("name").alias("namespace"), F.col("labels").alias("namespace_labels"))
-    info = pods.select("namespace", "name", "labels", "containers").join(spaces, "namespace", "left")
-    chosen = info.join(policies.select("namespace", F.col("name").alias("policy"), "pod_selector", "rules"), "namespace").filter(selectors.matches(F.col("labels"), F.col("pod_selector")))
-    per_pod = chosen.groupBy("namespace", "name").agg(F.collect_list(F.struct("policy", "rules")).alias("policies"))
-    info = info.join(per_pod, ["namespace", "name"], "left")
+    like = policies.select("namespace", F.col("name").alias("policy"), "pod_selector", "rules", F.to_json(F.struct("pod_selector", "rules")).alias("__like"))
+    like = like.groupBy("namespace", "__like").agg(F.any_value("pod_selector").alias("pod_selector"), F.any_value("rules").alias("rules"), what.alias("what"))
+    info, sets = selectors.label_sets(pods.select("namespace", "name", "labels", "containers"))
+    chosen = sets.join(like, "namespace").filter(selectors.matches(F.col("labels"), F.col("pod_selector")))
+    per_set = chosen.groupBy("namespace", "label_set").agg(F.collect_list(F.struct("what", "rules")).alias("policies"))
+    info = info.join(per_set, ["namespace", "label_set"], "left").join(spaces, "namespace", "left")
     for side in ("src", "dst"):
         mine = info.select(*[F.col(c).alias(f"__{side}_{c}") for c in ("labels", "containers", "namespace_labels", "policies")], F.lit("Pod").alias(f"{side}_kind"), F.col("namespace").alias(f"{side}_namespace"), F.col("name").alias(f"{side}_name"))
         flows = flows.join(mine, [f"{side}_kind", f"{side}_namespace", f"{side}_name"], "left")
     protocol = F.lower(F.when(F.col("proto") == 6, "tcp").when(F.col("proto") == 17, "udp").when(F.col("proto") == 132, "sctp"))
     for way, own, peer in (("egress", "src", "dst"), ("ingress", "dst", "src")):
-        where = F.col(f"{own}_namespace")
-
-        permits = _rule_test(way, peer, where, protocol)
+        permits = _rule_test(way, peer, F.col(f"{own}_namespace"), protocol)
         fitting = F.filter(f"__{own}_policies", lambda p: F.exists(p["rules"], permits))  # noqa: B023
-        flows = flows.withColumn(f"{way}_policies", F.sort_array(F.transform(fitting, lambda p: F.concat(where, F.lit("/"), p["policy"]))))  # noqa: B023
+        flows = flows.withColumn(way, F.transform(fitting, lambda p: p["what"]))
     return flows.drop(*[f"__{s}_{c}" for s in ("src", "dst") for c in ("labels", "containers", "namespace_labels", "policies")])
+
+
+def permitting_policies(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, policies: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ingress_policies and egress_policies: sorted `namespace/name` of policies with a rule that permits the flow."""
+    names = F.collect_list(F.concat("namespace", F.lit("/"), "policy"))
+    made = permitting_rules(flows, pods, namespaces, policies, names)
+    return made.withColumns({f"{way}_policies": F.sort_array(F.flatten(way)) for way in ("egress", "ingress")}).drop("egress", "ingress")

@@ -52,15 +52,29 @@ def _oriented(prefix: str = "") -> dict[str, Column]:
     return {"src_ip": pick("a_ip", "b_ip"), "src_port": pick("a_port", "b_port"), "dst_ip": pick("b_ip", "a_ip"), "dst_port": pick("b_port", "a_port")}
 
 
+#: A place among packets of one ts_ns is less than this.
+PLACES = 10**18
+
+
+def _rank(packets: DataFrame, order: list[str]) -> Column:
+    """What orders packets: a number of fixed width where two longs say it, so that hash aggregates can keep it."""
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and all(packets.schema[c].dataType.typeName() == "long" for c in order):
+        return F.col(order[0]).cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(19,0)") + F.col(order[1])
+    return F.struct(*order)
+
+
 def flow_aggregate(packets: DataFrame, order: list[str], by: tuple[str, ...] = ("host",), first: tuple[str, ...] = ()) -> DataFrame:
     """One row a flow: oriented endpoints, packets and bytes each way, first and last time, flags each way.
 
-    Columns named in first are kept as of the packet that created the flow.
+    Columns named in first are kept as of the packet that created the flow. With an order of ts_ns and a place
+    (a long from 0 to under 10**18) and no text among first, all is one hash aggregate.
     """
     keyed = with_key(packets)
     groups = [*[c for c in by if c in packets.columns], *KEY]
     along = F.col("a_to_b")
-    place = F.struct(*order)
+    place = _rank(packets, order)
     aggs = [F.min_by("a_to_b", place).alias("first_a_to_b"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.bit_or("tcp_flags").alias("tcp_flags")]
     aggs += [F.min_by(c, place).alias(c) for c in first]
     for name, side in (("ab", along), ("ba", ~along)):

@@ -27,11 +27,12 @@ CLUSTER = PacketTable(
     ("lineitem", "orders", "customer"),
     LINES.sql.replace("10*16777216 + 1*65536 + o_custkey AS client_ip", "CASE WHEN c_custkey%50 IN (0, 25) THEN 10*16777216 + 255*65536 + c_nationkey ELSE 10*16777216 + 1*65536 + o_custkey END AS client_ip").replace("JOIN {orders} ON o_orderkey=l_orderkey", "JOIN {orders} ON o_orderkey=l_orderkey JOIN {customer} ON c_custkey=o_custkey"),
     LINES.order,
+    LINES.ranked,
 )
 
 
 def cluster_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.flow_aggregate(CLUSTER.read(spark, sf_dir), CLUSTER.order)
+    return flows.flow_aggregate(CLUSTER.read(spark, sf_dir), CLUSTER.ranked)
 
 
 def cluster_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,32 +100,32 @@ def workload_spans(spark, sf_dir):
 SELECT namespace, pod, 1 AS depth, 'ReplicaSet' AS kind, 'rs-' || k % 40 AS name FROM c UNION ALL SELECT namespace, pod, 2, 'Deployment', 'dep-' || k % 40 % 10 FROM c"""
 )
 def pod_owners(spark, sf_dir):
-    return enrich.owner_chain(inventory.pods(spark, sf_dir), inventory.owners(spark, sf_dir), exclude=["Job"])
+    return enrich.owner_chain(inventory.pods(spark, sf_dir, timed=False), inventory.owners(spark, sf_dir), exclude=["Job"])
 
 
 @query(f"WITH {INVENTORY} SELECT p.namespace, p.name AS pod, 'Service' AS kind, s.name FROM pod p JOIN svc s ON s.namespace = p.namespace AND s.app = p.app")
 def pod_services(spark, sf_dir):
-    return selectors.relations(inventory.pods(spark, sf_dir), inventory.services(spark, sf_dir))
+    return selectors.relations(inventory.pods(spark, sf_dir, timed=False), inventory.services(spark, sf_dir))
 
 
 _SELECTED = """selected AS (
-  SELECT pod.namespace, pod.name AS pod, pp.p_partkey AS np, pp.p_size FROM pod JOIN part pp ON pp.p_partkey < 200 AND pod.namespace = 'ns-' || pp.p_partkey % 5
+  SELECT pod.namespace, pod.name AS pod, pp.p_partkey AS np, pp.p_size FROM pod JOIN part pp ON pod.namespace = 'ns-' || pp.p_partkey % 5
   WHERE CASE pp.p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN tier = 't1' WHEN 2 THEN app IN ('building', 'machinery') ELSE tier <> 't0' END
 )"""
 
 
 @query(f"WITH {INVENTORY}, {_SELECTED} SELECT namespace, pod, 'np-' || np AS policy FROM selected")
 def policy_candidates(spark, sf_dir):
-    pods, policies = inventory.pods(spark, sf_dir), inventory.policies(spark, sf_dir)
-    met = pods.select("namespace", F.col("name").alias("pod"), "labels").join(policies.select("namespace", F.col("name").alias("policy"), "pod_selector"), "namespace")
-    return met.filter(selectors.matches(F.col("labels"), F.col("pod_selector"))).select("namespace", "pod", "policy")
+    return selectors.candidates(inventory.pods(spark, sf_dir, timed=False), inventory.policies(spark, sf_dir))
 
 
 def both_ways(flows_: DataFrame) -> DataFrame:
-    """Flows and their mirror images, so that pods stand on either side."""
-    swapped = {c: (c.replace("src_", "dst_") if c.startswith("src_") else c.replace("dst_", "src_") if c.startswith("dst_") else c) for c in flows_.columns}
-    mirror = flows_.select(*[F.col(c).alias(new) for c, new in swapped.items()], F.lit(True).alias("mirrored"))
-    return flows_.withColumn("mirrored", F.lit(False)).unionByName(mirror)
+    """Flows and their mirror images, so that pods stand on either side; one pass over the flows."""
+    sides = [c for c in flows_.columns if c.startswith("src_")]
+    turned = lambda a, b: [x for c in sides for x in (F.col(c.replace("src_", a)).alias(c), F.col(c.replace("src_", b)).alias(c.replace("src_", "dst_")))]
+    ways = F.array(F.struct(F.lit(False).alias("mirrored"), *turned("src_", "dst_")), F.struct(F.lit(True).alias("mirrored"), *turned("dst_", "src_")))
+    others = [c for c in flows_.columns if not c.startswith(("src_", "dst_"))]
+    return flows_.select(*others, F.inline(ways))
 
 
 @query(
@@ -138,19 +139,25 @@ judged AS (SELECT w.*, s.np, s.p_size, pp.tier AS peer_tier, tp.k AS target FROM
 met AS (SELECT *, CASE np % 5 WHEN 0 THEN true WHEN 1 THEN peer_ip BETWEEN 10*16777216 + 2*65536 AND 10*16777216 + 2*65536 + 65535 WHEN 2 THEN peer_tier = 't2' AND peer_ns = own_ns
     WHEN 3 THEN peer_kind = 'Pod' AND CAST(substr(peer_ns, 4) AS INT) % 2 = 0 ELSE peer_tier = 't2' AND CAST(substr(peer_ns, 4) AS INT) % 2 = 0 END AS peer_ok,
   CASE WHEN p_size % 4 = 0 THEN true WHEN proto <> 6 THEN false WHEN p_size % 4 = 1 THEN dst_port = 443 WHEN p_size % 4 = 2 THEN dst_port BETWEEN 8000 AND 9000 ELSE coalesce(dst_port = CASE target % 4 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 53 WHEN 3 THEN 8080 END, false) END AS port_ok FROM judged)
-SELECT community_id, host, mirrored, way, own_ns || '/np-' || np AS policy FROM met WHERE peer_ok AND port_ok"""
+SELECT community_id, host, mirrored, way, count(*) AS policies, min(own_ns || '/np-' || np) AS first_policy, max(own_ns || '/np-' || np) AS last_policy FROM met WHERE peer_ok AND port_ok GROUP BY ALL"""
 )
 def permitting_policies(spark, sf_dir):
-    made = enrich.permitting_policies(both_ways(decorated(spark, sf_dir)), inventory.pods(spark, sf_dir), inventory.namespaces(spark, sf_dir), inventory.policies(spark, sf_dir), ["community_id", "host"])
-    ways = F.array(*[F.struct(F.lit(w).alias("way"), F.col(f"{w}_policies").alias("policies")) for w in ("egress", "ingress")])
-    return made.select("community_id", "host", "mirrored", F.inline(ways)).select("community_id", "host", "mirrored", "way", F.explode("policies").alias("policy"))
+    """How many policies permit each flow each way, and the first and last of them by name."""
+    name = F.concat("namespace", F.lit("/"), "policy")
+    what = F.struct(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
+    columns = ["community_id", "host", "proto", "src_ip", "src_port", "dst_ip", "dst_port", "src_kind", "src_namespace", "src_name", "dst_kind", "dst_namespace", "dst_name"]
+    made = enrich.permitting_rules(both_ways(decorated(spark, sf_dir).select(columns)), inventory.pods(spark, sf_dir, timed=False), inventory.namespaces(spark, sf_dir), inventory.policies(spark, sf_dir), what)
+    ways = F.array(*[F.struct(F.lit(w).alias("way"), F.col(w).alias("found")) for w in ("egress", "ingress")])
+    flat = made.select("community_id", "host", "mirrored", F.inline(ways)).filter(F.size("found") > 0)
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return flat.select("community_id", "host", "mirrored", "way", total.alias("policies"), F.array_min("found.first").alias("first_policy"), F.array_max("found.last").alias("last_policy"))
 
 
 @query(f"WITH {DECORATED} SELECT d.community_id, d.host, CASE WHEN p.k % 4 = CASE d.src_port WHEN 443 THEN 0 WHEN 80 THEN 1 WHEN 53 THEN 2 WHEN 8080 THEN 3 END THEN 'main' WHEN d.src_port = 15001 THEN 'proxy' END AS src_container, CASE WHEN p.k % 4 = CASE d.src_port WHEN 443 THEN 0 WHEN 80 THEN 1 WHEN 53 THEN 2 WHEN 8080 THEN 3 END THEN 'img-' || p.k % 7 WHEN d.src_port = 15001 THEN 'proxy' END AS src_image FROM decorated d LEFT JOIN pod p ON d.src_kind = 'Pod' AND p.namespace = d.src_namespace AND p.name = d.src_name".replace("d.src_port", "d.dst_port"))
 def container_images(spark, sf_dir):
     """The client pod's container that listens on the flow's server port, if it has one."""
     flows_ = decorated(spark, sf_dir).withColumn("src_port", F.col("dst_port"))
-    return enrich.container_at(inventory.pods(spark, sf_dir), flows_, "src").select("community_id", "host", "src_container", "src_image")
+    return enrich.container_at(inventory.pods(spark, sf_dir, timed=False), flows_, "src").select("community_id", "host", "src_container", "src_image")
 
 
 
@@ -163,7 +170,7 @@ def flow_processes(spark, sf_dir):
     packets = LINES.read(spark, sf_dir)
     opened = with_key(packets.filter("ln = 1")).withColumn("community_id", key_id())
     events = opened.select("community_id", "host", F.col("ts_ns").alias("event_ns"), (F.lit(1000) + F.col("conn") % 500).cast("int").alias("pid"), F.concat(F.lit("svc"), F.col("tie2") % 9).alias("comm"))
-    return enrich.with_process(flows.flow_aggregate(packets, LINES.order), events, ["community_id", "host"]).select("community_id", "host", "pid", "comm")
+    return enrich.with_process(flows.flow_aggregate(packets, LINES.ranked), events, ["community_id", "host"]).select("community_id", "host", "pid", "comm")
 
 
 @query(f"WITH {S.FLOWS}, t AS (SELECT max(last_ns) AS now FROM flows) SELECT community_id, host, last_ns FROM flows, t WHERE last_ns < now - 4 * 60000000000 AND conn % 3 <> 0")
@@ -172,7 +179,7 @@ def orphaned_keys(spark, sf_dir):
     packets = LINES.read(spark, sf_dir)
     now = packets.agg(F.max("ts_ns")).first()[0] or 0
     tracked = with_key(packets.filter("conn % 3 = 0")).select(*KEY).distinct().withColumn("community_id", key_id())
-    return enrich.orphans(flows.flow_aggregate(packets, LINES.order), tracked, ["community_id"], now, 60 * flows.SECOND).select("community_id", "host", "last_ns")
+    return enrich.orphans(flows.flow_aggregate(packets, LINES.ranked), tracked, ["community_id"], now, 60 * flows.SECOND).select("community_id", "host", "last_ns")
 
 
 _RULES = {
@@ -209,3 +216,100 @@ def extracted_metadata(spark, sf_dir):
     out = enrich.extract(decorated(spark, sf_dir), ["[*].metadata.namespace"], fields)
     assert "src_name" not in out.columns and "src_uid" not in out.columns
     return out.groupBy("src_kind", "dst_kind").agg(F.max("src_namespace").alias("last_src_namespace"), F.count("*").alias("n"))
+
+
+#: The eight kinds of objects that select pods.
+SELECTING = ("Service", "NetworkPolicy", "ReplicaSet", "Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob")
+
+
+@query(
+    f"""WITH {INVENTORY} SELECT pod.namespace, pod.name AS pod, CASE p_partkey % 8 {" ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(SELECTING))} END AS kind, 'np-' || p_partkey AS name
+FROM pod JOIN part ON pod.namespace = 'ns-' || p_partkey % 5
+WHERE CASE (p_partkey // 8) % 4 WHEN 0 THEN false WHEN 1 THEN tier = 't1' WHEN 2 THEN app IN ('building', 'machinery') ELSE tier = 't1' AND app NOT IN ('building') END"""
+)
+def object_relations(spark, sf_dir):
+    """Pods that objects of eight kinds select by labels, by expressions, by both, or not at all."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, form = F.col("p_partkey"), F.expr("p_partkey DIV 8 % 4")
+    test = lambda op, *v: F.array(F.struct(F.lit("app").alias("key"), F.lit(op).alias("operator"), F.array(*map(F.lit, v)).alias("values")))
+    kind = F.element_at(F.array(*map(F.lit, SELECTING)), (key % 8 + 1).cast("int"))
+    labels, tests = F.when(form.isin(1, 3), F.create_map(F.lit("tier"), F.lit("t1"))), F.when(form == 2, test("In", "building", "machinery")).when(form == 3, test("NotIn", "building"))
+    objects = p.select(F.concat(F.lit("ns-"), key % 5).alias("namespace"), kind.alias("kind"), F.concat(F.lit("np-"), key).alias("name"), labels.alias("match_labels"), tests.alias("match_expressions"))
+    return selectors.relations(inventory.pods(spark, sf_dir, timed=False), objects)
+
+
+@query(f"WITH {INVENTORY} SELECT p.namespace, p.name AS pod, 'Widget' AS kind, s.name FROM pod p JOIN svc s ON s.namespace = p.namespace AND s.app = p.app")
+def custom_selectors(spark, sf_dir):
+    """Pods that objects of a kind of the user's own select, by a path into JSON objects."""
+    s = inventory.services(spark, sf_dir)
+    body = F.to_json(F.struct(F.lit("Widget").alias("kind"), F.struct("namespace", "name").alias("metadata"), F.struct(F.struct(F.struct(F.col("match_labels").alias("matchLabels")).alias("podSelector")).alias("application")).alias("spec")))
+    objects = inventory.selector_at(inventory.from_json(s.select(body.alias("value"))), "spec.application.podSelector.matchLabels")
+    return selectors.relations(inventory.pods(spark, sf_dir, timed=False), objects)
+
+
+@query(f"WITH {INVENTORY} SELECT DISTINCT namespace, name, {S.dotted('ip')} AS ip, 'Service' AS kind FROM svc UNION ALL SELECT namespace, name || '-slice', {S.dotted('ip + 65536')}, 'EndpointSlice' FROM svc UNION ALL SELECT '', 'node-' || n_nationkey, {S.dotted('10*16777216 + 255*65536 + n_nationkey')}, 'Node' FROM nation")
+def json_addresses(spark, sf_dir):
+    """Addresses of Services, EndpointSlices and Nodes that come as JSON objects."""
+    key, nation = F.col("s_suppkey"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    text = lambda b, k: F.concat(F.lit(f"10.{b}."), F.expr(f"{k} DIV 256 % 256"), F.lit("."), F.expr(f"{k} % 256"))
+    meta = lambda tail: F.struct(F.concat(F.lit("ns-"), F.col("s_nationkey") % 5).alias("namespace"), F.concat(F.lit("svc-"), key, F.lit(tail)).alias("name"))
+    services = s.select(F.to_json(F.struct(F.lit("Service").alias("kind"), meta("").alias("metadata"), F.struct(F.array(F.lit("None"), text(2, "s_suppkey")).alias("clusterIPs")).alias("spec"))).alias("value"))
+    slices = s.select(F.to_json(F.struct(F.lit("EndpointSlice").alias("kind"), meta("-slice").alias("metadata"), F.array(F.struct(F.array(text(3, "s_suppkey")).alias("addresses"))).alias("endpoints"))).alias("value"))
+    address = F.array(F.struct(F.lit("InternalIP").alias("type"), text(255, "n_nationkey").alias("address")), F.struct(F.lit("Hostname").alias("type"), F.lit("x").alias("address")))
+    nodes = nation.select(F.to_json(F.struct(F.lit("Node").alias("kind"), F.struct(F.concat(F.lit("node-"), "n_nationkey").alias("name")).alias("metadata"), F.struct(address.alias("addresses")).alias("status"))).alias("value"))
+    objects = inventory.from_json(services.unionAll(slices).unionAll(nodes))
+    return objects.select("namespace", "name", F.explode("ips").alias("ip"), "kind")
+
+
+@query(
+    """WITH c AS (SELECT 'u' || o_custkey AS uid, CASE WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'apply' END AS event, o_orderkey AS ts_ns, '10.0.0.' || o_orderkey % 3 AS ip FROM orders),
+w AS (SELECT *, coalesce(lead(ts_ns) OVER u, 9223372036854775807) AS next, lag(CASE WHEN event = 'apply' THEN ip END) OVER u AS before FROM c WINDOW u AS (PARTITION BY uid ORDER BY ts_ns)),
+l AS (SELECT max(o_orderkey) // 2 AS init, max(o_orderkey) // 2 + max(o_orderkey) // 10 AS done FROM orders)
+SELECT uid, ts_ns AS valid_from, CASE WHEN init > ts_ns AND done < next THEN done ELSE next END AS valid_to, before IS DISTINCT FROM ip AS ips_changed FROM w, l WHERE event = 'apply'"""
+)
+def object_validity(spark, sf_dir):
+    """Intervals of a change stream's states, with one list that is sent again half-way."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey IS NOT NULL")
+    event = F.when(F.col("o_orderkey") % 5 == 0, "delete").otherwise("apply")
+    ip = F.when(event == "apply", F.array(F.concat(F.lit("10.0.0."), F.col("o_orderkey") % 3)))
+    changes = o.select(F.concat(F.lit("u"), "o_custkey").alias("uid"), event.alias("event"), F.col("o_orderkey").alias("ts_ns"), ip.alias("ips"))
+    ends = o.agg(F.expr("max(o_orderkey) DIV 2").alias("init"), F.expr("max(o_orderkey) DIV 2 + max(o_orderkey) DIV 10").alias("done"))
+    none = F.lit(None).cast("string")
+    marks = ends.select(F.inline(F.array(*[F.struct(none.alias("uid"), F.lit(e).alias("event"), F.col(c).alias("ts_ns"), F.lit(None).cast("array<string>").alias("ips")) for e, c in (("init", "init"), ("init_done", "done"))])))
+    return inventory.validity(changes.unionByName(marks)).select("uid", "valid_from", "valid_to", "ips_changed")
+
+
+_WHITELIST = [
+    {"kind": "pod", "namespaces": ["ns-1", "ns-2"], "match_labels": {"tier": "t1"}},
+    {"kind": "Pod", "match_expressions": [{"key": "app", "operator": "In", "values": ["building"]}, {"key": "tier", "operator": "NotIn", "values": ["t0"]}]},
+    {"kind": "Node"},
+]
+
+
+@query(f"WITH {INVENTORY} SELECT namespace, name FROM pod WHERE (namespace IN ('ns-1', 'ns-2') AND tier = 't1') OR (app = 'building' AND tier <> 't0')")
+def whitelisted_pods(spark, sf_dir):
+    return selectors.whitelisted(inventory.pods(spark, sf_dir, timed=False), _WHITELIST).select("namespace", "name")
+
+
+@query("SELECT 'Kind' || n_nationkey % 7 AS kind, n_name AS name FROM nation WHERE n_nationkey % 7 NOT IN (SELECT s_suppkey % 3 FROM supplier) UNION ALL SELECT 'kind' || s_suppkey % 3, 'own-' || s_suppkey FROM supplier")
+def merged_rules(spark, sf_dir):
+    """Default rules and a user's own, which replace those of their kinds."""
+    n, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    defaults = n.select(F.concat(F.lit("Kind"), F.col("n_nationkey") % 7).alias("kind"), F.col("n_name").alias("name"))
+    return selectors.merged_rules(defaults, s.select(F.concat(F.lit("kind"), F.col("s_suppkey") % 3).alias("kind"), F.concat(F.lit("own-"), "s_suppkey").alias("name")))
+
+
+@query("SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'eth' WHEN 1 THEN 'veth' WHEN 2 THEN 'docker' ELSE 'lo' END || s_suppkey % 50 AS interface_name FROM supplier WHERE s_suppkey % 4 = 0 OR (s_suppkey % 4 = 2 AND s_suppkey % 50 < 10)")
+def matched_interfaces(spark, sf_dir):
+    """Interfaces whose names fit patterns."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("eth", "veth", "docker", "lo"))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.col("s_suppkey") % 50)
+    return filters.interfaces_matching(s.select(name.alias("interface_name")), ["eth*", "docker[0-9]", "v" * 300])
+
+
+@query(f"WITH {S.FLOWS} SELECT count(*) AS used, CAST(count(*) * 100.0 / 20000 AS DOUBLE) AS percent, count(*) * 100.0 / 20000 >= 80.0 AS alert FROM flows")
+def table_utilisation(spark, sf_dir):
+    """How full a table of 20,000 flows would be."""
+    made = enrich.utilisation(flows.flow_aggregate(LINES.read(spark, sf_dir), LINES.ranked), 20_000)
+    return made.select("used", F.col("percent").cast("double").alias("percent"), "alert")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.addresses import KEY, key_id, to_text, with_key
 from ..operators import direction, flows, metrics
+from ..sources import host
 from ..sources.packets import EVENTS, LINES, flow_snapshots_sql, with_wall_clock
 from . import sqltext as S
 
@@ -32,7 +33,7 @@ TEXT_IPS = f"{S.dotted('src_ip')} AS src_ip, {S.dotted('dst_ip')} AS dst_ip"
 
 
 def line_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.flow_aggregate(LINES.read(spark, sf_dir), LINES.order)
+    return flows.flow_aggregate(LINES.read(spark, sf_dir), LINES.ranked)
 
 
 @query(f"WITH {S.FLOWS} SELECT * EXCLUDE (src_ip, dst_ip, direction, ifindex, custkey, conn), {TEXT_IPS} FROM flows")
@@ -42,7 +43,7 @@ def flow_aggregate(spark, sf_dir):
 
 @query(f"WITH {S.LINES_KEYED} SELECT {S.community()} AS community_id, host, ts_ns, len, direction, ifindex FROM keyed QUALIFY row_number() OVER (PARTITION BY host, a_ip, a_port, b_ip, b_port, proto ORDER BY {S.LINES_ORDER}) = 1")
 def new_flows(spark, sf_dir):
-    return flows.new_flows(LINES.read(spark, sf_dir), LINES.order).select("community_id", "host", "ts_ns", "len", "direction", "ifindex")
+    return flows.new_flows(LINES.read(spark, sf_dir), LINES.ranked).select("community_id", "host", "ts_ns", "len", "direction", "ifindex")
 
 
 @query(f"WITH {S.EVENTS_KEYED} SELECT conn, {S.community()} AS community_id, count(*) AS packets FROM keyed GROUP BY ALL")
@@ -61,11 +62,11 @@ def community_ids(spark, sf_dir):
 ) SELECT community_id, host, CASE WHEN syn IS NOT NULL AND syn_ack IS NOT NULL THEN greatest(syn_ack - syn, 0) END AS handshake_ns, latency_sum_ns, transactions, CASE WHEN transactions > 0 THEN latency_sum_ns // transactions END AS latency_mean_ns FROM t"""
 )
 def tcp_timing(spark, sf_dir):
-    return flows.tcp_timing(LINES.read(spark, sf_dir), LINES.order)
+    return flows.tcp_timing(LINES.read(spark, sf_dir), LINES.ranked)
 
 
 def folded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.session_fold(EVENTS.read(spark, sf_dir), EVENTS.order, keep=("packet_id", "ifindex"))
+    return flows.session_fold(EVENTS.read(spark, sf_dir), EVENTS.ranked, keep=("packet_id", "ifindex"))
 
 
 @query(f"WITH {S.FOLD} SELECT packet_id, session, start_ns, seen, state, jitter_ns, wait_sum_ns, waits FROM fold")
@@ -128,7 +129,8 @@ _LISTENING = "SELECT * FROM (VALUES (0, 6, 443), (1, 6, 443), (2, 6, 443), (3, 6
 
 def observed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the hook direction and interface of the creating packet."""
-    return flows.flow_aggregate(LINES.read(spark, sf_dir), LINES.order, first=("direction", "ifindex"))
+    packets = LINES.read(spark, sf_dir).withColumn("egress", F.col("direction") == "egress")  # text would need a sort
+    return flows.flow_aggregate(packets, LINES.ranked, first=("egress", "ifindex")).withColumn("direction", F.when(F.col("egress"), "egress").otherwise("ingress"))
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,3 +243,58 @@ def latency_by_kind(spark, sf_dir):
     kind = F.when(F.col("proto") == 6, F.coalesce(direction.by_ports(F.col("src_port"), F.col("dst_port")), F.lit(direction.INTERNAL))).otherwise(direction.INTERNAL)
     split = direction.split_latency(F.col("kind"), F.col("wait_sum_ns"))
     return records.withColumn("kind", kind).groupBy("kind").agg(*[F.sum(c).alias(k) for k, c in split.items()], F.count("*").alias("records"))
+
+
+@query(
+    f"""WITH {S.RECORDS} SELECT host, community_id, session, interval, arg_min(len, rn) FILTER (a_to_b = first_ab) AS fwd_len, arg_min(len, rn) FILTER (a_to_b <> first_ab) AS rev_len,
+  arg_min(packet_id, rn) FILTER (a_to_b = first_ab) AS fwd_packet_id, arg_min(packet_id, rn) FILTER (a_to_b <> first_ab) AS rev_packet_id FROM numbered GROUP BY ALL"""
+)
+def interval_metadata(spark, sf_dir):
+    """What the first packet of each record interval carried, each way."""
+    records = flows.interval_records(folded_events(spark, sf_dir), metadata=("len", "packet_id"))
+    return records.select("host", "community_id", "session", "interval", "fwd_len", "rev_len", "fwd_packet_id", "rev_packet_id")
+
+
+# The ICMP types that packets of the next query have, by their number.
+_TYPES = (8, 13, 17, 0, 14, 18, 3)
+
+
+@query(
+    f"""WITH {S.EVENTS_KEYED}, f AS (SELECT {S.community()} AS community_id, host, direction, packet_id % 7 AS t FROM keyed WHERE proto = 1 QUALIFY row_number() OVER (PARTITION BY host, a_ip, a_port, b_ip, b_port ORDER BY ts_ns, packet_id) = 1)
+SELECT community_id, host, CASE WHEN t = 6 THEN 'INTERNAL' WHEN (t < 3) = (direction = 'egress') THEN 'CLIENT' ELSE 'SERVER' END AS kind FROM f"""
+)
+def icmp_kinds(spark, sf_dir):
+    """Sides of ICMP flows by whether the first packet asks or answers."""
+    packets = EVENTS.read(spark, sf_dir).filter("proto = 1")
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("packet_id") % 7 + 1).cast("int"))
+    made = flows.flow_aggregate(packets.withColumns({"first_type": kind, "egress": F.col("direction") == "egress"}), EVENTS.ranked, first=("first_type", "egress"))
+    made = made.withColumn("direction", F.when(F.col("egress"), "egress").otherwise("ingress"))
+    return direction.with_kind(direction.with_listening(made, spark.sql(_LISTENING)), icmp_type="first_type").select("community_id", "host", "kind")
+
+
+@query("SELECT DISTINCT CAST(s_suppkey % 5 AS INT) AS host, CASE WHEN s_suppkey % 4 < 2 THEN 6 ELSE 17 END AS proto, CAST(CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 1000 + s_suppkey * 7 % 30000 END AS INT) AS port FROM supplier WHERE CASE WHEN s_suppkey % 4 < 2 THEN s_suppkey % 3 <> 0 ELSE s_suppkey % 9 <> 0 END")
+def open_ports(spark, sf_dir):
+    """Open ports of hosts from their socket tables, as text."""
+    s, key = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    table = F.element_at(F.array(*map(F.lit, ("tcp", "tcp6", "udp", "udp6"))), (key % 4 + 1).cast("int"))
+    port = F.when(key % 9 == 0, 0).otherwise(1000 + key * 7 % 30000).cast("long")
+    line = F.concat(F.lit("  "), key, F.lit(": 0100007F:"), F.lpad(F.hex(port), 4, "0"), F.lit(" 00000000:0000 "), F.when(key % 3 == 0, "01").otherwise("0A"), F.lit(" 00000000:00000000"))
+    heads = s.select((key % 5).cast("int").alias("host"), table.alias("table"), F.lit("  sl  local_address rem_address   st").alias("value"))
+    return host.listening_ports(heads.unionAll(s.select((key % 5).cast("int").alias("host"), table.alias("table"), line.alias("value"))))
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'accept' ELSE 'connect' END AS event, 'svc' || user_id % 9 AS comm, count(*) AS n FROM events WHERE event_id % 3 = 0 OR event_id % 4 <> 1 GROUP BY ALL")
+def process_connections(spark, sf_dir):
+    """Connections that processes made or took, by name."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event = F.when(F.col("event_id") % 3 == 0, "accept").otherwise("connect")
+    result = F.when(F.col("event_id") % 4 == 1, -111).otherwise(0)
+    raw = e.select(event.alias("event"), result.alias("result"), F.col("event_id").alias("pid"), F.concat(F.lit("svc"), F.col("user_id") % 9, F.lit("\0tail")).alias("comm"))
+    return metrics.count_by(host.process_events(raw), "event", "comm")
+
+
+@query(f"SELECT coalesce({names.sql_case('event_id % 7', names.CAPTURE_ERRORS)}, 'unknown') AS error, {names.sql_case('event_id % 3', names.LEVELS)} AS level, CAST(user_id % 3 AS INT) AS ifindex, CASE WHEN event_id % 2 = 0 THEN 'egress' ELSE 'ingress' END AS direction, count(*) AS n FROM events GROUP BY ALL")
+def capture_error_counts(spark, sf_dir):
+    e, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    raw = e.select((key % 7).cast("int").alias("error_code"), (key % 3).cast("int").alias("level"), (F.col("user_id") % 3).cast("int").alias("ifindex"), F.when(key % 2 == 0, "egress").otherwise("ingress").alias("direction"))
+    return host.capture_errors(raw)

@@ -32,10 +32,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.lit("Node").alias("kind"), F.lit("").alias("namespace"), _named("node-", F.col("n_nationkey")).alias("name"), F.array(node_ip(F.col("n_nationkey"))).alias("ips"))
 
 
-def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the way through packet time, one pod in seven is replaced by a successor on its address."""
+def pods(spark: SparkSession, sf_dir: str, timed: bool = True) -> DataFrame:
+    """A third of the way through packet time, one pod in seven is replaced by a successor on its address.
+
+    Without times nothing but customer is read, for those who ask what pods there are, not when.
+    """
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    end = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.expr("max(l_orderkey) * 1000000000 DIV 3").alias("swap_ns"))
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     host = key % 50 == 0
     port = F.element_at(F.array(*map(F.lit, (443, 80, 53, 8080))), (key % 4 + 1).cast("int"))
@@ -43,7 +45,9 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("main").alias("name"), _named("img-", key % 7).alias("image"), port.alias("port"), F.lit("web").alias("port_name")),
         F.struct(F.lit("proxy").alias("name"), F.lit("proxy").alias("image"), F.lit(15001).alias("port"), F.lit("mesh").alias("port_name")),
     )
-    base = c.crossJoin(F.broadcast(end)).select(
+    if timed:
+        c = c.crossJoin(F.broadcast(spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.expr("max(l_orderkey) * 1000000000 DIV 3").alias("swap_ns"))))
+    base = c.select(
         F.lit("Pod").alias("kind"),
         _named("ns-", nation % 5).alias("namespace"),
         _named("pod-", key).alias("name"),
@@ -55,8 +59,11 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
         _named("rs-", key % 40).alias("owner_name"),
         containers.alias("containers"),
         (key % 7 == 0).alias("replaced"),
-        "swap_ns",
+        *(["swap_ns"] if timed else []),
     )
+    if not timed:
+        both = base.withColumn("name", F.explode(F.when(F.col("replaced"), F.array("name", F.concat("name", F.lit("-b")))).otherwise(F.array("name"))))
+        return both.drop("replaced").withColumn("uid", F.concat(F.lit("uid-"), "name"))
     old = base.withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": F.when(F.col("replaced"), F.col("swap_ns")).otherwise(F.lit(FOREVER))})
     new = base.filter("replaced").withColumns({"name": F.concat("name", F.lit("-b")), "valid_from": F.col("swap_ns"), "valid_to": F.lit(FOREVER)})
     return old.unionByName(new).drop("replaced", "swap_ns").withColumn("uid", F.concat(F.lit("uid-"), "name"))
@@ -85,8 +92,8 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred network policies: (namespace, name, pod_selector, rules); each has one egress and one ingress rule."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 200")
+    """A network policy a part: (namespace, name, pod_selector, rules); each has one egress and one ingress rule."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey")
     labels, tests = "map<string,string>", "array<struct<key: string, operator: string, values: array<string>>>"
     none, no_tests = F.lit(None).cast(labels), F.lit(None).cast(tests)
@@ -117,6 +124,7 @@ def from_json(lines: DataFrame, column: str = "value") -> DataFrame:
             F.coalesce(F.transform(get("$.status.podIPs", "array<struct<ip: string>>"), lambda x: x["ip"]), F.array(get("$.status.podIP", "string"))),
             F.coalesce(get("$.spec.clusterIPs", "array<string>"), F.array(get("$.spec.clusterIP", "string"))),
             F.coalesce(get("$.spec.externalIPs", "array<string>"), F.array().cast("array<string>")),
+            F.coalesce(F.flatten(F.transform(get("$.endpoints", "array<struct<addresses: array<string>>>"), lambda x: x["addresses"])), F.array().cast("array<string>")),
             F.coalesce(F.transform(get("$.status.loadBalancer.ingress", "array<struct<ip: string>>"), lambda x: x["ip"]), F.array().cast("array<string>")),
             F.coalesce(F.transform(F.filter(get("$.status.addresses", "array<struct<type: string, address: string>>"), lambda x: x["type"].isin("InternalIP", "ExternalIP")), lambda x: x["address"]), F.array().cast("array<string>")),
         )
@@ -149,7 +157,13 @@ def validity(changes: DataFrame) -> DataFrame:
     """Changes (uid, event, ts_ns, ips, ...) as intervals: each applied state until the next change of its uid.
 
     Deletions end an interval and open none; ips_changed tells whether addresses differ from the state before.
+    A list that is sent again stands between the events init and init_done (of no uid): what it doesn't hold
+    is over at init_done. Lists sent again are few, and travel as one array.
     """
+    lists = changes.filter(F.col("event").isin("init", "init_done")).select("event", "ts_ns").withColumn("init", F.lag("ts_ns").over(Window.orderBy("ts_ns")))
+    lists = lists.filter("event = 'init_done'").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ns").alias("done"), F.coalesce("init", "ts_ns").alias("init")))).alias("__lists"))
     by_uid = Window.partitionBy("uid").orderBy("ts_ns")
     marked = changes.withColumns({"valid_from": F.col("ts_ns"), "valid_to": F.coalesce(F.lead("ts_ns").over(by_uid), F.lit(FOREVER)), "ips_changed": ~F.coalesce(F.sort_array(F.lag("ips").over(by_uid)), F.array().cast(changes.schema["ips"].dataType)).eqNullSafe(F.coalesce(F.sort_array("ips"), F.array().cast(changes.schema["ips"].dataType)))})
-    return marked.filter(F.col("event") == "apply")
+    missed = F.filter("__lists", lambda x: (x["init"] > F.col("valid_from")) & (x["done"] < F.col("valid_to")))
+    ended = marked.filter(F.col("event") == "apply").crossJoin(F.broadcast(lists))
+    return ended.withColumn("valid_to", F.coalesce(F.try_element_at(missed, F.lit(1))["done"], "valid_to")).drop("__lists")

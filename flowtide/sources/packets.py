@@ -23,6 +23,8 @@ class PacketTable:
     tables: tuple[str, ...]
     sql: str
     order: list[str] = field(default_factory=list)
+    #: The same order for operators, as ts_ns and one long from 0 to under 10**18 that orders packets of one ts_ns.
+    ranked: list[str] = field(default_factory=list)
 
     def cte(self) -> str:
         """For SQL beside Spark's: common table expressions that end in one named packets."""
@@ -47,6 +49,7 @@ LINES = PacketTable(
     """raw AS (
   SELECT l_orderkey AS conn,
     l_orderkey*1000000000 + l_linenumber*50000000 + (l_partkey%50)*100000 AS ts_ns,
+    CAST(l_linenumber AS BIGINT)*100000000000000000 + (l_partkey%100000000)*1000000000 + (l_suppkey%10000000)*100 + CAST(floor(l_quantity) AS BIGINT) AS seq,
     l_linenumber AS ln, l_partkey AS tie1, l_suppkey AS tie2, l_quantity AS tie3, l_extendedprice AS tie4,
     l_discount AS tie5, l_tax AS tie6, l_returnflag AS tie7, l_linestatus AS tie8, l_shipdate AS tie9,
     l_linenumber IN (1,3,4,6) AS from_client,
@@ -65,11 +68,12 @@ LINES = PacketTable(
     CAST(l_linenumber%4 AS INT) AS ecn, l_linenumber IN (4,5) AS has_payload, o_custkey AS custkey
   FROM {lineitem} JOIN {orders} ON o_orderkey=l_orderkey
 ), packets AS (
-  SELECT conn, ts_ns, ln, tie1, tie2, tie3, tie4, tie5, tie6, tie7, tie8, tie9, proto, len, tcp_flags, host, ifindex, ttl, dscp, ecn,
+  SELECT conn, ts_ns, seq, ln, tie1, tie2, tie3, tie4, tie5, tie6, tie7, tie8, tie9, proto, len, tcp_flags, host, ifindex, ttl, dscp, ecn,
     has_payload, custkey, CASE WHEN from_client = observer_is_client THEN 'egress' ELSE 'ingress' END AS direction,
     """ + _ENDS + """ FROM raw
 )""",
     ["ts_ns", "ln", *(f"tie{i}" for i in range(1, 10))],
+    ["ts_ns", "seq"],
 )
 
 #: One packet an event, fifty conversations that two hosts each see a part of: long flows with gaps. ICMP has its type as source port.
@@ -98,6 +102,7 @@ EVENTS = PacketTable(
     """ + _ENDS + """ FROM shaped
 )""",
     ["ts_ns", "packet_id"],
+    ["ts_ns", "packet_id"],
 )
 
 

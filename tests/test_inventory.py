@@ -53,6 +53,33 @@ def test_ip_conflict(spark):
     assert got.src_name == "regular"
 
 
+def test_ports_break_ties(spark):
+    """Among pods of one address the one with the flow's port goes first; kinds keep their order."""
+    ip = packed("10.0.0.9")
+    rows = [("Pod", "a", [("TCP", 80)]), ("Pod", "b", [("UDP", 443), ("TCP", 443)]), ("Service", "s", [("TCP", 9090)])]
+    objects = spark.createDataFrame([(k, "n", n, [ip], p) for k, n, p in rows], "kind string, namespace string, name string, ips array<binary>, ports array<struct<protocol: string, port: int>>")
+    flow = spark.createDataFrame([(ip, packed("9.9.9.9"), 5, proto, port, 1) for proto, port in ((6, 443), (17, 443), (6, 80), (6, 9090))], "src_ip binary, dst_ip binary, at long, proto int, src_port int, dst_port int")
+    got = {(r.proto, r.src_port): r.src_name for r in enrich.decorate(flow, enrich.ip_index(objects), "at").collect()}
+    assert got == {(6, 443): "b", (17, 443): "b", (6, 80): "a", (6, 9090): "a"}
+
+
+def test_relist(spark):
+    changes = spark.createDataFrame([("u", "apply", 1, ["a"]), ("v", "apply", 2, ["b"]), (None, "init", 5, None), ("v", "apply", 6, ["b"]), (None, "init_done", 8, None), ("u", "apply", 20, ["a"])], "uid string, event string, ts_ns long, ips array<string>")
+    got = sorted((r.uid, r.valid_from, r.valid_to) for r in inventory.validity(changes).collect())
+    assert got == [("u", 1, 8), ("u", 20, inventory.FOREVER), ("v", 2, 6), ("v", 6, inventory.FOREVER)]
+
+
+def test_several_owners(spark):
+    """From JSON objects with several owners a level, some of them shared; the nearest 32 stay."""
+    ref = lambda k, n: {"kind": k, "name": n}
+    meta = lambda k, n, *refs: {"kind": k, "metadata": {"name": n, "namespace": "n", "ownerReferences": list(refs)}}
+    dump = [meta("Pod", "p", ref("ReplicaSet", "r"), ref("Job", "j")), meta("ReplicaSet", "r", ref("Deployment", "d")), meta("Job", "j", ref("CronJob", "c"), ref("Deployment", "d")), meta("Pod", "many", *[ref("X", f"x{i}") for i in range(40)])]
+    objects = inventory.from_json(spark.createDataFrame([(json.dumps(d),) for d in dump], "value string"))
+    got = enrich.owner_chain(objects.filter("kind = 'Pod'"), objects)
+    assert sorted((r.depth, r.kind, r.name) for r in got.filter("pod = 'p'").collect()) == [(1, "Job", "j"), (1, "ReplicaSet", "r"), (2, "CronJob", "c"), (2, "Deployment", "d")]
+    assert got.filter("pod = 'many'").count() == 32
+
+
 def test_owner_chain(spark):
     pods = spark.createDataFrame([("n", "p", "ReplicaSet", "rs"), ("n", "lone", None, None)], "namespace string, name string, owner_kind string, owner_name string")
     objects = spark.createDataFrame([("n", "ReplicaSet", "rs", "Deployment", "d"), ("n", "Deployment", "d", None, None), ("m", "ReplicaSet", "rs", "Deployment", "other")], "namespace string, kind string, name string, owner_kind string, owner_name string")
