@@ -114,16 +114,17 @@ def test_hosts_are_apart(spark):
     assert sorted(map(str, both.collect())) == sorted(map(str, alone.collect() * 2))
 
 
-def test_fold_over_batches(spark):
-    """The fold doesn't depend on where batches end."""
+def test_fold_over_batches_and_runs(spark, monkeypatch):
+    """The fold depends neither on where batches end nor on whether a flow's runs are dealt apart."""
     s = SECOND
-    rows = [((i * 37 % 11 + i * 3) * s, i % 3 != 0, (16, 24, 18, 17, 24, 4, 8)[i % 7], i % 7 in (1, 4), 60) for i in range(400)]
-    found = []
-    for size in (10_000, 1, 7):
+    rows = [((i * 37 % 11 + i * 3 + i // 50 * 90) * s, i % 3 != 0, (16, 24, 18, 17, 24, 4, 8)[i % 7], i % 7 in (1, 4), 60) for i in range(400)]
+    found, columns = [], ["ts_ns", "session", "start_ns", "seen", "state", "jitter_ns", "wait_sum_ns", "waits", "first_a_to_b"]
+    for size, hot in ((10_000, 10**6), (1, 10**6), (7, 10**6), (10_000, 10), (7, 10)):
+        monkeypatch.setattr(flows, "HOT_PACKETS", hot)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        found.append(sorted(map(str, flows.session_fold(packet_frame(spark, rows), ["ts_ns"]).collect())))
+        found.append(sorted(map(str, flows.session_fold(packet_frame(spark, rows), ["ts_ns"]).select(columns).collect())))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+    assert all(f == found[0] for f in found) and len(found[0]) == 400
 
 
 def test_snapshots(spark):
