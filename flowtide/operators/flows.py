@@ -128,27 +128,18 @@ def with_runs(keyed: DataFrame, key: list[str], timeouts: Timeouts) -> DataFrame
     """Adds run: a flow's packets between pauses over the longest timeout of its protocol.
 
     Pauses are found on first and last times of fixed slices of time, so that a flow with very many packets
-    is spread over tasks from the start.
+    is spread over tasks from the start. Flows stand for themselves by a hash; should two share one, their
+    runs end where both pause, which is a pause of each.
     """
     t = timeouts
     slot = F.expr(f"ts_ns DIV {max(t.icmp, t.tcp, t.udp, t.other) * SECOND}")
-    keyed = keyed.withColumn("slot", slot)
-    by_time = Window.partitionBy(*key).orderBy("slot")
-    slices = keyed.groupBy(*key, "slot").agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"))
+    keyed = keyed.withColumns({"slot": slot, "flow_hash": F.xxhash64(*key)})
+    flow = ["flow_hash", "proto"]
+    by_time = Window.partitionBy(*flow).orderBy("slot")
+    slices = keyed.groupBy(*flow, "slot").agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"))
     pause = F.col("first") - F.lag("last").over(by_time) > timeouts.idle_ns(F.col("proto"))
-    runs = slices.withColumn("pause", pause).withColumn("run", F.count_if("pause").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    return keyed.join(runs.filter("run > 0").select(*key, "slot", "run"), [*key, "slot"], "left").withColumn("run", F.coalesce("run", F.lit(0))).drop("slot")
-
-
-#: Packets of a flow from which on its runs are dealt one by one.
-HOT_PACKETS = 1_000_000
-
-
-def with_hot_runs(keyed: DataFrame, key: list[str], timeouts: Timeouts) -> DataFrame:
-    """Adds run, other than 0 for flows of over HOT_PACKETS packets alone: at most packets / HOT_PACKETS of them."""
-    hot = F.broadcast(keyed.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_PACKETS).select(*key))
-    cold = keyed.join(hot, key, "left_anti").withColumn("run", F.lit(0).cast("long"))
-    return cold.unionByName(with_runs(keyed.join(hot, key, "left_semi"), key, timeouts))
+    runs = slices.withColumn("pause", pause).withColumn("run", F.sum(F.col("pause").cast("long")).over(by_time)).filter("run > 0")
+    return keyed.join(runs.select(*flow, "slot", "run"), [*flow, "slot"], "left").withColumn("run", F.coalesce("run", F.lit(0))).drop("slot", "flow_hash")
 
 
 class Fold:
@@ -237,15 +228,15 @@ def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Time
 
     Flows are those of one host, where packets have a host. A session ends when no packet comes for the
     timeout, which depends on the flags that the session has seen. Jitter is J += (|D| - J) / 16 in whole
-    numbers over the waits D of transactions. What is dealt to tasks is a flow, or where it has very many
-    packets, each of its runs without a pause over its longest timeout. A run of any length is folded in one
-    task, as each packet's state depends on the one before, with a state of a few numbers.
+    numbers over the waits D of transactions. What is dealt to tasks is a run of a flow without a pause over its
+    longest timeout. A run of any length is folded in one task, as each packet's state depends on the one
+    before, with a state of a few numbers.
     """
     key = observed_key(packets)
     columns = ["ts_ns", "len", "tcp_flags", "direction", "has_payload", *keep]
     tail = [c for c in order if c not in columns]
     keyed = with_key(packets).withColumn("egress", F.col("direction") == "egress").select(*key, *columns, *tail, "a_to_b", "egress")
-    placed = with_hot_runs(keyed, key, timeouts).repartition(*key, "run").sortWithinPartitions(*key, "run", *order).drop(*tail)
+    placed = with_runs(keyed, key, timeouts).repartition(*key, "run").sortWithinPartitions(*key, "run", *order).drop(*tail)
     schema = StructType([*placed.drop("run").schema.fields, *StructType.fromDDL(FOLDED).fields])
     kinds = {f.name: pa.bool_() if f.dataType.typeName() == "boolean" else pa.int64() if f.dataType.typeName() == "long" else pa.int32() for f in StructType.fromDDL(FOLDED).fields}
 

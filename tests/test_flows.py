@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide.functions import names, tcp
-from flowtide.functions.addresses import community_id, in_networks, key_ports, network, to_text
+from flowtide.functions.addresses import KEY, community_id, in_networks, key_ports, network, to_text, with_key
 from flowtide.operators import direction, filters, flows, frames, spans
 from flowtide.operators.flows import SECOND, Timeouts
 
@@ -119,11 +119,14 @@ def test_fold_over_batches_and_runs(spark, monkeypatch):
     s = SECOND
     rows = [((i * 37 % 11 + i * 3 + i // 50 * 90) * s, i % 3 != 0, (16, 24, 18, 17, 24, 4, 8)[i % 7], i % 7 in (1, 4), 60) for i in range(400)]
     found, columns = [], ["ts_ns", "session", "start_ns", "seen", "state", "jitter_ns", "wait_sum_ns", "waits", "first_a_to_b"]
-    for size, hot in ((10_000, 10**6), (1, 10**6), (7, 10**6), (10_000, 10), (7, 10)):
-        monkeypatch.setattr(flows, "HOT_PACKETS", hot)
+    packets, key = packet_frame(spark, rows), ["host", *KEY]
+    assert flows.with_runs(with_key(packets), key, Timeouts()).select("run").distinct().count() == 8
+    for size in (10_000, 1, 7):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        found.append(sorted(map(str, flows.session_fold(packet_frame(spark, rows), ["ts_ns"]).select(columns).collect())))
+        found.append(sorted(map(str, flows.session_fold(packets, ["ts_ns"]).select(columns).collect())))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(flows, "with_runs", lambda keyed, key, timeouts: keyed.withColumn("run", F.lit(0)))
+    found.append(sorted(map(str, flows.session_fold(packets, ["ts_ns"]).select(columns).collect())))
     assert all(f == found[0] for f in found) and len(found[0]) == 400
 
 
