@@ -5,7 +5,7 @@ hashes first), which deals every row into a cell of about ``CELL_ROWS`` vectors.
 ``TREES`` trees of its own down to leaves of ``LEAF`` vectors. A level splits along the difference of two
 random vectors, each node at the median. A query walks all trees of a cell through one priority queue,
 always on at the node least far off (by the root of the sum of squared margins on the way), and ranks the members of the leaves it comes to by exact
-cosines. It stops when the leaves held ``MEET`` * n ** ``GROWTH`` of a cell's n vectors, or earlier, where all
+cosines. It stops when the leaves held ``LEAST`` + ``MEET`` * n ** ``GROWTH`` of a cell's n vectors, or earlier, where all
 that is left is farther off than ``REACH`` standard deviations of what a neighbour nearer than the k found
 so far differs along a random direction. First it does so in the cell it falls in; then, with what it has found, in
 the next cells of the routing tree within that same reach, ``ROUTES`` * cells ** ``GROWTH`` at most.
@@ -39,7 +39,7 @@ from .training import train
 K = 5
 TREES, LEAF = 64, 8
 SAMPLE, CELL_ROWS = 32_768, 32_768
-MEET, GROWTH, REACH, ROUTES = 3.2, 0.75, 1.0, 1.5
+LEAST, MEET, GROWTH, REACH, ROUTES = 300, 3.2, 0.75, 1.0, 1.5
 #: Leaves whose members are ranked together, before the search asks whether to go on.
 ROUND = 48
 
@@ -109,7 +109,7 @@ class Cell:
     def nearest(self, query: np.ndarray, keep: int, reach: float | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
         """uids and cosines of the nearest found; a neighbour farther than limit (of unit vectors) is no use."""
         unit = units(query[None])[0]
-        most = MEET * len(self.uid) ** GROWTH if reach is not None else np.inf
+        most = LEAST + MEET * len(self.uid) ** GROWTH if reach is not None else np.inf
         walk, found, near, n_met = self.forest.walk(unit), [], np.zeros(0, np.float32), 0
         while n_met < most:
             parts, bound = [], None
