@@ -59,11 +59,12 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, text: str = "text", buck
     n_buckets = max(1, -(-total // bucket_bytes))
     n_partitions = min(n_buckets, MOST_PARTITIONS)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "hash"), F.lit(n_buckets)).cast("int")
-    scattered = _records(rows, bucket_bytes, text, seed).withColumn("bucket", bucket).repartitionById(n_partitions, F.pmod("bucket", F.lit(n_partitions)))
+    scattered = _records(rows, bucket_bytes, text, seed).withColumn("bucket", bucket).withColumn("part", F.pmod("bucket", F.lit(n_partitions)))
+    scattered = scattered.repartitionById(n_partitions, F.col("part"))  # which the groups below need no shuffle beyond
     # Copies lie side by side in a bucket before it is shuffled; equal hashes otherwise mean equal rows.
     by_hash = F.array_sort(F.collect_list(F.struct("hash", "copies", "row")), lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(0))
     whole = F.flatten(F.transform(by_hash, lambda x: F.array_repeat(x["row"], x["copies"].cast("int"))))
-    shuffled = scattered.groupBy("bucket").agg(whole.alias("all")).select("bucket", F.posexplode(F.shuffle("all", seed)).alias("at", "row"))
+    shuffled = scattered.groupBy("part", "bucket").agg(whole.alias("all")).select("bucket", F.posexplode(F.shuffle("all", seed)).alias("at", "row"))
     path = shared_folder(rows.sparkSession, "shards")
     shuffled.write.parquet(path)
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("row", rows.schema)])
