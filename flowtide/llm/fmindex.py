@@ -1,32 +1,29 @@
 """A compressed FM-index over many integer strings, asked for matching statistics of many places at once.
 
 The Burrows-Wheeler transform is held as a wavelet matrix: one bit vector for each bit of a symbol, with the
-ones before each 256 bits counted, so n symbols out of m take 1.125 * n * log2(m) bits, whatever the length
+ones before each 64 bits counted, so n symbols out of m take 1.5 * n * log2(m) bits, whatever the length
 of the words that they stand for. Suffixes are sorted in full (to the end of their string) by doubling.
 """
 
 import numpy as np
 
 U = np.uint64
-BLOCK_WORDS = 4
-_BITS = np.arange(64 * BLOCK_WORDS)
-#: For each place in a block of words the bits before it.
-_BEFORE = np.packbits(_BITS[None, :] < _BITS[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 class Bits:
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros((len(bits) // len(_BITS) + 1) * len(_BITS), np.uint8)
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64).reshape(-1, BLOCK_WORDS)
-        counts = np.bitwise_count(self.words).sum(1, dtype=np.int64)
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        counts = np.bitwise_count(self.words).astype(np.int64)
         self.before = (np.cumsum(counts) - counts).astype(np.uint32)
         self.zeros = len(bits) - int(counts.sum())
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Ones among the first `at` bits."""
-        block, place = np.divmod(at, len(_BITS))
-        return self.before[block] + np.bitwise_count(self.words[block] & _BEFORE[place]).sum(1, dtype=np.int64)
+        word = at >> 6
+        mask = (U(1) << (at & 63).astype(np.uint64)) - U(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletMatrix:

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .bitmap import Bitmap, bitmap
 from .fmindex import FMIndex
 from .storage import extended, materialize
-from .text import U, Words, binary, gather, grams, slices, utf8
+from .text import U, Words, binary, grams, slices, utf8
 
 MIN_WORDS, ANCHOR = 35, 8
 FILTER_BITS, HOT_BITS = 28, 24
-HOT_COUNT, SHARD_SEGMENTS = 10_000, 4_000
+HOT_COUNT, SHARD_SEGMENTS = 10_000, 20_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -175,15 +175,14 @@ def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcas
     return docs.select("text", "id", "text_hash").mapInArrow(task, "anchor long, hash long, id long, text_hash long, at long")
 
 
-def matches(index: FMIndex, symbols: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, low, high): matches of min_words or more that together cover all such matches of all segments.
+def matches(index: FMIndex, symbols: np.ndarray, first: np.ndarray, lanes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, low, high): matches of min_words or more that together cover all such matches of these segments.
 
     Segments stream by their ends, from the last one on. Where the longest match that ends at a place is
     long enough, it is reported, and the next end asked is the last one of a window that begins before it.
     """
-    lanes = np.arange(len(first) - 1)
     ends, found = first[1:].copy(), []
-    lanes = lanes[ends - first[:-1] >= min_words]
+    lanes = lanes[first[lanes + 1] - first[lanes] >= min_words]
     while len(lanes):
         begins, end = first[lanes], ends[lanes]
         start = index.longest(symbols, begins, end)
@@ -201,12 +200,12 @@ def repeated_intervals(table: pa.Table, min_words: int) -> pa.RecordBatch:
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     words = Words(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
     _, symbols = np.unique(words.hashes(), return_inverse=True)
-    # A segment that occurs several times is indexed twice: as often as a match needs.
-    twice = np.flatnonzero(table.column("n").to_numpy() > 1)
-    again = gather(words.first[twice], words.counts[twice])
-    left = words.left()
-    index = FMIndex(np.concatenate([symbols, symbols[again]]), np.concatenate([left, left[again]]))
-    of, low, high = matches(index, symbols, words.first, min_words)
+    index = FMIndex(symbols, words.left())
+    # Equal segments came as one with their number: all of such a one is a match. The others are searched.
+    several = table.column("n").to_numpy() > 1
+    whole = np.flatnonzero(several & (words.counts >= min_words))
+    of, low, high = matches(index, symbols, words.first, np.flatnonzero(~several), min_words)
+    of, low, high = (np.concatenate(x) for x in ((of, whole), (low, words.first[whole]), (high, words.first[whole + 1])))
     first, take = words.first[of], pa.array(of)
     return pa.RecordBatch.from_pydict({"anchor": table.column("anchor").take(take).combine_chunks(), "hash": table.column("hash").take(take).combine_chunks(), "low": pa.array(low - first), "high": pa.array(high - first)})
 
