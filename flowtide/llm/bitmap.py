@@ -5,9 +5,11 @@ Its size is a parameter and does not depend on the data, which makes it safe to
 """
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bits of one row of Spark's bitmap functions.
 ROW_BITS = 8 * 4096
@@ -38,3 +40,16 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> Bitmap:
     low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
     rows = hashes.select(F.bitmap_bucket_number(low).alias("number"), F.bitmap_bit_position(low).alias("position")).groupBy("number").agg(F.bitmap_construct_agg("position").alias("row")).collect()
     return Bitmap(bits, [(r["number"], bytes(r["row"])) for r in rows])
+
+
+def flagged(rows: DataFrame, marks: DataFrame, column: str, bits: int) -> DataFrame:
+    """rows with __flag: whether the bitmap of marks' long column holds theirs; no row is shuffled for it."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(marks, column, bits))
+    schema = StructType([*rows.schema.fields, StructField("__flag", BooleanType())])
+
+    def task(batches):
+        for batch in batches:
+            flags = held.value.holds(batch.column(column).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=schema.names)
+
+    return rows.mapInArrow(task, schema)

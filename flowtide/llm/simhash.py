@@ -21,10 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bitmap import bitmap
+from .bitmap import flagged
 from .components import stars
 from .storage import materialize
 from .text import LOWER, U, Words, gather, slices, utf8
@@ -196,20 +195,12 @@ def only_kept(docs: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame:
     rows = fps.select(_key("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).groupBy("__id", "__hash").agg(F.count("*").alias("__n"))
     doubtful = rows.join(kept, ["__id", "__hash"], "left").filter("__kept IS NULL OR __n > 1")
     doubtful = materialize(doubtful.select("__id", "__hash", F.col("__kept").isNotNull().alias("__stays")), "doubtful")
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(doubtful.select(F.xxhash64("__id", "__hash").alias("mark")), "mark", FILTER_BITS))
     keyed = docs.withColumns({"__id": _key("doc_id"), "__hash": F.xxhash64("text")}).withColumn("__mark", F.xxhash64("__id", "__hash"))
-    schema = T.StructType([*keyed.schema.fields[:-1], T.StructField("__doubt", T.BooleanType())])
-
-    def task(batches):
-        for batch in batches:
-            held = marks.value.holds(batch.column("__mark").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held)], names=schema.names)
-
-    marked = keyed.mapInArrow(task, schema)
-    unsure = marked.filter("__doubt").join(doubtful, ["__id", "__hash"], "left").filter("coalesce(__stays, true)")
+    marked = flagged(keyed, doubtful.select(F.xxhash64("__id", "__hash").alias("__mark")), "__mark", FILTER_BITS)
+    unsure = marked.filter("__flag").join(doubtful, ["__id", "__hash"], "left").filter("coalesce(__stays, true)")
     once = Window.partitionBy("__id", "__hash").orderBy(F.col("doc_id").isNull())
     unsure = unsure.withColumn("__row", F.row_number().over(once)).filter("__row = 1")
-    return marked.filter("NOT __doubt").select(docs.columns).unionAll(unsure.select(docs.columns))
+    return marked.filter("NOT __flag").select(docs.columns).unionAll(unsure.select(docs.columns))
 
 
 def first_row():
