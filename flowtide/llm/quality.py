@@ -11,7 +11,8 @@ that they carry over between languages.
 Training reads a bounded sample (``MOST_POSITIVES`` and ``MOST_UNLABELLED`` documents, lowest hashes of
 doc_id first); scoring reads all rows. Defined results: null and empty texts have no trigrams and get the
 score of the bias alone; a null doc_id is not held out and never trains; without positives every score
-is 0.5; repeated rows are scored each; only doc_id and text are read, other columns are ignored.
+is 0.5; repeated rows are scored each and train once; a very long text is a slice of its own; other columns
+are kept, but that ``score`` and ``predicted`` replace columns of these names.
 """
 
 import numpy as np

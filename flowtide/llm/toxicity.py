@@ -7,7 +7,8 @@ weights other than zero; those are what is broadcast.
 Training reads a bounded sample of labelled rows (``MOST_ROWS``, lowest hashes of doc_id first); scoring
 reads all rows whole. Defined results: null and empty texts have no feature and get the score of the
 bias alone; a null doc_id is not held out and never trains; without labelled rows every score is 0.5;
-repeated rows are scored each; only doc_id and text are read, other columns are ignored.
+repeated rows are scored each and train once; a very long text is a slice of its own; other columns are
+kept, but that ``score`` and ``predicted`` replace columns of these names.
 """
 
 import numpy as np

@@ -19,9 +19,12 @@ def first_by_hash(rows: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Texts of the at most n given ids, with the ids' other columns; 2 n rows at most if ids repeat in docs."""
+    """Texts of the at most n given ids, with the ids' other columns; where an id repeats in docs, its least text.
+
+    So a repeated id has one place in the sample, whatever its rows.
+    """
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return first_by_hash(texts, 2 * n, "doc_id")
+    return first_by_hash(texts.groupBy(ids.columns).agg(F.min("text").alias("text")), n, "doc_id")
 
 
 def train(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes:

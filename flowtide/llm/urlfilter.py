@@ -2,7 +2,8 @@
 
 A rule names a host and a path prefix; it fits that host and its subdomains. The longest fitting rule
 decides. Urls that no rule fits get the verdict of a model over hashed n-grams of host and path, trained
-on a small labelled URL table: a bounded sample (``MOST_URLS``) of the urls that rules do decide.
+on a small labelled URL table: a bounded sample (``MOST_URLS``) of the urls that rules do decide, each host
+with path once however often it occurs, up to half of the sample from either class.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and gets the
 model's verdict for no features; with an empty labelled table or one of a single class the model allows
@@ -101,11 +102,18 @@ def fit(batches) -> bytes:
     return w.astype(np.float32).tobytes()
 
 
+def labelled_urls(parted: DataFrame, most_urls: int) -> DataFrame:
+    """host, path and blocked of distinct urls that rules decide, at most half of them from either class."""
+    distinct = parted.filter("ruled IS NOT NULL").groupBy("host", "path").agg(F.max(F.col("ruled") == "block").alias("blocked"))
+    keyed = distinct.withColumn("key", F.concat("host", "path"))
+    chosen = [first_by_hash(keyed.filter(F.col("blocked") == verdict), most_urls // 2, "key") for verdict in (True, False)]
+    return chosen[0].unionAll(chosen[1]).drop("key")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, most_urls: int = MOST_URLS) -> DataFrame:
     """page_id, url, host, path, rule, block_score (of the model) and verdict of every row."""
     parted = with_parts(pages.select("page_id", "url"), rules)
-    labelled = parted.filter("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").alias("blocked"))
-    model = train(first_by_hash(labelled, most_urls, "url").select("host", "path", "blocked"), fit)
+    model = train(labelled_urls(parted, most_urls), fit)
     _, schema = extended(parted.drop("ruled"), "block_score double, verdict string")
 
     def task(batches):

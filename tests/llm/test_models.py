@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.llm import ann, decontaminate, quality, sharding, toxicity, urlfilter
+from flowtide.llm import ann, decontaminate, quality, sharding, toxicity, training, urlfilter
 
 DOCS = "doc_id long, text string, score string, shard string"
 R = random.Random(9)
@@ -132,6 +132,18 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_samples_of_distinct_keys(spark):
+    """Neither a url nor an id that fills the table takes more than one place of a sample."""
+    urls = ["http://a.com/x"] * 500 + [f"http://b{i}.com/x" for i in range(20)] + ["http://A.com/x?q", None, "http://n.net/fr/", "http://n.net/fr/?a", "http://m.net/other"]
+    parted = urlfilter.with_parts(spark.createDataFrame([(1, u) for u in urls], "page_id long, url string"))
+    got = sorted((r.host, r.path, r.blocked) for r in urlfilter.labelled_urls(parted, 100).collect())
+    assert got == sorted([("a.com", "/x", False), ("n.net", "/fr/", True)] + [(f"b{i}.com", "/x", False) for i in range(20)])
+    assert urlfilter.labelled_urls(parted, 10).count() == 6
+    docs = spark.createDataFrame([(1, f"t{i:03}") for i in range(300)] + [(2, None), (2, "b"), (3, ""), (None, "x")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, label int")
+    assert sorted(tuple(r) for r in training.labelled_texts(docs, ids, 3).select("doc_id", "label", "text").collect()) == [(1, 0, "t000"), (2, 1, "b"), (3, 1, "")]
+
+
 def test_neighbours_brute_force(spark):
     r = np.random.default_rng(3)
     vectors = [v.tolist() for v in r.normal(size=(600, 16)).astype(np.float32)]
