@@ -103,6 +103,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.
     return _digests(documents(spark, sf_dir), ranks)
 
 
+def op13_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bytededup
+
+    return bytededup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def packed(docs: DataFrame, operator, *more: str) -> DataFrame:
     """An operator's rows with the columns of docs, of which those besides doc_id and text travel in one struct.
 
@@ -173,6 +179,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op13_byte_dedup": op13_byte_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -188,5 +195,24 @@ kept AS (
   FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id AND covered.pos = words.pos GROUP BY words.doc_id
 )
 SELECT lists.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM lists LEFT JOIN kept ON kept.doc_id = lists.doc_id
+""",
+    # Bytes are two hexadecimal digits each; pieces lie between the maximal runs that windows cover.
+    "op13_byte_dedup": r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399, 200)) AS base FROM texts),
+parts AS MATERIALIZED (SELECT doc_id, base, substr(h, 2 * base + 1, 1198) AS p FROM blocks),
+starts AS (SELECT doc_id, base, p, unnest(range(0, length(p) // 2 - 399)) AS k FROM parts),
+windows AS (SELECT doc_id, base + k AS i, md5(substr(p, 2 * k + 1, 800)) AS s FROM starts),
+repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+found AS (SELECT doc_id, i FROM windows SEMI JOIN repeated USING (s)),
+opened AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS opens FROM found),
+numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
+runs AS (SELECT doc_id, min(i) AS low, max(i) + 400 AS high FROM numbered GROUP BY doc_id, run),
+edges AS (SELECT doc_id, 0 AS low, 0 AS high FROM texts UNION ALL SELECT doc_id, low, high FROM runs),
+kept AS (SELECT doc_id, high AS a, lead(low) OVER (PARTITION BY doc_id ORDER BY high) AS b FROM edges),
+pieces AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS rest FROM kept JOIN texts USING (doc_id) GROUP BY doc_id),
+spans AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM texts JOIN pieces USING (doc_id) LEFT JOIN spans USING (doc_id)
 """,
 }
