@@ -103,6 +103,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.
     return _digests(documents(spark, sf_dir), ranks)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bytededup
 
@@ -179,6 +191,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
     "op13_byte_dedup": op13_byte_dedup,
 }
 
@@ -195,6 +209,50 @@ kept AS (
   FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id AND covered.pos = words.pos GROUP BY words.doc_id
 )
 SELECT lists.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM lists LEFT JOIN kept ON kept.doc_id = lists.doc_id
+""",
+    # All groups of a lang by all its kept terms, zeros included.
+    "op11_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM sums JOIN sizes USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM counts JOIN sizes USING (lang) GROUP BY lang, term),
+distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN distances AS x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS k FROM starts),
+counts AS MATERIALIZED (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT lang, phrase, k, CAST(f AS HUGEINT) AS f, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+cuts AS (SELECT lang, phrase, f, w, k, unnest(range(1, k)) AS cut FROM frequent WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r, (2000000 * c.f) // (x.f + y.f) AS score
+  FROM cuts AS c JOIN frequent AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN frequent AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+lengths AS (SELECT lang, w, k, f, unnest(range(2, k)) AS n FROM frequent WHERE k > 2),
+places AS (SELECT lang, w, f, n, unnest(range(1, k - n + 2)) AS i FROM lengths),
+inside AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS longer FROM places GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest AS s LEFT JOIN inside AS o ON o.lang = s.lang AND o.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
     # Bytes are two hexadecimal digits each; pieces lie between the maximal runs that windows cover.
     "op13_byte_dedup": r"""

@@ -32,6 +32,8 @@ def _table(characters: bytes) -> np.ndarray:
 SPACES = _table(b" \t\n\x0b\x0c\r")
 #: Between terms stand all ASCII characters but letters and digits.
 NOT_TERM = _table(bytes(c for c in range(128) if not chr(c).isalnum()))
+#: Between terms of letters alone stand all ASCII characters but letters.
+NOT_LETTER = _table(bytes(c for c in range(128) if not chr(c).isalpha()))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
