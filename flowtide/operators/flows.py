@@ -5,6 +5,7 @@ TCP state, timeouts that depend on flags) is one pass over packets sorted inside
 a few numbers, so a flow of any length needs no more memory than a short one.
 """
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from . import scan
 from ..functions import tcp
 from ..functions.addresses import KEY, UDP, ICMP, ICMPV6, TCP, key_id, with_key
 from ..functions.names import END_REASONS, STATES, lookup
@@ -124,34 +126,46 @@ def observed_key(df: DataFrame) -> list[str]:
     return [*[c for c in ("host",) if c in df.columns], *KEY]
 
 
-def with_runs(keyed: DataFrame, key: list[str], timeouts: Timeouts) -> DataFrame:
-    """Adds run: a flow's packets between pauses over the longest timeout of its protocol.
+#: Packets of a chunk of a run; a chunk has one slice of time at least.
+CHUNK = 1 << 18
+
+
+def with_runs(keyed: DataFrame, key: list[str], timeouts: Timeouts, chunk: int = CHUNK) -> DataFrame:
+    """Adds run, and chunk and chunks of the run: a run is a flow's packets between pauses over the longest timeout.
 
     Pauses are found on first and last times of fixed slices of time, so that a flow with very many packets
-    is spread over tasks from the start. Flows stand for themselves by a hash; should two share one, their
-    runs end where both pause, which is a pause of each.
+    is spread over tasks from the start. A run of over `chunk` packets is cut into chunks of about as many, at the
+    edges of slices. Flows stand for themselves by a hash; should two share one, their runs end where both
+    pause, which is a pause of each.
     """
-    t = timeouts
-    slot = F.expr(f"ts_ns DIV {max(t.icmp, t.tcp, t.udp, t.other) * SECOND}")
-    keyed = keyed.withColumns({"slot": slot, "flow_hash": F.xxhash64(*key)})
-    flow = ["flow_hash", "proto"]
+    t, flow = timeouts, ["flow_hash", "proto"]
+    keyed = keyed.withColumns({"slot": F.expr(f"ts_ns DIV {max(t.icmp, t.tcp, t.udp, t.other) * SECOND}"), "flow_hash": F.xxhash64(*key)})
     by_time = Window.partitionBy(*flow).orderBy("slot")
-    slices = keyed.groupBy(*flow, "slot").agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"))
+    slices = keyed.groupBy(*flow, "slot").agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"), F.count("*").alias("n"))
     pause = F.col("first") - F.lag("last").over(by_time) > timeouts.idle_ns(F.col("proto"))
-    runs = slices.withColumn("pause", pause).withColumn("run", F.sum(F.col("pause").cast("long")).over(by_time)).filter("run > 0")
-    return keyed.join(runs.select(*flow, "slot", "run"), [*flow, "slot"], "left").withColumn("run", F.coalesce("run", F.lit(0))).drop("slot", "flow_hash")
+    runs = slices.withColumn("pause", pause).withColumn("run", F.coalesce(F.sum(F.col("pause").cast("long")).over(by_time), F.lit(0)))
+    in_run = Window.partitionBy(*flow, "run").orderBy("slot")
+    runs = runs.withColumn("before", F.sum("n").over(in_run) - F.col("n")).withColumn("chunk", F.expr(f"before DIV {chunk}"))
+    runs = runs.withColumn("chunks", F.max("chunk").over(in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1)
+    known = runs.filter("run > 0 OR chunks > 1").select(*flow, "slot", "run", "chunk", "chunks")
+    joined = keyed.join(known, [*flow, "slot"], "left").drop("slot", "flow_hash")
+    return joined.withColumns({c: F.coalesce(c, F.lit(n).cast("long")) for c, n in (("run", 0), ("chunk", 0), ("chunks", 1))})
 
 
 class Fold:
     """Sessions, states and waits of packets in the order of their runs, a batch at a time."""
 
-    def __init__(self, timeouts: Timeouts):
+    def __init__(self, timeouts: Timeouts, last: dict | None = None):
         t = self.timeouts = timeouts
         self.idle = np.full(256, t.other, np.int64) * SECOND
         self.idle[[TCP, UDP, ICMP, ICMPV6]] = np.array([t.tcp, t.udp, t.icmp, t.icmp]) * SECOND
         self.shortest = min(t.tcp, t.tcp_fin, t.tcp_rst) * SECOND
         self.next = tcp.next_states()
-        self.last: dict | None = None
+        self.last = last
+
+    def idle_after(self, proto: int, seen: int) -> int:
+        t = self.timeouts
+        return (t.tcp_rst if seen & tcp.RST else t.tcp_fin if seen & tcp.FIN else t.tcp) * SECOND if proto == TCP else int(self.idle[proto])
 
     def _cuts(self, new, proto, ts, before, flags) -> np.ndarray:
         """Where a session begins inside a run. Only pauses that some timeout allows are looked at one by one."""
@@ -223,43 +237,136 @@ class Fold:
         return out
 
 
-def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Timeouts(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a packet: its flow key, its session, and the session's state and jitter as of the packet.
+def _marks(batch: pa.RecordBatch, whole: list[str], last_key: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where a row's key isn't that of the row before, and the key of the last row."""
+    n = batch.num_rows
+    new = np.ones(n, bool)
+    same = [pc.equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in whole]
+    new[1:] = ~np.logical_and.reduce(same)
+    new[0] = tuple(batch.column(c)[0].as_py() for c in whole) != last_key
+    return new, tuple(batch.column(c)[-1].as_py() for c in whole)
+
+
+def _values(batch: pa.RecordBatch) -> list[np.ndarray]:
+    values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("proto", "ts_ns", "tcp_flags", "egress", "a_to_b", "has_payload")]
+    return [v.astype(bool) if v.dtype == object else v for v in values]
+
+
+_KINDS = {name: {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}[kind] for name, kind in (c.split() for c in FOLDED.split(", "))}
+
+
+def _folded(placed: DataFrame, whole: list[str], timeouts: Timeouts) -> DataFrame:
+    """Rows of sorted chunks with what the fold says; start is the state before a chunk of a run that has several."""
+    dropped = ("run", "chunk", "start")
+    kept = [f for f in placed.schema.fields if f.name not in dropped]
+    schema = StructType([*kept, *StructType.fromDDL(FOLDED).fields])
+
+    def task(batches):
+        fold, last_key = Fold(timeouts), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, last_key = _marks(batch, whole, last_key)
+            start = batch.column("start")
+            goes_on = np.flatnonzero(new & pc.is_valid(start).to_numpy(zero_copy_only=False)).tolist()
+            cuts = sorted({0, *goes_on, batch.num_rows})
+            for i, j in zip(cuts, cuts[1:]):
+                part, opens = batch.slice(i, j - i), new[i:j].copy()
+                if i in goes_on:
+                    fold.last, opens[0] = pickle.loads(start[i].as_py()), False
+                out = fold.batch(opens, *_values(part))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *(pa.array(out[c]).cast(kind) for c, kind in _KINDS.items())], names=schema.names)
+
+    return placed.mapInArrow(task, schema)
+
+
+def _summaries(placed: DataFrame, whole: list[str], timeouts: Timeouts) -> DataFrame:
+    """One row a chunk of sorted chunks: whole and its function (binary)."""
+    schema = StructType([*[placed.schema[c] for c in whole], *StructType.fromDDL("summary binary").fields])
+
+    def task(batches):
+        made, last_key = None, None
+        out = lambda: pa.RecordBatch.from_pylist([dict(zip(whole, last_key)) | {"summary": made.summary()}], schema=arrow)
+        arrow = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrow = pa.schema([*[batch.schema.field(c) for c in whole], pa.field("summary", pa.binary())])
+            new, key = _marks(batch, whole, last_key)
+            cuts = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                part = batch.slice(i, j - i)
+                if new[i]:
+                    if made is not None:
+                        yield out()
+                    made = scan.Summarizer(lambda last: Fold(timeouts, last), tcp.next_states())
+                last_key = tuple(part.column(c)[0].as_py() for c in whole)
+                made.batch(*_values(part))
+        if made is not None:
+            yield out()
+
+    return placed.mapInArrow(task, schema)
+
+
+def _starts(summaries: DataFrame, key: list[str], timeouts: Timeouts) -> DataFrame:
+    """The state before each chunk: functions of a run's chunks, applied one after the other; a few numbers are held."""
+    schema = StructType([*[f for f in summaries.schema.fields if f.name != "summary"], *StructType.fromDDL("start binary").fields])
+    run = [*key, "run"]
+
+    def task(batches):
+        fold, last_key, state = Fold(timeouts), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, last_key = _marks(batch, run, last_key)
+            starts = []
+            for i, (proto, made) in enumerate(zip(batch.column("proto").to_pylist(), batch.column("summary").to_pylist())):
+                summary = scan.loads(made)
+                state = scan.fresh(summary.first_ts, summary.first_along) if new[i] else state
+                starts.append(pickle.dumps(state))
+                state = summary.apply(state, fold.idle_after(proto, state["seen"]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema.fields[:-1]], pa.array(starts, pa.binary())], names=schema.names)
+
+    ordered = summaries.repartition(*run).sortWithinPartitions(*run, "chunk")
+    return ordered.mapInArrow(task, schema)
+
+
+def packet_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Timeouts(), keep: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
+    """One row a packet: its flow key, its session (start_ns), and the session's state and jitter as of the packet.
 
     Flows are those of one host, where packets have a host. A session ends when no packet comes for the
     timeout, which depends on the flags that the session has seen. Jitter is J += (|D| - J) / 16 in whole
     numbers over the waits D of transactions. What is dealt to tasks is a run of a flow without a pause over its
-    longest timeout. A run of any length is folded in one task, as each packet's state depends on the one
-    before, with a state of a few numbers.
+    longest timeout; a run of over `chunk` packets (CHUNK) is dealt in chunks: each is summed up as a function of
+    the state before it (`scan`), the functions give every chunk its state, and the chunks are folded side by side.
     """
     key = observed_key(packets)
     columns = ["ts_ns", "len", "tcp_flags", "direction", "has_payload", *keep]
     tail = [c for c in order if c not in columns]
     keyed = with_key(packets).withColumn("egress", F.col("direction") == "egress").select(*key, *columns, *tail, "a_to_b", "egress")
-    placed = with_runs(keyed, key, timeouts).repartition(*key, "run").sortWithinPartitions(*key, "run", *order).drop(*tail)
-    schema = StructType([*placed.drop("run").schema.fields, *StructType.fromDDL(FOLDED).fields])
-    kinds = {f.name: pa.bool_() if f.dataType.typeName() == "boolean" else pa.int64() if f.dataType.typeName() == "long" else pa.int32() for f in StructType.fromDDL(FOLDED).fields}
+    cut, whole = with_runs(keyed, key, timeouts, *([] if chunk is None else [chunk])), [*key, "run", "chunk"]
+    if "chunk" not in cut.columns:
+        cut = cut.withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long")})
+    several = cut.filter("chunks > 1").select(*whole, *dict.fromkeys(["ts_ns", *order, "tcp_flags", "egress", "a_to_b", "has_payload"]))
+    starts = _starts(_summaries(several.repartition(*whole).sortWithinPartitions(*whole, *order), whole, timeouts), key, timeouts)
+    placed = cut.drop("chunks").repartition(*whole).join(starts.hint("shuffle_hash"), whole, "left").sortWithinPartitions(*whole, *order).drop(*tail)
+    return _folded(placed, whole, timeouts)
 
-    def task(batches):
-        fold, last_key = Fold(timeouts), None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            new = np.ones(n, bool)
-            whole = [*key, "run"]
-            same = [pc.equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in whole]
-            new[1:] = ~np.logical_and.reduce(same)
-            new[0] = tuple(batch.column(c)[0].as_py() for c in whole) != last_key
-            last_key = tuple(batch.column(c)[-1].as_py() for c in whole)
-            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("proto", "ts_ns", "tcp_flags", "egress", "a_to_b", "has_payload")]
-            out = fold.batch(new, *(v.astype(bool) if v.dtype == object else v for v in values))
-            kept = [batch.column(f.name) for f in schema.fields[: -len(kinds)]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[c]).cast(kind) for c, kind in kinds.items())], names=schema.names)
-
-    folded = placed.mapInArrow(task, schema)
-    # Spark leaves this out where nobody asks for the number.
-    return folded.withColumn("session", F.dense_rank().over(Window.partitionBy(*key).orderBy("start_ns")) - 1)
+
+def session_fold(packets: DataFrame, order: list[str], timeouts: Timeouts = Timeouts(), keep: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
+    """packet_fold with session: the number of a packet's session in its flow, from 0."""
+    return numbered(packet_fold(packets, order, timeouts, keep, chunk))
+
+
+def numbered(folded: DataFrame) -> DataFrame:
+    """Packets of packet_fold with session: the number of their session in its flow, from 0.
+
+    Sessions are numbered by their times, once each, and joined back, so no flow's packets have to meet in one task.
+    """
+    key = observed_key(folded)
+    own = folded.groupBy(*key, "start_ns").agg(F.count("*").alias("__n"))
+    place = own.withColumn("session", F.row_number().over(Window.partitionBy(*key).orderBy("start_ns")) - 1).drop("__n")
+    return folded.join(place, [*key, "start_ns"])
 
 
 def sessions(folded: DataFrame) -> DataFrame:
@@ -313,7 +420,7 @@ def interval_records(folded: DataFrame, metadata: tuple[str, ...] = (), timeouts
     ordered = Window.partitionBy(*key, "start_ns").orderBy("interval")
     last = F.lead("interval").over(ordered).isNull()
     seen = F.bit_or("tcp_flags").over(so_far)
-    number = F.dense_rank().over(Window.partitionBy(*key).orderBy("start_ns")) - 1
+    number = F.dense_rank().over(Window.partitionBy(*key).orderBy("start_ns")) - 1  # of records, not of packets
     records = records.withColumns({**totals, "tcp_flags": seen, "end_reason": end_reason(seen, last), "session": number})
     return records.withColumns({"community_id": key_id(), **_oriented(), "state": lookup(F.col("state"), STATES)}).drop("a_ip", "a_port", "b_ip", "b_port", "first_a_to_b")
 

@@ -66,12 +66,12 @@ def tcp_timing(spark, sf_dir):
 
 
 def folded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.session_fold(EVENTS.read(spark, sf_dir), EVENTS.ranked, keep=("packet_id", "ifindex"))
+    return flows.packet_fold(EVENTS.read(spark, sf_dir), EVENTS.ranked, keep=("packet_id", "ifindex"))
 
 
 @query(f"WITH {S.FOLD} SELECT packet_id, session, start_ns, seen, state, jitter_ns, wait_sum_ns, waits FROM fold")
 def packet_states(spark, sf_dir):
-    return folded_events(spark, sf_dir).select("packet_id", "session", "start_ns", "seen", "state", "jitter_ns", "wait_sum_ns", "waits")
+    return flows.numbered(folded_events(spark, sf_dir)).select("packet_id", "session", "start_ns", "seen", "state", "jitter_ns", "wait_sum_ns", "waits")
 
 
 @query(
