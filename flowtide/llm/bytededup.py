@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .bitmap import Bitmap, bitmap
 from .storage import extended, materialize
 from .suffixes import repeated_windows
-from .text import U, binary, slices, span_hashes, utf8
+from .text import BYTE, U, gather, powers, slices, utf8
 
 MIN_BYTES = 400
 FILTER_BITS, HOT_BITS = 28, 24
@@ -54,10 +54,19 @@ def anchor_bytes(min_bytes: int) -> int:
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the width bytes from each place on."""
+    """A hash of the width bytes from each place on; equal to span_hashes of all these spans."""
     n = max(0, len(data) - width + 1)
-    starts = np.arange(n)
-    return span_hashes(data, starts, starts + width)
+    up, down = powers(20)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    out = total[width : width + n] - total[:n]
+    out *= down[:n]
+    out += U(width)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        out ^= out >> U(shift)
+        if factor > 1:
+            out *= U(factor)
+    return out
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -76,17 +85,6 @@ def _ranked(hashes: np.ndarray) -> np.ndarray:
     return (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of grams, where all windows begin, and the place of each window's least gram."""
-    whole = np.arange(len(data)) + min_bytes <= np.repeat(offsets[1:], np.diff(offsets))
-    windows = np.flatnonzero(whole)
-    if not len(windows):
-        return np.zeros(0, np.uint64), windows, windows
-    gram = gram_hashes(data, anchor_bytes(min_bytes))
-    least = sliding_least(_ranked(gram), min_bytes - anchor_bytes(min_bytes) + 1)
-    return gram, windows, (least[windows] & PLACE).astype(np.int64)
-
-
 class Segments:
     """The segments of a piece: first byte (in the piece), number of bytes, and anchor hash.
 
@@ -94,38 +92,56 @@ class Segments:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, min_bytes: int, hot: tuple[Bitmap, Bitmap] | None = None):
-        gram, windows, place = anchored(data, offsets, min_bytes)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.anchors = np.zeros(0, np.uint64)
-        if not len(windows):
+        self.min_bytes, self.width = min_bytes, min_bytes - anchor_bytes(min_bytes) + 1
+        self.gram = np.zeros(0, np.uint64)
+        self.starts = self.counts = np.zeros(0, np.int64)
+        self.anchors = self.gram
+        long = np.diff(offsets) >= min_bytes
+        if not long.any():
             return
-        anchors, width = gram[place], min_bytes - anchor_bytes(min_bytes) + 1
-        if hot is not None and len(frequent := np.flatnonzero(hot[0].holds(anchors))):
-            held = hot[1].holds(gram)
-            least = sliding_least(_ranked((gram >> U(1)) | (held.astype(np.uint64) << TOP)), width)[windows[frequent]]
-            place[frequent] = (least & PLACE).astype(np.int64)
-            anchors[frequent] = gram[place[frequent]]
-            alone = frequent[(least >> TOP) == 1]
-            if len(alone):
-                long = gram_hashes(data, width)
-                at = (sliding_least(_ranked(long), anchor_bytes(min_bytes))[windows[alone]] & PLACE).astype(np.int64)
-                place[alone], anchors[alone] = -1 - at, long[at]
+        self.gram = gram_hashes(data, anchor_bytes(min_bytes))
+        least = sliding_least(_ranked(self.gram), self.width)
+        # A segment ends where the least gram changes, or the windows of a document end.
+        first, end = offsets[:-1][long], offsets[1:][long] - min_bytes + 1
+        cuts = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, first, end]))
+        inside = np.searchsorted(first, cuts, "right") > np.searchsorted(end, cuts, "right")
+        at = np.flatnonzero(inside)
+        self.starts, self.counts = cuts[at], cuts[at + 1] - cuts[at]
+        self.anchors = self.gram[(least[self.starts] & PLACE).astype(np.int64)]
+        if hot is not None and len(frequent := np.flatnonzero(hot[0].holds(self.anchors))):
+            self._anchor_again(data, frequent, hot[1])
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self.counts + self.min_bytes - 1
+
+    def _anchor_again(self, data: np.ndarray, frequent: np.ndarray, hot: Bitmap) -> None:
+        windows = gather(self.starts[frequent], self.counts[frequent])
+        held = hot.holds(self.gram)
+        least = sliding_least(_ranked((self.gram >> U(1)) | (held.astype(np.uint64) << TOP)), self.width)[windows]
+        place = (least & PLACE).astype(np.int64)
+        anchors = self.gram[place]
+        alone = np.flatnonzero((least >> TOP) == 1)
+        if len(alone):
+            long = gram_hashes(data, self.width)
+            at = (sliding_least(_ranked(long), anchor_bytes(self.min_bytes))[windows[alone]] & PLACE).astype(np.int64)
+            place[alone], anchors[alone] = -1 - at, long[at]
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-        n_windows = np.diff(np.append(new, len(windows)))
-        self.starts, self.lengths = windows[new], n_windows + min_bytes - 1
-        self.anchors = anchors[new]
+        plain = np.ones(len(self.starts), bool)
+        plain[frequent] = False
+        self.starts = np.concatenate([self.starts[plain], windows[new]])
+        self.counts = np.concatenate([self.counts[plain], np.diff(np.append(new, len(windows)))])
+        self.anchors = np.concatenate([self.anchors[plain], anchors[new]])
 
 
 def grams_beside(data: np.ndarray, offsets: np.ndarray, min_bytes: int, hot: Bitmap) -> np.ndarray:
     """All grams of a piece that stand in windows whose least gram is hot, each place once."""
-    gram, windows, place = anchored(data, offsets, min_bytes)
-    if not len(windows):
-        return np.zeros(0, np.uint64)
-    some = windows[hot.holds(gram[place])]
-    change = np.zeros(len(gram) + 1, np.int64)
-    change[some] += 1
-    change[some + min_bytes - anchor_bytes(min_bytes) + 1] -= 1
-    return gram[np.cumsum(change)[:-1] > 0]
+    found = Segments(data, offsets, min_bytes)
+    some = np.flatnonzero(hot.holds(found.anchors))
+    change = np.zeros(len(found.gram) + 1, np.int64)
+    np.add.at(change, found.starts[some], 1)
+    np.add.at(change, found.starts[some] + found.counts[some] + found.width - 1, -1)
+    return found.gram[np.cumsum(change)[:-1] > 0]
 
 
 def pieces(batch: pa.RecordBatch, min_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -185,11 +201,12 @@ def segments(docs: DataFrame, min_bytes: int, repeated: Broadcast, hot: Broadcas
                 chosen = np.flatnonzero(repeated.value.holds(found.anchors))
                 starts, lengths = found.starts[chosen], found.lengths[chosen]
                 out = {"anchor": pa.array(found.anchors[chosen].view(np.int64))}
+                whole = data.tobytes()
+                texts = (whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist()))
                 if content:
-                    out["content"] = binary(data, starts, lengths)
+                    out["content"] = pa.array(list(texts), pa.binary())
                 else:
-                    whole, digest = data.tobytes(), xxhash.xxh64_intdigest
-                    hashes = np.fromiter((digest(whole[a : a + n], 42) for a, n in zip(starts.tolist(), lengths.tolist())), np.uint64, len(starts))
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(starts))
                     document = np.searchsorted(offsets, starts, "right") - 1
                     row = pa.array(document + i)
                     out |= {"hash": pa.array(hashes.view(np.int64)), "id": batch.column("id").take(row), "text_hash": batch.column("text_hash").take(row)}

@@ -65,11 +65,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 @lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     inverse = U(pow(int(_BASE), -1, 1 << 64))
     up, down = np.full(n, _BASE), np.full(n, inverse)
@@ -81,9 +81,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each of these spans of bytes, from differences of one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(20, len(data).bit_length()))
+    up, down = powers(max(20, len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
