@@ -34,6 +34,7 @@ class Container:
 
     def __init__(self, slots: int = 1 << 10):
         self.keys, self.counts, self.size = np.zeros((slots, 2), U), np.zeros(slots, np.int64), 0
+        self.last = np.zeros(slots, np.int32)
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         used = np.flatnonzero(self.counts)
@@ -49,7 +50,7 @@ class Container:
         while len(keys):
             room = len(self.counts) // 2 - self.size
             if room < min(len(keys), len(self.counts) // 4):
-                self._grow(2 * len(self.counts))
+                self._grow(max(2 * len(self.counts), min(4 * BURST, 1 << (2 * len(keys)).bit_length())))
                 continue
             self._place(keys[:room], counts[:room])
             keys, counts = keys[room:], counts[room:]
@@ -57,15 +58,16 @@ class Container:
     def _place(self, keys: np.ndarray, counts: np.ndarray) -> None:
         n, at = len(self.counts), _slots(keys, len(self.counts))
         while len(at):
-            free = self.counts[at] == 0
-            if free.any():  # of keys that ask for one free slot the last has it
-                self.keys[at[free]] = keys[free]
-            held = (self.keys[at, 0] == keys[:, 0]) & (self.keys[at, 1] == keys[:, 1])
-            new = at[held & free]
+            free = np.flatnonzero(self.counts[at] == 0)
+            if len(free):  # of keys that ask for one free slot the last has it
+                slots = at[free]
+                self.last[slots] = free
+                won = free[self.last[slots] == free]
+                self.keys[at[won]] = keys[won]
+                self.size += len(won)
+            held = (self.keys[at] == keys).all(axis=1)
             np.add.at(self.counts, at[held], counts[held])
-            if len(new):
-                self.size += len(np.unique(new))
-            rest = ~held
+            rest = np.flatnonzero(~held)
             keys, counts, at = keys[rest], counts[rest], (at[rest] + 1) & (n - 1)
 
 

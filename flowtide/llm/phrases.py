@@ -31,7 +31,7 @@ from .storage import materialize
 from .text import LOWER, U, Words, binary, gather, grams, mix, slices, span_hashes, utf8, _table
 
 MIN_COUNT, LONGEST, SCALE, COVERED, TOP = 30, 4, 2_000_000, 80, 2000
-FILTER_BITS, PREFIX = 26, 3
+FILTER_BITS, PREFIX, PREFIXES = 26, 3, 1 << 20
 #: Phrases that a task's tries hold, and distinct words it numbers, before they leave.
 MOST_PHRASES, MOST_WORDS = 3 << 19, 1 << 20
 BREAKS = _table(b".,;:!?\n\x0b\x0c\r")
@@ -53,27 +53,29 @@ class Vocabulary:
 
     def number(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
-        ids, known = np.empty(len(coded.dictionary), np.uint64), self.ids
-        for i, word in enumerate(coded.dictionary.to_pylist()):
-            own = known.get(word)
-            if own is None:
-                own = known[word] = len(known) + 1
-                self.words.append(word)
-            ids[i] = own
-        return ids[coded.indices.to_numpy()]
+        distinct, known = coded.dictionary.to_pylist(), self.ids
+        ids = [*map(known.get, distinct)]
+        if None in ids:
+            for i, own in enumerate(ids):
+                if own is None:
+                    ids[i] = known[distinct[i]] = len(known) + 1
+                    self.words.append(distinct[i])
+        return np.array(ids, np.uint64)[coded.indices.to_numpy()]
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words with a space behind each, and where they begin and how long they are there, by id."""
-        lengths = np.array([0, *(len(w) + 1 for w in self.words)], np.int64)
+        lengths = np.concatenate([[0], np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1])
         return np.frombuffer(b" ".join(self.words) + b" ", np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def phrases(keys: np.ndarray, spaced: tuple[np.ndarray, np.ndarray, np.ndarray], longest: int) -> pa.Array:
     data, starts, lengths = spaced
     ids = np.stack([word_at(keys, depth).astype(np.int64) for depth in range(longest)], axis=1)
-    flat, whole = ids.ravel(), lengths[ids].sum(axis=1)
-    text = data[gather(starts[flat], lengths[flat])]
-    return binary(text, np.cumsum(whole) - whole, whole - 1)
+    own, size = lengths[ids], (ids > 0).sum(axis=1)
+    own[np.arange(len(ids)), size - 1] -= 1  # no space behind the last word
+    offsets = np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32)
+    text = data[gather(starts[ids.ravel()], own.ravel())]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
 
 
 class Counter:
@@ -151,7 +153,11 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], frequent: Broadcast | None)
                     else:
                         good = joins.copy()
                         good[:-1] &= frequent.value.holds(grams(hashes, 2))
-                ids = counter.vocabulary.number(binary(words.data, words.starts, words.ends - words.starts))
+                # Only words of phrases that are counted get a number.
+                used = good if max(sizes) < 3 else good | np.append(False, good[:-1])
+                used = np.flatnonzero(used)
+                ids = np.zeros(len(words), np.uint64)
+                ids[used] = counter.vocabulary.number(binary(words.data, words.starts[used], (words.ends - words.starts)[used]))
                 for c in np.unique(own).tolist():
                     mine = np.flatnonzero(own == c)
                     yield from counter.add(names[c], ids[mine], joins[mine], good[mine])
@@ -163,7 +169,7 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], frequent: Broadcast | None)
 
     rows = docs.select("text", "lang").mapInArrow(task, "lang string, phrase binary, n long")
     rows = rows.withColumn("phrase", F.col("phrase").cast("string"))
-    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", PREFIX))
+    prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", PREFIX)), F.lit(PREFIXES)).cast("int")
     return rows.withColumn("prefix", prefix).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
 
