@@ -1,15 +1,22 @@
 """Attribution of flows to objects of a cluster: by address and time, owners, containers, processes, policies.
 
-The address index has one row an address with its candidates in order of preference, so a flow takes one
-join and one filter over a short array: no shuffle of flows after the join, and a hot address is split by
-AQE like any skewed key. Spark broadcasts the index where its measured size allows.
+The history of an address is cut into intervals in which the same objects are on it (`timeline`), each with those
+of the best kind. A flow takes one join on its address and finds its interval there by binary search. Where
+addresses have histories of very many owners, they can be dealt into pages of ``PAGE`` intervals, at the cost of another
+join. A hot address is split by AQE like any skewed key. Spark broadcasts the index where its measured size allows.
 """
 
+import heapq
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import selectors
+from ..functions import networks
+from ..functions.tables import written
 
 #: Order of preference among objects of one address.
 PREFERENCE = {"Pod": 0, "Service": 1, "Node": 2, "EndpointSlice": 3}
@@ -21,6 +28,8 @@ def ip_index(*objects: DataFrame) -> DataFrame:
     wanted = {"namespace": "string", "uid": "string", "host_network": "boolean", "valid_from": "long", "valid_to": "long", "ports": "array<struct<protocol: string, port: int>>"}
     parts = []
     for df in objects:
+        if df.schema["ips"].dataType.elementType.typeName() != "binary":
+            raise TypeError("addresses must be binary, as flows have them: see inventory.objects for addresses as text")
         if "deleting" in df.columns:
             df = df.filter(~F.col("deleting"))
         df = df.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in df.columns})
@@ -32,36 +41,155 @@ def ip_index(*objects: DataFrame) -> DataFrame:
     return out.dropDuplicates(["ip", "kind", "namespace", "name", "uid", "valid_from"])
 
 
-def candidates(index: DataFrame) -> DataFrame:
-    """(ip, candidates). On a node's address only host-network pods and then the node count."""
+#: Intervals of a page.
+PAGE = 1024
+_BEST = "namespace: string, name: string, kind: string, uid: string, ports: array<struct<protocol: string, port: int>>"
+_INTERVAL = f"start: bigint, end: bigint, best: array<struct<{_BEST}>>"
+
+
+class Sweep:
+    """The objects on one address as time goes on; who is over leaves, and what is best is said for every interval."""
+
+    def __init__(self):
+        self.ends, self.on, self.at, self.held, self.number = [], {}, 0, None, 0
+
+    def _best(self) -> list[dict]:
+        objects = self.on.values()
+        if any(o["kind"] == "Node" for o in objects):  # a node's address: host-network pods and nodes count
+            objects = [o for o in objects if o["kind"] == "Node" or o["kind"] == "Pod" and o["host_network"]]
+        rank = min((o["rank"] for o in objects), default=None)
+        fields = ("namespace", "name", "kind", "uid", "ports")
+        first = lambda o: (o["namespace"] or "", o["name"] or "", o["kind"], o["uid"] or "")
+        return [{f: o[f] for f in fields} for o in sorted((o for o in objects if o["rank"] == rank), key=first)]
+
+    def _until(self, end: int):
+        """What was from the last moment to this one; equal neighbours become one interval."""
+        if end > self.at and self.on:
+            best = self._best()
+            if self.held and self.held["end"] == self.at and self.held["best"] == best:
+                self.held["end"] = end
+            else:
+                yield from self._out()
+                self.held = {"start": self.at, "end": end, "best": best}
+        self.at = end
+
+    def _out(self):
+        if self.held:
+            yield self.held
+            self.held = None
+
+    def _leave(self, moment: int):
+        while self.ends and self.ends[0][0] <= moment:
+            yield from self._until(self.ends[0][0])
+            self.on.pop(heapq.heappop(self.ends)[1])
+
+    def enter(self, row: dict):
+        yield from self._leave(row["valid_from"])
+        yield from self._until(row["valid_from"])
+        if row["valid_to"] > row["valid_from"]:
+            self.number += 1
+            self.on[self.number] = row
+            heapq.heappush(self.ends, (row["valid_to"], self.number))
+
+    def close(self):
+        yield from self._leave(FOREVER)
+        yield from self._out()
+
+
+def timeline(index: DataFrame) -> DataFrame:
+    """(ip, number, start, end, best): disjoint intervals of each address with their objects of the best kind, by name.
+
+    A sweep over objects sorted by address and time; what is held is what is on an address at one moment. Whether an
+    address is a node's is asked for each interval.
+    """
     rank = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in PREFERENCE.items()], F.lit(9))
-    item = F.struct(rank.alias("rank"), "namespace", "name", "kind", "uid", "valid_from", "valid_to", "host_network", "ports")
-    by_ip = index.groupBy("ip").agg(F.array_sort(F.collect_list(item)).alias("all"), F.bool_or(F.col("kind") == "Node").alias("of_node"))
-    allowed = F.filter("all", lambda x: ~F.col("of_node") | (x["kind"] == "Node") | ((x["kind"] == "Pod") & x["host_network"]))
-    return by_ip.select("ip", allowed.alias("candidates"))
+    rows = index.filter("ip IS NOT NULL").select("ip", "valid_from", "valid_to", rank.alias("rank"), "namespace", "name", "kind", "uid", "host_network", "ports")
+    rows = rows.repartition("ip").sortWithinPartitions("ip", "valid_from")
+
+    def task(batches):
+        sweep, ip, number = Sweep(), None, 0
+
+        def numbered(intervals):
+            nonlocal number
+            for x in intervals:
+                yield {"ip": ip, "number": number, **x}
+                number += 1
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["ip"] != ip:
+                    out += numbered(sweep.close())
+                    sweep, ip, number = Sweep(), row["ip"], 0
+                out += numbered(sweep.enter(row))
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        yield pa.RecordBatch.from_pylist([*numbered(sweep.close())], schema=arrow)
+
+    port = pa.list_(pa.struct([("protocol", pa.string()), ("port", pa.int32())]))
+    best = pa.list_(pa.struct([*[(c, pa.string()) for c in ("namespace", "name", "kind", "uid")], ("ports", port)]))
+    arrow = pa.schema([("ip", pa.binary()), ("number", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("best", best)])
+    return rows.mapInArrow(task, f"ip binary, number bigint, {_INTERVAL.replace(': bigint', ' bigint').replace('best: ', 'best ')}")
+
+
+def histories(intervals: DataFrame) -> DataFrame:
+    """(ip, items): all intervals of an address in their order."""
+    return intervals.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("start", "end", "best"))).alias("items"))
 
 
-def attribute(flows: DataFrame, by_ip: DataFrame, side: str, at: str) -> DataFrame:
+def pages(intervals: DataFrame, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """(ip, items, starts): an address's first page of intervals and where its other pages start; (ip, page, items)."""
+    item = F.struct("start", "end", "best")
+    first = F.array_sort(F.collect_list(F.when(F.col("number") < page, item)))
+    starts = F.array_sort(F.collect_list(F.when((F.col("number") % page == 0), F.col("start"))))
+    roots = intervals.groupBy("ip").agg(first.alias("items"), starts.alias("starts"))
+    numbered = intervals.filter(F.col("number") >= page).withColumn("page", F.expr(f"number DIV {page}"))
+    return roots, numbered.groupBy("ip", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def last_start(starts: Column, at: Column, most: int) -> Column:
+    """Place (from 0) of the last start that isn't after at, in a sorted array of at most `most`; -1 if there is none."""
+    steps = [1 << k for k in range(max(1, most).bit_length() - 1, -1, -1)]
+    later = lambda place, step: F.when(F.coalesce(F.get(starts, place + step) <= at, F.lit(False)), place + step).otherwise(place)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), later)
+
+
+def attribute(flows: DataFrame, known: DataFrame | tuple[DataFrame, DataFrame], side: str, at: str, page: int = PAGE) -> DataFrame:
     """Adds <side>_kind, _namespace, _name and _uid of the object on the side's address at the time; null if none.
 
-    The address and the order of kinds decide; among objects of the best kind, one that has the flow's port
+    known is what histories or pages made. The address and the order of kinds decide; among objects of the best kind, one that has the flow's port
     and protocol goes first, where objects have ports.
     """
-    joined = flows.join(by_ip.select(F.col("ip").alias(f"{side}_ip"), F.col("candidates").alias("__c")), f"{side}_ip", "left")
-    there = F.filter("__c", lambda x: (x["valid_from"] <= F.col(at)) & (F.col(at) < x["valid_to"]))
-    best = F.try_element_at(there, F.lit(1))
+    moment, most = F.col(at), 1 << 24
+    if isinstance(known, tuple):
+        roots, others = known
+        roots, most = roots.select(F.col("ip").alias(f"{side}_ip"), F.col("items").alias("__i"), F.col("starts").alias("__s")), page
+        number = F.when(F.size("__s") > 1, last_start(F.col("__s"), moment, 1 << 20))
+        joined = flows.join(roots, f"{side}_ip", "left").withColumn("__page", number).drop("__s")
+        others = others.select(F.col("ip").alias(f"{side}_ip"), F.col("page").alias("__page"), F.col("items").alias("__j"))
+        joined = joined.join(others, [f"{side}_ip", "__page"], "left").withColumn("__i", F.coalesce("__j", "__i")).drop("__page", "__j")
+    else:
+        joined = flows.join(known.select(F.col("ip").alias(f"{side}_ip"), F.col("items").alias("__i")), f"{side}_ip", "left")
+    alone = F.when(F.size("__i") == 1, 0).otherwise(last_start(F.col("__i.start"), moment, most))
+    joined = joined.withColumn("__x", F.get("__i", alone))
+    there = F.when((F.col("__x.start") <= moment) & (moment < F.col("__x.end")), F.col("__x.best"))
+    joined = joined.withColumn("__c", there)
+    best = F.get("__c", F.lit(0))
     if {"proto", f"{side}_port"} <= set(flows.columns):
         protocol = F.when(F.col("proto") == 6, "TCP").when(F.col("proto") == 17, "UDP").when(F.col("proto") == 132, "SCTP")
         own = lambda p: (F.upper(F.coalesce(p["protocol"], F.lit("TCP"))) == protocol) & (p["port"] == F.col(f"{side}_port"))
-        fits = F.filter(there, lambda x: (x["rank"] == best["rank"]) & F.coalesce(F.exists(x["ports"], own), F.lit(False)))
-        best = F.coalesce(F.try_element_at(fits, F.lit(1)), best)
-    return joined.withColumn("__b", best).withColumns({f"{side}_{c}": F.col(f"__b.{c}") for c in ("kind", "namespace", "name", "uid")}).drop("__b", "__c")
+        fits = F.filter("__c", lambda x: F.coalesce(F.exists(x["ports"], own), F.lit(False)))
+        best = F.when(F.size("__c") == 1, best).otherwise(F.coalesce(F.get(fits, F.lit(0)), best))
+    added = {f"{side}_{c}": F.col(f"__b.{c}") for c in ("kind", "namespace", "name", "uid")}
+    return joined.withColumn("__b", best).withColumns(added).drop("__b", "__c", "__i", "__x")
 
 
-def decorate(flows: DataFrame, index: DataFrame, at: str) -> DataFrame:
-    """Both sides, and decorator_status: no flow is dropped for want of an object."""
-    by_ip = candidates(index)
-    both = attribute(attribute(flows, by_ip, "src", at), by_ip, "dst", at)
+def decorate(flows: DataFrame, index: DataFrame, at: str, paged: bool = False) -> DataFrame:
+    """Both sides, and decorator_status: no flow is dropped for want of an object.
+
+    A history is one row an address, or with paged one a page of it.
+    """
+    known = pages(timeline(index)) if paged else histories(timeline(index))
+    both = attribute(attribute(flows, known, "src", at), known, "dst", at)
     found = F.col("src_kind").isNotNull().cast("int") + F.col("dst_kind").isNotNull().cast("int")
     return both.withColumn("decorator_status", F.when(found == 2, "ok").when(found == 1, "partial").otherwise("undecorated"))
 
@@ -116,8 +244,8 @@ def with_process(flows: DataFrame, events: DataFrame, key: list[str]) -> DataFra
     return flows.join(first, [*key, "first_ns"], "left").withColumns({"pid": F.col("__p.pid"), "comm": F.col("__p.comm")}).drop("__p")
 
 
-def orphans(snapshots: DataFrame, tracked: DataFrame, key: list[str], now: int, record_ns: int) -> DataFrame:
-    """Keys with counters older than four record intervals that nothing tracks."""
+def orphans(snapshots: DataFrame, tracked: DataFrame, key: list[str], now: Column | int, record_ns: int) -> DataFrame:
+    """Keys with counters older than four record intervals that nothing tracks; now may be a column of snapshots."""
     return snapshots.filter(F.col("last_ns") < now - 4 * record_ns).join(tracked.select(*key).distinct(), key, "left_anti")
 
 
@@ -135,31 +263,87 @@ def extract(df: DataFrame, rules: list[str], fields: dict[str, str]) -> DataFram
     return df.drop(*[c for c in fields.values() if c not in kept])
 
 
-def _permits(ports: Column, protocol: Column, port: Column, containers: Column) -> Column:
+def _block_key(p: Column) -> Column:
+    """A block with its exceptions as text."""
+    outside = F.coalesce(F.transform(p["excepted"], lambda x: F.concat(F.hex(x["low"]), F.lit("-"), F.hex(x["high"]))), F.array().cast("array<string>"))
+    return F.concat(F.hex(p["low"]), F.lit("-"), F.hex(p["high"]), F.lit("!"), F.array_join(F.array_sort(outside), ","))
+
+
+def _port_key(p: Column) -> Column:
+    return F.concat_ws(":", F.lower(F.coalesce(p["protocol"], F.lit("TCP"))), p["port"], F.coalesce(p["end_port"], p["port"]))
+
+
+def _permits(ports: Column, protocol: Column, classes: Column, names: Column) -> Column:
+    """classes: the keys of ports that the flow's port and protocol fit; names: those of the target's port."""
+
     def one(p: Column) -> Column:
-        number = F.when(p["port_name"].isNotNull(), F.exists(containers, lambda c: (c["port_name"] == p["port_name"]) & (c["port"] == port)))
-        number = number.otherwise(p["port"].isNull() | port.between(p["port"], F.coalesce(p["end_port"], p["port"])))
-        return (F.lower(F.coalesce(p["protocol"], F.lit("TCP"))) == protocol) & F.coalesce(number, F.lit(False))
+        own = F.lower(F.coalesce(p["protocol"], F.lit("TCP"))) == protocol
+        number = F.when(p["port_name"].isNotNull(), own & F.array_contains(names, p["port_name"])).when(p["port"].isNull(), own)
+        return F.coalesce(number.otherwise(F.array_contains(classes, _port_key(p))), F.lit(False))
 
     return (F.size(ports) == 0) | F.exists(ports, one)
 
 
-def _peer(peers: Column, ip: Column, labels: Column, namespace: Column, namespace_labels: Column, own_namespace: Column) -> Column:
+def _peer(peers: Column, blocks: Column, labels: Column, namespace: Column, namespace_labels: Column, own_namespace: Column) -> Column:
+    """blocks: the keys of blocks that hold the peer's address."""
+
     def one(p: Column) -> Column:
-        block = ip.between(p["low"], p["high"]) & (F.octet_length(ip) == F.octet_length(p["low"])) & ~F.exists(F.coalesce(p["excepted"], F.array().cast("array<struct<low: binary, high: binary>>")), lambda x: ip.between(x["low"], x["high"]))
         pod = p["pod_selector"].isNull() | (labels.isNotNull() & selectors.matches(labels, p["pod_selector"]))
         space = F.when(p["namespace_selector"].isNull(), namespace == own_namespace).otherwise(namespace_labels.isNotNull() & selectors.matches(namespace_labels, p["namespace_selector"]))
-        return F.coalesce(F.when(p["low"].isNotNull(), block).otherwise(pod & space), F.lit(False))
+        return F.coalesce(F.when(p["low"].isNotNull(), F.array_contains(blocks, _block_key(p))).otherwise(pod & space), F.lit(False))
 
     return (F.size(peers) == 0) | F.exists(peers, one)
 
 
-def _rule_test(way: str, peer: str, where: Column, protocol: Column):
-    def permits(r: Column) -> Column:
-        met = _peer(r["peers"], F.col(f"{peer}_ip"), F.col(f"__{peer}_labels"), F.col(f"{peer}_namespace"), F.col(f"__{peer}_namespace_labels"), where)
-        return (r["way"] == way) & met & F.coalesce(_permits(r["ports"], protocol, F.col("dst_port"), F.col("__dst_containers")), F.lit(False))
+#: Blocks, and numbered ports, of policies that are tested in the row; more of them are found by joins.
+MOST_INLINE = 64
+
+
+def _blocks(rules: DataFrame) -> DataFrame:
+    """(key, low, high, excepted) of the blocks of rules' peers."""
+    peers = rules.select(F.explode("peers").alias("p")).filter("p.low IS NOT NULL AND octet_length(p.low) > 0")
+    return peers.select(_block_key(F.col("p")).alias("key"), "p.low", "p.high", "p.excepted").dropDuplicates(["key"])
+
+
+def _ports(rules: DataFrame) -> DataFrame:
+    """(key, protocol, port, end) of the numbered ports of rules."""
+    ports = rules.select(F.explode("ports").alias("p")).filter("p.port IS NOT NULL AND p.port_name IS NULL")
+    end = F.least(F.coalesce("p.end_port", "p.port"), F.lit(65535)).alias("end")
+    return ports.select(_port_key(F.col("p")).alias("key"), F.lower(F.coalesce("p.protocol", F.lit("TCP"))).alias("protocol"), "p.port", end).dropDuplicates(["key"])
+
+
+def _keys_that(tests: list[tuple[str, Column]]) -> Column:
+    """Sorted keys whose tests hold."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(test, key) for key, test in tests]))) if tests else F.array().cast("array<string>")
+
+
+def _with_blocks(flows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Adds __src_blocks and __dst_blocks: keys of the blocks that hold either address.
+
+    A few blocks are tested in the row; many are CIDR blocks that addresses meet by their prefixes.
+    """
+    few = blocks.limit(MOST_INLINE + 1).collect()
+    inside = lambda ip, x: (F.octet_length(ip) == len(x["low"])) & ip.between(F.lit(x["low"]), F.lit(x["high"]))
+    if len(few) <= MOST_INLINE:
+        holds = lambda ip, x: reduce(lambda a, e: a & ~inside(ip, e), x["excepted"] or [], inside(ip, x))
+        return flows.withColumns({f"__{side}_blocks": _keys_that([(x["key"], holds(F.col(f"{side}_ip"), x)) for x in few]) for side in ("src", "dst")})
+    same = F.length(F.regexp_extract(F.concat(networks.bits(F.col("low")), F.lit("/"), networks.bits(F.col("high"))), "^([01]*)[01]*/\\1[01]*$", 1))
+    table = blocks.withColumns({"version": F.when(F.octet_length("low") == 4, 4).otherwise(6), "length": same}).withColumn("prefix", F.substring(networks.bits(F.col("low")), F.lit(1), F.col("length")))
+    met = networks.matches(flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).filter("ip IS NOT NULL").distinct(), table)
+    holds = F.col("ip").between(F.col("low"), F.col("high")) & ~F.exists(F.coalesce("excepted", F.array().cast("array<struct<low: binary, high: binary>>")), lambda x: F.col("ip").between(x["low"], x["high"]))
+    held = met.filter(holds).groupBy("ip").agg(F.sort_array(F.collect_set("key")).alias("blocks"))
+    for side in ("src", "dst"):
+        flows = flows.join(held.select(F.col("ip").alias(f"{side}_ip"), F.col("blocks").alias(f"__{side}_blocks")), f"{side}_ip", "left")
+    return flows
+
 
-    return permits
+def _with_ports(flows: DataFrame, ports: DataFrame) -> DataFrame:
+    """Adds __ports: keys of the numbered ports that a flow's protocol and destination port fit; by a join of at most 65,536 rows a protocol where there are many."""
+    few = ports.limit(MOST_INLINE + 1).collect()
+    if len(few) <= MOST_INLINE:
+        return flows.withColumn("__ports", _keys_that([(x["key"], (F.col("__protocol") == x["protocol"]) & F.col("dst_port").between(x["port"], x["end"])) for x in few]))
+    each = ports.filter("port <= end").select(F.col("protocol").alias("__protocol"), "key", F.explode(F.sequence("port", "end")).alias("dst_port"))
+    return flows.join(each.groupBy("__protocol", "dst_port").agg(F.sort_array(F.collect_set("key")).alias("__ports")), ["__protocol", "dst_port"], "left")
 
 
 def permitting_rules(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, policies: DataFrame, what: Column) -> DataFrame:
@@ -167,24 +351,46 @@ def permitting_rules(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, p
 
     Egress is judged on the source pod, ingress on the destination pod. Policies of one namespace that have
     one selector and the same rules are judged once; `what` aggregates them (columns namespace and policy).
-    Which of them select a pod is found once for each set of labels, not for each pod or flow.
+    Which of them select a pod comes from an index of what selectors ask, once for each set of labels. Flows are
+    judged once for each case: label sets and namespaces of both sides, the policies' blocks that hold either address
+    (CIDR blocks, found by their prefixes), the policies' ports that the flow's port fits, and its name. Flows with
+    their label sets are written once, as their addresses, their cases and they themselves are read from them.
     """
     spaces = namespaces.select(F.col("name").alias("namespace"), F.col("labels").alias("namespace_labels"))
-    like = policies.select("namespace", F.col("name").alias("policy"), "pod_selector", "rules", F.to_json(F.struct("pod_selector", "rules")).alias("__like"))
-    like = like.groupBy("namespace", "__like").agg(F.any_value("pod_selector").alias("pod_selector"), F.any_value("rules").alias("rules"), what.alias("what"))
+    marked, chosen = selectors.with_selector_id(policies.select("namespace", F.col("name").alias("policy"), "pod_selector", "rules"), F.col("pod_selector"))
+    like = marked.withColumn("like", F.to_json("rules")).groupBy("namespace", "selector_id", "like").agg(F.any_value("rules").alias("rules"), what.alias("what"))
     info, sets = selectors.label_sets(pods.select("namespace", "name", "labels", "containers"))
-    chosen = sets.join(like, "namespace").filter(selectors.matches(F.col("labels"), F.col("pod_selector")))
-    per_set = chosen.groupBy("namespace", "label_set").agg(F.collect_list(F.struct("what", "rules")).alias("policies"))
-    info = info.join(per_set, ["namespace", "label_set"], "left").join(spaces, "namespace", "left")
     for side in ("src", "dst"):
-        mine = info.select(*[F.col(c).alias(f"__{side}_{c}") for c in ("labels", "containers", "namespace_labels", "policies")], F.lit("Pod").alias(f"{side}_kind"), F.col("namespace").alias(f"{side}_namespace"), F.col("name").alias(f"{side}_name"))
+        columns = [F.col("label_set").alias(f"{side}_set"), *([F.col("containers").alias("__containers")] if side == "dst" else [])]
+        mine = info.select(*columns, F.lit("Pod").alias(f"{side}_kind"), F.col("namespace").alias(f"{side}_namespace"), F.col("name").alias(f"{side}_name"))
         flows = flows.join(mine, [f"{side}_kind", f"{side}_namespace", f"{side}_name"], "left")
-    protocol = F.lower(F.when(F.col("proto") == 6, "tcp").when(F.col("proto") == 17, "udp").when(F.col("proto") == 132, "sctp"))
+    named = F.filter("__containers", lambda c: (c["port"] == F.col("dst_port")) & c["port_name"].isNotNull())
+    none = F.array().cast("array<string>")
+    protocol = F.when(F.col("proto") == 6, "tcp").when(F.col("proto") == 17, "udp").when(F.col("proto") == 132, "sctp")
+    flows = flows.withColumns({"__protocol": protocol, "__names": F.coalesce(F.array_sort(F.transform(named, lambda c: c["port_name"])), none)}).drop("__containers")
+    flows = written(flows, "flows")
+    per_set = written(selectors.select_sets(sets, chosen).join(like, ["namespace", "selector_id"]).select("namespace", "label_set", "rules", "what"), "policies")
+    rules = like.select(F.explode("rules").alias("r")).select("r.peers", "r.ports")
+    flows = _with_ports(_with_blocks(flows, _blocks(rules)), _ports(rules))
+    case = ["src_namespace", "src_set", "__src_blocks", "dst_namespace", "dst_set", "__dst_blocks", "__protocol", "__ports", "__names"]
+    cases, judged = flows.select(case).distinct(), []
     for way, own, peer in (("egress", "src", "dst"), ("ingress", "dst", "src")):
-        permits = _rule_test(way, peer, F.col(f"{own}_namespace"), protocol)
-        fitting = F.filter(f"__{own}_policies", lambda p: F.exists(p["rules"], permits))  # noqa: B023
-        flows = flows.withColumn(way, F.transform(fitting, lambda p: p["what"]))
-    return flows.drop(*[f"__{s}_{c}" for s in ("src", "dst") for c in ("labels", "containers", "namespace_labels", "policies")])
+        mine = per_set.select(F.col("namespace").alias(f"{own}_namespace"), F.col("label_set").alias(f"{own}_set"), "rules", "what")
+        theirs = sets.join(spaces, "namespace", "left").select(F.col("namespace").alias(f"{peer}_namespace"), F.col("label_set").alias(f"{peer}_set"), F.col("labels").alias("__labels"), "namespace_labels")
+        asked = cases.join(theirs, [f"{peer}_namespace", f"{peer}_set"], "left").join(mine, [f"{own}_namespace", f"{own}_set"])
+
+        def permits(r: Column) -> Column:
+            met = _peer(r["peers"], F.coalesce(f"__{peer}_blocks", none), F.col("__labels"), F.col(f"{peer}_namespace"), F.col("namespace_labels"), F.col(f"{own}_namespace"))  # noqa: B023
+            return (r["way"] == way) & met & F.coalesce(_permits(r["ports"], F.col("__protocol"), F.coalesce("__ports", none), F.col("__names")), F.lit(False))  # noqa: B023
+
+        judged.append(asked.filter(F.exists("rules", permits)).select(*case, F.lit(way).alias("__way"), "what"))
+    of = lambda way: F.collect_list(F.when(F.col("__way") == way, F.col("what"))).alias(way)
+    found = judged[0].unionAll(judged[1]).groupBy(case).agg(of("egress"), of("ingress"))
+    other = found.select(*[F.col(c).alias(f"{c}__") for c in case], "egress", "ingress")
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"{c}__")), case, F.lit(True))
+    flows = flows.join(other, same, "left").drop(*[f"{c}__" for c in case])
+    flows = flows.withColumns({way: F.coalesce(way, F.array().cast(found.schema[way].dataType)) for way in ("egress", "ingress")})
+    return flows.drop("src_set", "dst_set", *[c for c in case if c.startswith("__")])
 
 
 def permitting_policies(flows: DataFrame, pods: DataFrame, namespaces: DataFrame, policies: DataFrame, key: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import as_of
 from ..functions import names
 from ..functions.addresses import ICMP, ICMPV6, TCP, in_networks
 
@@ -113,6 +114,16 @@ def with_interface(rows: DataFrame, interfaces: DataFrame, missing: str | None =
     return named if missing is None else named.fillna(missing, ["interface_name"])
 
 
+def interface_at(rows: DataFrame, changes: DataFrame, by: tuple[str, ...] = ("ifindex",), at: str = "ts_ns", missing: str | None = "unknown") -> DataFrame:
+    """Adds interface_name as it was at a row's moment: changes have by, ts_ns, event (add or remove) and interface_name.
+
+    Before its first add, and after a remove, an interface is `missing`.
+    """
+    named = changes.select(*by, F.col("ts_ns").alias("__since"), F.when(F.col("event") == "add", F.col("interface_name")).alias("interface_name"))
+    known = as_of(rows, named, list(by), at, "__since", ["interface_name"])
+    return known if missing is None else known.fillna(missing, ["interface_name"])
+
+
 def interfaces_matching(interfaces: DataFrame, patterns: list[str]) -> DataFrame:
     """Distinct interface names that fit a glob; patterns over 256 characters are refused."""
     return interfaces.filter(globs(F.col("interface_name"), [p for p in patterns if len(p) <= 256])).select("interface_name").distinct()

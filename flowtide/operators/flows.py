@@ -92,10 +92,12 @@ def flow_aggregate(packets: DataFrame, order: list[str], by: tuple[str, ...] = (
 
 
 def new_flows(packets: DataFrame, order: list[str]) -> DataFrame:
-    """The first packet of every flow key."""
+    """The first packet of every flow key: an aggregate, combined before it is shuffled."""
     keyed = with_key(packets)
-    first = Window.partitionBy("host", *KEY).orderBy(*order)
-    return keyed.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place").withColumn("community_id", key_id())
+    others = [c for c in keyed.columns if c not in ("host", *KEY)]
+    first = F.min_by(F.struct(*others), _rank(keyed, order)).alias("__first")
+    found = keyed.groupBy("host", *KEY).agg(first).select("host", *KEY, "__first.*")
+    return found.select(*keyed.columns, key_id().alias("community_id"))
 
 
 def tcp_timing(packets: DataFrame, order: list[str]) -> DataFrame:

@@ -1,12 +1,15 @@
 """Traffic, lifecycle and latency metrics as aggregates over flows and records."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Default upper bounds of histograms, in seconds and in spans.
+# Default upper bounds of histograms, in seconds and in spans, and what a flow's life is counted by.
 PIPELINE_SECONDS = (0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0)
 EXPORT_SPANS = (1.0, 10.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
+INDEX_UPDATE_SECONDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0)
+SHUTDOWN_SECONDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0)
+STATUSES = ("created", "recorded", "idled", "dropped")
 
 
 def traffic_counters(flows: DataFrame, by: str = "ifindex") -> DataFrame:
@@ -31,6 +34,19 @@ def lifecycle(records: DataFrame, *by: str) -> DataFrame:
     return records.groupBy(*by).agg(F.count_if(first).alias("created"), F.count("*").alias("recorded"), F.count_if(~running).alias("closed"))
 
 
+def lifecycle_statuses(records: DataFrame, dropped: DataFrame, *by: str) -> DataFrame:
+    """(by, status, n): flows created, records made, flows that idled out, and flows that filters dropped.
+
+    A flow whose end was seen (FIN or RST) didn't idle out. dropped has one row a flow. A status that a group doesn't
+    have is counted 0.
+    """
+    first = F.col("record_start_ns") == F.col("start_ns")
+    made = records.groupBy(*by).agg(F.count_if(first).alias("created"), F.count("*").alias("recorded"), F.count_if(F.col("end_reason") == "idle timeout").alias("idled"))
+    lost = dropped.groupBy(*by).agg(F.count("*").alias("dropped"))
+    both = made.join(lost, list(by), "full").fillna(0, list(STATUSES))
+    return both.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in STATUSES])))
+
+
 def active_flows(sessions: DataFrame, step_ns: int) -> DataFrame:
     """Flows that are open at the end of every time step with a change: created minus closed so far."""
     changes = sessions.select(F.inline(F.array(F.struct(F.col("start_ns").alias("at"), F.lit(1).alias("change")), F.struct(F.col("end_ns").alias("at"), F.lit(-1).alias("change")))))
@@ -53,9 +69,15 @@ def histogram(rows: DataFrame, value: str, by: list[str], bounds=None, default=P
     return counts.select(*by, F.inline(F.array(*cells)))
 
 
-def expire_series(series: DataFrame, deletions: DataFrame, key: str, now: int, ttl: int) -> DataFrame:
-    """Series but those of keys that were deleted at least ttl ago with no activity since."""
-    gone = deletions.groupBy(key).agg(F.max("deleted_at").alias("deleted_at"))
-    gone = gone.filter(F.col("deleted_at") + ttl <= now)
+def histogram_sums(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """What goes with a histogram's counts: the sum and the number of values."""
+    return rows.groupBy(*by).agg(F.sum(value).alias("sum"), F.count(value).alias("n"))
+
+
+def expire_series(series: DataFrame, deletions: DataFrame, key: str, now: Column | int, ttl: int) -> DataFrame:
+    """Series but those of keys that were deleted at least ttl ago with no activity since; now may be a column of deletions."""
+    moment = now if isinstance(now, Column) else F.lit(now)
+    gone = deletions.groupBy(key).agg(F.max("deleted_at").alias("deleted_at"), F.max(moment).alias("__now"))
+    gone = gone.filter(F.col("deleted_at") + ttl <= F.col("__now")).drop("__now")
     late = series.join(gone, key, "left")
     return late.filter(F.col("deleted_at").isNull() | (F.col("last_active") > F.col("deleted_at"))).drop("deleted_at")

@@ -46,8 +46,10 @@ def attributes(fields: dict[str, str], maps: dict[str, str] | None = None, lists
 def otlp(spans: DataFrame, resource: list[str], scope: str, batch_rows: int = 1024) -> DataFrame:
     """One row a batch of at most batch_rows spans of one resource: nested resourceSpans, scopeSpans, spans.
 
-    Batches are cut inside partitions by row number, so making them moves each span once, to its resource.
+    Batches are cut inside partitions by row number, so making them moves each span once, to its resource. Rows are
+    sorted before, so a task that is tried again cuts the same batches.
     """
+    spans = spans.sortWithinPartitions(*[f.name for f in spans.schema.fields if f.dataType.typeName() not in ("map", "variant")])
     number = F.monotonically_increasing_id()
     batch = F.struct(F.shiftright(number, 33).alias("part"), F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / batch_rows).alias("cut"))
     rows = spans.withColumn("__batch", batch)

@@ -143,10 +143,14 @@ SELECT community_id, host, mirrored, way, count(*) AS policies, min(own_ns || '/
 )
 def permitting_policies(spark, sf_dir):
     """How many policies permit each flow each way, and the first and last of them by name."""
+    return permitted(spark, sf_dir, decorated(spark, sf_dir), inventory.pods(spark, sf_dir, timed=False), inventory.policies(spark, sf_dir))
+
+
+def permitted(spark: SparkSession, sf_dir: str, flows_: DataFrame, pods: DataFrame, policies: DataFrame) -> DataFrame:
     name = F.concat("namespace", F.lit("/"), "policy")
     what = F.struct(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
     columns = ["community_id", "host", "proto", "src_ip", "src_port", "dst_ip", "dst_port", "src_kind", "src_namespace", "src_name", "dst_kind", "dst_namespace", "dst_name"]
-    made = enrich.permitting_rules(both_ways(decorated(spark, sf_dir).select(columns)), inventory.pods(spark, sf_dir, timed=False), inventory.namespaces(spark, sf_dir), inventory.policies(spark, sf_dir), what)
+    made = enrich.permitting_rules(both_ways(flows_.select(columns)), pods, inventory.namespaces(spark, sf_dir), policies, what)
     ways = F.array(*[F.struct(F.lit(w).alias("way"), F.col(w).alias("found")) for w in ("egress", "ingress")])
     flat = made.select("community_id", "host", "mirrored", F.inline(ways)).filter(F.size("found") > 0)
     total = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -177,9 +181,9 @@ def flow_processes(spark, sf_dir):
 def orphaned_keys(spark, sf_dir):
     """Keys with old counters that no tracked flow has; conversations of every third order count as tracked."""
     packets = LINES.read(spark, sf_dir)
-    now = packets.agg(F.max("ts_ns")).first()[0] or 0
+    now = packets.agg(F.max("ts_ns").alias("now"))  # one row
     tracked = with_key(packets.filter("conn % 3 = 0")).select(*KEY).distinct().withColumn("community_id", key_id())
-    return enrich.orphans(flows.flow_aggregate(packets, LINES.ranked), tracked, ["community_id"], now, 60 * flows.SECOND).select("community_id", "host", "last_ns")
+    return enrich.orphans(flows.flow_aggregate(packets, LINES.ranked).crossJoin(F.broadcast(now)), tracked, ["community_id"], F.col("now"), 60 * flows.SECOND).select("community_id", "host", "last_ns")
 
 
 _RULES = {

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.addresses import KEY, key_id, to_text, with_key
-from ..operators import direction, flows, metrics
+from ..operators import direction, filters, flows, metrics
 from ..sources import host
 from ..sources.packets import EVENTS, LINES, flow_snapshots_sql, with_wall_clock
 from . import sqltext as S
@@ -168,6 +168,29 @@ def lifecycle_counters(spark, sf_dir):
     return metrics.lifecycle(flows.interval_records(folded_events(spark, sf_dir)), "proto")
 
 
+@query(
+    f"""WITH {S.RECORDS}, kept AS (SELECT * FROM records WHERE ifindex <> 3), lost AS (SELECT DISTINCT a_ip, a_port, b_ip, b_port, proto, host, ifindex FROM fold WHERE ifindex = 3),
+made AS (SELECT ifindex, count(*) FILTER (record_start_ns = start_ns) AS created, count(*) AS recorded, count(*) FILTER (end_reason = 'idle timeout') AS idled, 0 AS dropped FROM kept GROUP BY ifindex
+  UNION ALL SELECT ifindex, 0, 0, 0, count(*) FROM lost GROUP BY ifindex)
+SELECT ifindex, status, n FROM (UNPIVOT made ON created, recorded, idled, dropped INTO NAME status VALUE n)"""
+)
+def lifecycle_by_interface(spark, sf_dir):
+    """What became of flows, by interface and status; a filter drops those of interface 3."""
+    packets, rule = EVENTS.read(spark, sf_dir), {"network_interface_index": filters.Rule(["1-2"])}
+    records = flows.interval_records(flows.packet_fold(filters.filter_flows(packets, rule), EVENTS.ranked, keep=("ifindex",)), ("ifindex",))
+    records = records.withColumn("ifindex", F.coalesce("fwd_ifindex", "rev_ifindex"))
+    dropped = flows.new_flows(packets.filter(~filters.condition(rule)), EVENTS.ranked)
+    return metrics.lifecycle_statuses(records, dropped, "ifindex")
+
+
+@query(
+    f"""WITH {S.FLOWS} SELECT proto, CAST(sum(fwd_packets + rev_packets) AS BIGINT) AS sum, count(*) AS n FROM flows GROUP BY proto"""
+)
+def flow_size_sums(spark, sf_dir):
+    """Sum and number of what flow_size_histogram counts."""
+    return metrics.histogram_sums(line_flows(spark, sf_dir).withColumn("packets", F.col("fwd_packets") + F.col("rev_packets")), "packets", ["proto"])
+
+
 @query(
     f"""WITH {S.RECORDS}, s AS (SELECT start_ns, max(record_end_ns) AS end_ns FROM records GROUP BY host, community_id, session, start_ns), c AS (SELECT start_ns AS moment, 1 AS change FROM s UNION ALL SELECT end_ns, -1 FROM s),
 t AS (SELECT moment - moment % 60000000000 AS step_ns, sum(change) AS change FROM c GROUP BY ALL) SELECT step_ns, CAST(sum(change) OVER (ORDER BY step_ns) AS BIGINT) AS active FROM t"""

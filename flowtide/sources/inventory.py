@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import networks
 from ..functions.addresses import from_number
+from ..operators.asof import as_of
 
 FOREVER = (1 << 63) - 1
 
@@ -147,23 +149,112 @@ def from_json(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+_LABELS = "map<string,string>"
+_TESTS = "array<struct<key: string, operator: string, values: array<string>>>"
+_SELECTOR_JSON = f"struct<matchLabels: {_LABELS}, matchExpressions: {_TESTS}>"
+_PEER_JSON = f"struct<ipBlock: struct<cidr: string, `except`: array<string>>, podSelector: {_SELECTOR_JSON}, namespaceSelector: {_SELECTOR_JSON}>"
+_PORTS_JSON = "array<struct<protocol: string, port: string, endPort: int>>"
+
+
+def objects(lines: DataFrame, column: str = "value") -> DataFrame:
+    """from_json with what attribution and policies take: binary ips, ports, containers, node and selector.
+
+    Addresses that are none are skipped. ports are those of containers, services and endpoint slices; containers
+    have a row for each of their ports, in their order, and one without a port if they have none. match_labels and
+    match_expressions are the selector of the object's kind: of a Service its labels alone.
+    """
+    rows = from_json(lines, column)
+    get = lambda path, kind: F.try_variant_get("body", path, kind)
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    specs = get("$.spec.containers", "array<struct<name: string, image: string, ports: array<struct<containerPort: int, name: string, protocol: string>>>>")
+
+    def each_port(c: Column) -> Column:
+        row = lambda port, name, protocol: F.struct(c["name"].alias("name"), c["image"].alias("image"), port.cast("int").alias("port"), name.cast("string").alias("port_name"), protocol.cast("string").alias("protocol"))
+        return F.when(F.coalesce(F.size(c["ports"]), F.lit(0)) > 0, F.transform(c["ports"], lambda p: row(p["containerPort"], p["name"], p["protocol"]))).otherwise(F.array(row(F.lit(None), F.lit(None), F.lit(None))))
+
+    rows = rows.withColumn("containers", F.when(of("Pod"), F.flatten(F.transform(specs, each_port))))
+    own = F.transform(F.filter("containers", lambda c: c["port"].isNotNull()), lambda c: F.struct(c["protocol"], c["port"]))
+    served = F.transform(F.coalesce(get("$.spec.ports", "array<struct<protocol: string, port: int>>"), get("$.ports", "array<struct<protocol: string, port: int>>")), lambda p: F.struct(p["protocol"], p["port"]))
+    pod_labels = F.when(of("NetworkPolicy"), get("$.spec.podSelector.matchLabels", _LABELS)).when(of("Service"), get("$.spec.selector", _LABELS)).when(of("CronJob"), get("$.spec.jobTemplate.spec.selector.matchLabels", _LABELS)).otherwise(get("$.spec.selector.matchLabels", _LABELS))
+    pod_tests = F.when(of("NetworkPolicy"), get("$.spec.podSelector.matchExpressions", _TESTS)).when(of("CronJob"), get("$.spec.jobTemplate.spec.selector.matchExpressions", _TESTS)).when(~of("Service"), get("$.spec.selector.matchExpressions", _TESTS))
+    return rows.withColumns(
+        {
+            "ips": F.array_compact(F.transform("ips", networks.from_text)),
+            "ports": F.when(of("Pod"), own).when(of("Service", "EndpointSlice"), served),
+            "node": get("$.spec.nodeName", "string"),
+            "match_labels": pod_labels,
+            "match_expressions": pod_tests,
+        }
+    )
+
+
+def network_policies(rows: DataFrame) -> DataFrame:
+    """(namespace, name, pod_selector, rules) of the NetworkPolicies among objects with a body.
+
+    A rule has its way, its peers (none: everybody) and its ports (none: all). A block whose address is none holds
+    nobody. A way without a section has no rule, so nothing is permitted that way.
+    """
+    get = lambda path, kind: F.try_variant_get("body", path, kind)
+    nobody = F.lit(bytearray())
+    selector = lambda x: F.when(x.isNotNull(), F.struct(x["matchLabels"].alias("match_labels"), x["matchExpressions"].alias("match_expressions")))
+
+    def peer(p: Column) -> Column:
+        block = F.transform(F.array(p["ipBlock"]["cidr"]), networks.bounds)
+        edge = lambda name: F.when(p["ipBlock"].isNotNull(), F.coalesce(F.get(block, F.lit(0))[name], nobody)).alias(name)
+        outside = F.array_compact(F.transform(p["ipBlock"]["except"], networks.bounds)).alias("excepted")
+        return F.struct(edge("low"), edge("high"), outside, selector(p["podSelector"]).alias("pod_selector"), selector(p["namespaceSelector"]).alias("namespace_selector"))
+
+    def port(p: Column) -> Column:
+        number = p["port"].rlike("^[0-9]{1,5}$")
+        return F.struct(p["protocol"].alias("protocol"), F.when(number, p["port"].cast("int")).alias("port"), p["endPort"].alias("end_port"), F.when(~number, p["port"]).alias("port_name"))
+
+    def section(way: str, side: str) -> Column:
+        rules = get(f"$.spec.{way}", f"array<struct<`{side}`: array<{_PEER_JSON}>, ports: {_PORTS_JSON}>>")
+        none = F.array()
+        made = F.transform(rules, lambda r: F.struct(F.lit(way).alias("way"), F.coalesce(F.transform(r[side], peer), none).alias("peers"), F.coalesce(F.transform(r["ports"], port), none).alias("ports")))
+        return F.coalesce(made, none)
+
+    pod = F.struct("match_labels", "match_expressions").alias("pod_selector")
+    chosen = rows.filter("kind = 'NetworkPolicy'")
+    return chosen.select("namespace", "name", pod, F.concat(section("egress", "to"), section("ingress", "from")).alias("rules"))
+
+
 def selector_at(objects: DataFrame, path: str) -> DataFrame:
     """Adds match_labels and match_expressions found at a dotted path of the body, on any kind."""
     at = "$." + path.removesuffix(".matchLabels")
     return objects.withColumns({"match_labels": F.try_variant_get("body", f"{at}.matchLabels", "map<string,string>"), "match_expressions": F.try_variant_get("body", f"{at}.matchExpressions", "array<struct<key: string, operator: string, values: array<string>>>")})
 
 
+def lists_sent(changes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, init_ns, done_ns) of lists that were sent again: each init_done with the last init of its kind before it."""
+    marks = changes.filter(F.col("event").isin("init", "init_done")).select(*by, "event", F.col("ts_ns").alias("done_ns"))
+    last = Window.partitionBy(*by).orderBy("done_ns", "event").rowsBetween(Window.unboundedPreceding, -1)
+    began = F.last(F.when(F.col("event") == "init", F.col("done_ns")), ignorenulls=True).over(last)
+    return marks.withColumn("init_ns", began).filter("event = 'init_done'").select(*by, F.coalesce("init_ns", "done_ns").alias("init_ns"), "done_ns")
+
+
 def validity(changes: DataFrame) -> DataFrame:
     """Changes (uid, event, ts_ns, ips, ...) as intervals: each applied state until the next change of its uid.
 
-    Deletions end an interval and open none; ips_changed tells whether addresses differ from the state before.
-    A list that is sent again stands between the events init and init_done (of no uid): what it doesn't hold
-    is over at init_done. Lists sent again are few, and travel as one array.
+    Deletions end an interval and open none; ips_changed tells whether addresses differ from the state before. A list
+    that is sent again stands between the events init and init_done (of no uid), each kind's of its own, where
+    changes have a kind, and each cluster's: what it doesn't hold is over at init_done. A state meets the first list
+    of its kind that begins after it by an as-of join. Other events, such as error, change nothing.
     """
-    lists = changes.filter(F.col("event").isin("init", "init_done")).select("event", "ts_ns").withColumn("init", F.lag("ts_ns").over(Window.orderBy("ts_ns")))
-    lists = lists.filter("event = 'init_done'").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ns").alias("done"), F.coalesce("init", "ts_ns").alias("init")))).alias("__lists"))
-    by_uid = Window.partitionBy("uid").orderBy("ts_ns")
-    marked = changes.withColumns({"valid_from": F.col("ts_ns"), "valid_to": F.coalesce(F.lead("ts_ns").over(by_uid), F.lit(FOREVER)), "ips_changed": ~F.coalesce(F.sort_array(F.lag("ips").over(by_uid)), F.array().cast(changes.schema["ips"].dataType)).eqNullSafe(F.coalesce(F.sort_array("ips"), F.array().cast(changes.schema["ips"].dataType)))})
-    missed = F.filter("__lists", lambda x: (x["init"] > F.col("valid_from")) & (x["done"] < F.col("valid_to")))
-    ended = marked.filter(F.col("event") == "apply").crossJoin(F.broadcast(lists))
-    return ended.withColumn("valid_to", F.coalesce(F.try_element_at(missed, F.lit(1))["done"], "valid_to")).drop("__lists")
+    by = [c for c in ("cluster", "kind") if c in changes.columns]
+    keyed = changes if by else changes.withColumn("__kind", F.lit(""))
+    own = by or ["__kind"]
+    lists = lists_sent(keyed, own).groupBy(*own, "init_ns").agg(F.min("done_ns").alias("done_ns"))
+    by_uid = Window.partitionBy(*[c for c in ("cluster",) if c in by], "uid").orderBy("ts_ns")
+    none = F.array().cast(changes.schema["ips"].dataType)
+    before = F.coalesce(F.sort_array(F.lag("ips").over(by_uid)), none)
+    known = keyed.filter(F.col("event").isin("apply", "delete"))
+    marked = known.withColumns({"valid_from": F.col("ts_ns"), "valid_to": F.coalesce(F.lead("ts_ns").over(by_uid), F.lit(FOREVER)), "ips_changed": ~before.eqNullSafe(F.coalesce(F.sort_array("ips"), none))})
+    met = as_of(marked.filter(F.col("event") == "apply"), lists, own, "valid_from", "init_ns", ["done_ns"], following=True)
+    ended = F.when(F.col("done_ns") < F.col("valid_to"), F.col("done_ns")).otherwise(F.col("valid_to"))
+    return met.withColumn("valid_to", ended).drop("done_ns", "__kind")
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """The objects that are there after all changes: the batch twin of the table that ChangeTable keeps."""
+    return validity(changes).filter(F.col("valid_to") == FOREVER).drop("valid_from", "valid_to", "ips_changed")

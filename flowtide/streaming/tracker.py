@@ -7,22 +7,24 @@ flows.interval_records over flows.session_fold, which gives the same records onc
 
 Packets later than the watermark are dropped by Spark before they reach the tracker; `late` splits them
 off beforehand where they should be kept. A query restarted from its checkpoint goes on with the counters
-it had. To close all flows at the end of input, advance the watermark with a row of a later time.
+it had. At the end of input, open_flows reads the flows that are still open from the checkpoint.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import tcp
 from ..functions.addresses import with_key
-from ..functions.names import END_REASONS, STATES
+from ..functions.names import END_REASONS, STATES, lookup
 from ..operators.flows import SECOND, Timeouts, observed_key
 
-STATE = "start_ns long, last_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_along boolean, payload_ns long, payload_along boolean, record long, record_start_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long"
+STATE = "start_ns long, last_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_along boolean, payload_ns long, payload_along boolean, record long, record_start_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, version int"
+#: State of an earlier version has no version. New fields go behind: with Avro as state encoding Spark reads them as null.
+FIRST_STATE, VERSION = STATE.removesuffix(", version int"), 2
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 RECORD = "flow string, start_ns long, interval long, record_start_ns long, record_end_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, tcp_flags int, state string, jitter_ns long, end_reason string"
 COUNTERS = [f"{way}_{what}" for way in ("fwd", "rev") for what in ("packets", "bytes")]
@@ -39,18 +41,18 @@ def idle_ns(t: Timeouts, proto: int, seen: int) -> int:
 class Tracked:
     """One flow's state between packets."""
 
-    def __init__(self, values: tuple | None, proto: int, timeouts: Timeouts):
-        self.proto, self.timeouts = proto, timeouts
-        self.v = dict(zip(FIELDS, values)) if values else None
+    def __init__(self, values: tuple | None, proto: int, timeouts: Timeouts, fields: list[str] = FIELDS):
+        self.proto, self.timeouts, self.fields = proto, timeouts, fields
+        self.v = dict(zip(fields, values)) | {"version": VERSION} if values else None
 
     def values(self) -> tuple:
-        return tuple(self.v[f] for f in FIELDS)
+        return tuple(self.v[f] for f in self.fields)
 
     def deadline(self) -> int:
         return self.v["last_ns"] + idle_ns(self.timeouts, self.proto, self.v["seen"])
 
     def _open(self, ts: int, along: bool) -> None:
-        self.v = dict.fromkeys(FIELDS, 0) | {"start_ns": ts, "first_along": along, "payload_ns": None, "payload_along": None, "record_start_ns": None}
+        self.v = dict.fromkeys(FIELDS, 0) | {"version": VERSION, "start_ns": ts, "first_along": along, "payload_ns": None, "payload_along": None, "record_start_ns": None}
 
     def record(self, flow: str, last: bool) -> dict:
         """The record that ends now; deltas begin anew."""
@@ -94,15 +96,16 @@ class Tracked:
 class FlowTracker(StatefulProcessor):
     """Keyed by flow (text, host included) and proto. State outlives a restart, and ends with the session."""
 
-    def __init__(self, timeouts: Timeouts = Timeouts(), boot_ns: int = 0):
-        self.timeouts, self.boot_ns = timeouts, boot_ns
+    def __init__(self, timeouts: Timeouts = Timeouts(), boot_ns: int = 0, state: str = STATE):
+        self.timeouts, self.boot_ns, self.state = timeouts, boot_ns, state
+        self.fields = [f.split()[0] for f in state.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", STATE)
+        self.flow = handle.getValueState("flow", self.state)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        tracked = Tracked(self.flow.get(), key[1], self.timeouts)
+        tracked = Tracked(self.flow.get(), key[1], self.timeouts, self.fields)
         batch = pd.concat(list(rows)).sort_values(["ts_ns", "place"])
         out = []
         for r in batch.itertuples():
@@ -114,7 +117,7 @@ class FlowTracker(StatefulProcessor):
         yield _table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        tracked = Tracked(self.flow.get(), key[1], self.timeouts)
+        tracked = Tracked(self.flow.get(), key[1], self.timeouts, self.fields)
         out = [tracked.record(key[0], True)] if tracked.v is not None else []
         if tracked.v is not None:
             self.flow.clear()
@@ -128,13 +131,13 @@ def _table(records: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(records, columns=[f.split()[0] for f in RECORD.split(", ")])
 
 
-def track(packets: DataFrame, boot_ns: int, place: str, delay: str = "10 seconds", timeouts: Timeouts = Timeouts()) -> DataFrame:
+def track(packets: DataFrame, boot_ns: int, place: str, delay: str = "10 seconds", timeouts: Timeouts = Timeouts(), state: str = STATE) -> DataFrame:
     """Flow records of a stream of packets; place orders packets of one ts_ns; boot_ns is wall time of ts_ns 0."""
     event = F.timestamp_micros(F.expr(f"(ts_ns + {boot_ns}) DIV 1000"))
     keyed_columns = with_key(packets)
     keyed = keyed_columns.withColumns({"event_time": event, "flow": F.concat_ws("|", *[F.hex(c) if c.endswith("ip") else F.col(c).cast("string") for c in observed_key(keyed_columns)]), "egress": F.col("direction") == "egress", "place": F.col(place).cast("long")})
     rows = keyed.withWatermark("event_time", delay).select("flow", "proto", "event_time", "ts_ns", "place", "len", "tcp_flags", "egress", "a_to_b", "has_payload")
-    return rows.groupBy("flow", "proto").transformWithStateInPandas(FlowTracker(timeouts, boot_ns), outputStructType=RECORD, outputMode="append", timeMode="EventTime")
+    return rows.groupBy("flow", "proto").transformWithStateInPandas(FlowTracker(timeouts, boot_ns, state), outputStructType=RECORD, outputMode="append", timeMode="EventTime")
 
 
 def new_flows(packets: DataFrame, boot_ns: int, delay: str = "10 seconds") -> DataFrame:
@@ -148,3 +151,14 @@ def late(packets: DataFrame, watermark_ns: int) -> tuple[DataFrame, DataFrame]:
     """Packets in time and packets behind a watermark, as a side table."""
     behind = F.col("ts_ns") < watermark_ns
     return packets.filter(~behind), packets.filter(behind)
+
+
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The records of all flows that a stopped query still holds, from the state in its checkpoint: the final flush.
+
+    With what the stream has written they are the records of the batch twin over the same packets.
+    """
+    held = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint).select("key.flow", "value.*", F.col("key.proto").alias("proto"))
+    reason = F.when(F.col("seen").bitwiseAND(F.lit(tcp.FIN | tcp.RST)) != 0, END_REASONS[3]).otherwise(END_REASONS[1])
+    named = {"interval": F.col("record"), "record_end_ns": F.col("last_ns"), "tcp_flags": F.col("seen"), "state": lookup(F.col("state"), STATES), "end_reason": reason}
+    return held.select(*[named.get(n, F.col(n)).cast(kind).alias(n) for n, kind in (f.split() for f in RECORD.split(", "))])
