@@ -245,7 +245,7 @@ def with_process(flows: DataFrame, events: DataFrame, key: list[str]) -> DataFra
 
 
 def orphans(snapshots: DataFrame, tracked: DataFrame, key: list[str], now: Column | int, record_ns: int) -> DataFrame:
-    """Keys with counters older than four record intervals that nothing tracks; now may be a column of snapshots."""
+    """Keys with counters older than four record intervals that nothing tracks; now may be a scalar subquery."""
     return snapshots.filter(F.col("last_ns") < now - 4 * record_ns).join(tracked.select(*key).distinct(), key, "left_anti")
 
 

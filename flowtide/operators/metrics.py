@@ -75,9 +75,8 @@ def histogram_sums(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def expire_series(series: DataFrame, deletions: DataFrame, key: str, now: Column | int, ttl: int) -> DataFrame:
-    """Series but those of keys that were deleted at least ttl ago with no activity since; now may be a column of deletions."""
-    moment = now if isinstance(now, Column) else F.lit(now)
-    gone = deletions.groupBy(key).agg(F.max("deleted_at").alias("deleted_at"), F.max(moment).alias("__now"))
-    gone = gone.filter(F.col("deleted_at") + ttl <= F.col("__now")).drop("__now")
+    """Series but those of keys that were deleted at least ttl ago with no activity since; now may be a scalar subquery."""
+    gone = deletions.groupBy(key).agg(F.max("deleted_at").alias("deleted_at"))
+    gone = gone.filter(F.col("deleted_at") + ttl <= now)
     late = series.join(gone, key, "left")
     return late.filter(F.col("deleted_at").isNull() | (F.col("last_active") > F.col("deleted_at"))).drop("deleted_at")

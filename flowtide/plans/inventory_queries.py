@@ -181,9 +181,9 @@ def flow_processes(spark, sf_dir):
 def orphaned_keys(spark, sf_dir):
     """Keys with old counters that no tracked flow has; conversations of every third order count as tracked."""
     packets = LINES.read(spark, sf_dir)
-    now = packets.agg(F.max("ts_ns").alias("now"))  # one row
+    now = packets.agg(F.max("ts_ns")).scalar()
     tracked = with_key(packets.filter("conn % 3 = 0")).select(*KEY).distinct().withColumn("community_id", key_id())
-    return enrich.orphans(flows.flow_aggregate(packets, LINES.ranked).crossJoin(F.broadcast(now)), tracked, ["community_id"], F.col("now"), 60 * flows.SECOND).select("community_id", "host", "last_ns")
+    return enrich.orphans(flows.flow_aggregate(packets, LINES.ranked), tracked, ["community_id"], now, 60 * flows.SECOND).select("community_id", "host", "last_ns")
 
 
 _RULES = {

@@ -110,6 +110,6 @@ def live_series(spark, sf_dir):
     """Traffic series without those of interfaces that vanished (here: interface 3, half-way) and stayed silent."""
     packets = LINES.read(spark, sf_dir)
     series = packets.groupBy("ifindex", "direction").agg(F.max("ts_ns").alias("last_active"))
-    now = packets.agg(F.max("ts_ns").alias("now"))  # one row
-    gone = packets.filter("ifindex = 3").select("ifindex").distinct().crossJoin(F.broadcast(now)).withColumn("deleted_at", F.expr("now DIV 2"))
-    return metrics.expire_series(series, gone, "ifindex", F.col("now"), 300)
+    times = packets.agg(F.max("ts_ns").alias("now"))
+    gone = packets.filter("ifindex = 3").select("ifindex").distinct().withColumn("deleted_at", times.select(F.expr("now DIV 2")).scalar())
+    return metrics.expire_series(series, gone, "ifindex", times.scalar(), 300)

@@ -1,6 +1,7 @@
 """The flow tracker on Structured Streaming: one state of a few numbers a flow, timers in event time.
 
-Packets of a flow update its state; a record is emitted when a record interval is over, when the flow has
+Packets wait in the state until the watermark has passed them, so they may come in any order within the delay.
+They are then taken in their order and update the flow's state; a record is emitted when a record interval is over, when the flow has
 idled out (an event-time timer), or when a later packet shows that it had. A session is known by its flow
 and its start_ns, so nothing has to be kept of sessions that are over. The batch twin is
 flows.interval_records over flows.session_fold, which gives the same records once every flow is closed.
@@ -10,6 +11,7 @@ off beforehand where they should be kept. A query restarted from its checkpoint
 it had. At the end of input, open_flows reads the flows that are still open from the checkpoint.
 """
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,13 +21,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import tcp
 from ..functions.addresses import with_key
-from ..functions.names import END_REASONS, STATES, lookup
+from ..functions.names import END_REASONS, STATES
 from ..operators.flows import SECOND, Timeouts, observed_key
 
 STATE = "start_ns long, last_ns long, seen int, state int, jitter_ns long, wait_sum_ns long, waits int, first_along boolean, payload_ns long, payload_along boolean, record long, record_start_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, version int"
 #: State of an earlier version has no version. New fields go behind: with Avro as state encoding Spark reads them as null.
 FIRST_STATE, VERSION = STATE.removesuffix(", version int"), 2
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
+#: A packet as it waits, in the order that packets are taken in.
+PENDING = "ts_ns long, place long, len long, tcp_flags int, egress boolean, a_to_b boolean, has_payload boolean"
+PENDING_FIELDS = [f.split()[0] for f in PENDING.split(", ")]
 RECORD = "flow string, start_ns long, interval long, record_start_ns long, record_end_ns long, fwd_packets_delta long, rev_packets_delta long, fwd_bytes_delta long, rev_bytes_delta long, fwd_packets_total long, rev_packets_total long, fwd_bytes_total long, rev_bytes_total long, tcp_flags int, state string, jitter_ns long, end_reason string"
 COUNTERS = [f"{way}_{what}" for way in ("fwd", "rev") for what in ("packets", "bytes")]
 MS = 1_000_000
@@ -103,25 +108,48 @@ class FlowTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", self.state)
+        self.pending = handle.getListState("pending", PENDING)
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+    def _advance(self, key, rows: list[tuple], timer_values) -> pd.DataFrame:
+        """Take the packets behind the watermark in their order; the others wait for it, and a timer for the next of either."""
         tracked = Tracked(self.flow.get(), key[1], self.timeouts, self.fields)
-        batch = pd.concat(list(rows)).sort_values(["ts_ns", "place"])
-        out = []
-        for r in batch.itertuples():
-            out += tracked.packet(key[0], int(r.ts_ns), int(r.len), int(r.tcp_flags), bool(r.egress), bool(r.a_to_b), bool(r.has_payload))
-        self.flow.update(tracked.values())
+        limit = timer_values.getCurrentWatermarkInMs() * MS - self.boot_ns
+        rows = sorted(rows)
+        ready = bisect.bisect_left(rows, (limit,))
+        out, waiting = [], rows[ready:]
+        for ts, _, *packet in rows[:ready]:
+            out += tracked.packet(key[0], ts, *packet)
+        if tracked.v is not None and tracked.deadline() < limit:
+            out.append(tracked.record(key[0], True))
+            tracked.v = None
+        moments = [waiting[0][0]] if waiting else []
+        if tracked.v is None:
+            self.flow.clear()
+        else:
+            self.flow.update(tracked.values())
+            moments.append(tracked.deadline())
+        if waiting:
+            self.pending.put(waiting)
+        else:
+            self.pending.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((self.boot_ns + tracked.deadline()) // MS + 1)
-        yield _table(out)
+        if moments:
+            self.handle.registerTimer((self.boot_ns + min(moments)) // MS + 1)
+        return _table(out)
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(r) for r in self.pending.get()]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        new = []
+        for part in rows:
+            columns = [part[c].tolist() for c in PENDING_FIELDS]
+            new += zip(*columns)
+        yield self._advance(key, self._waiting() + new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        tracked = Tracked(self.flow.get(), key[1], self.timeouts, self.fields)
-        out = [tracked.record(key[0], True)] if tracked.v is not None else []
-        if tracked.v is not None:
-            self.flow.clear()
-        yield _table(out)
+        yield self._advance(key, self._waiting(), timerValues)
 
     def close(self) -> None:
         pass
@@ -153,12 +181,24 @@ def late(packets: DataFrame, watermark_ns: int) -> tuple[DataFrame, DataFrame]:
     return packets.filter(~behind), packets.filter(behind)
 
 
-def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+def open_flows(spark: SparkSession, checkpoint: str, timeouts: Timeouts = Timeouts()) -> DataFrame:
     """The records of all flows that a stopped query still holds, from the state in its checkpoint: the final flush.
 
-    With what the stream has written they are the records of the batch twin over the same packets.
+    Packets that wait for the watermark are taken first. With what the stream has written these are the records of the
+    batch twin over the same packets.
     """
-    held = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint).select("key.flow", "value.*", F.col("key.proto").alias("proto"))
-    reason = F.when(F.col("seen").bitwiseAND(F.lit(tcp.FIN | tcp.RST)) != 0, END_REASONS[3]).otherwise(END_REASONS[1])
-    named = {"interval": F.col("record"), "record_end_ns": F.col("last_ns"), "tcp_flags": F.col("seen"), "state": lookup(F.col("state"), STATES), "end_reason": reason}
-    return held.select(*[named.get(n, F.col(n)).cast(kind).alias(n) for n, kind in (f.split() for f in RECORD.split(", "))])
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name)
+    key = ["key.flow", "key.proto"]
+    held = read("flow").load(checkpoint).select(*key, "value.*")
+    waiting = read("pending").option("flattenCollectionTypes", True).load(checkpoint).select(*key, "list_element.*")
+    fields = [c for c in held.columns if c not in ("flow", "proto")]
+
+    def finish(key: tuple, states: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
+        values = [None if pd.isna(v) else v for v in states.astype(object).iloc[0][fields]] if len(states) else None
+        tracked, out = Tracked(values, int(key[1]), timeouts, fields), []
+        for ts, _, *packet in sorted(zip(*[packets[c].tolist() for c in PENDING_FIELDS])):
+            out += tracked.packet(key[0], ts, *packet)
+        return _table([*out, tracked.record(key[0], True)])
+
+    by = ("flow", "proto")
+    return held.groupBy(*by).cogroup(waiting.groupBy(*by)).applyInPandas(finish, RECORD)

@@ -47,6 +47,24 @@ def test_flush_and_restart(spark):
     assert picked(written + open_) == picked(twin) and len(open_) > 5 and len(written) > 5
 
 
+def test_shuffled_input(spark):
+    """Packets that come in any order within the delay, over micro-batches, give the batch twin's records."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    packets = EVENTS.read(spark, SF).filter("packet_id < 240").cache()
+    source = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    # A packet comes up to 15 s (60 packets) late, so in the batch after its own or in its own, in no order.
+    late = packets.withColumn("batch", F.expr("(packet_id + pmod(hash(packet_id), 60)) DIV 60")).orderBy(F.xxhash64("packet_id"))
+    for i in range(5):
+        late.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{source}/in")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
+    query = tracker.track(stream, BOOT_NS, "packet_id", delay="40 seconds").writeStream.format("parquet").option("path", f"{source}/out").option("checkpointLocation", f"{source}/state").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert query.exception() is None
+    written = spark.read.schema(tracker.RECORD).parquet(f"{source}/out").collect()
+    twin = flows.interval_records(flows.packet_fold(packets, EVENTS.order)).collect()
+    assert picked(written + tracker.open_flows(spark, f"{source}/state").collect()) == picked(twin)
+
+
 SPAN = "name string, start_ns long, attributes map<string,string>"
 
 
@@ -64,6 +82,20 @@ def test_span_files(spark):
     assert key(read_spans(spark, folder, SPAN)) == key(spans(spark, 0, 80))
 
 
+def test_new_flows_on_a_stream(spark):
+    """One packet of every flow, as in the batch twin, though flows go on in later micro-batches."""
+    packets = EVENTS.read(spark, SF).filter("packet_id < 300").cache()
+    source = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for low in (0, 150):
+        packets.filter(f"packet_id >= {low} AND packet_id < {low + 150}").coalesce(1).write.mode("append").parquet(f"{source}/in")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
+    query = tracker.new_flows(stream, BOOT_NS, "1 hour").writeStream.format("memory").queryName("first_packets").option("checkpointLocation", f"{source}/state").trigger(availableNow=True).start()
+    query.awaitTermination(100)
+    assert query.exception() is None
+    key = lambda df: sorted((r.host, bytes(r.a_ip), r.a_port, bytes(r.b_ip), r.b_port, r.proto) for r in df.collect())
+    assert key(spark.table("first_packets")) == key(flows.new_flows(packets, EVENTS.order))
+
+
 class Row:
     def __init__(self, n):
         self.n = n
