@@ -35,7 +35,7 @@ from .text import gather
 
 MIN_DOCS, SMOOTHING, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Postings of a block, at least; accumulator cells of a chunk of rows, at most; postings scattered at a time.
-BLOCK, CELLS, SLICE = 1 << 18, 1 << 22, 1 << 18
+BLOCK, CELLS, SLICE = 1 << 15, 1 << 22, 1 << 18
 
 
 def proportion(count: str, total: str, kept: str, smoothing: int, scale: int) -> Column:
