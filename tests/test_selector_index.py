@@ -38,8 +38,10 @@ def test_index_of_selectors(spark, seed):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
-def test_json_to_policies(spark):
-    """From JSON text of a cluster to the policies that permit a flow."""
+@pytest.mark.parametrize("inline", [64, 0])
+def test_json_to_policies(spark, monkeypatch, inline):
+    """From JSON text of a cluster to the policies that permit a flow; blocks and ports in the row or by joins."""
+    monkeypatch.setattr(enrich, "MOST_INLINE", inline)
     meta = lambda name, **k: {"name": name, "namespace": "n", **k}
     rule = lambda side, peers, ports=None: {side: peers, **({"ports": ports} if ports else {})}
     policy = lambda name, **spec: {"kind": "NetworkPolicy", "metadata": meta(name), "spec": {"podSelector": {}, **spec}}
