@@ -34,6 +34,8 @@ MIN_COUNT, LONGEST, SCALE, COVERED, TOP = 30, 4, 2_000_000, 80, 2000
 FILTER_BITS, PREFIX, PREFIXES = 26, 3, 1 << 20
 #: Phrases that a task's tries hold, and distinct words it numbers, before they leave.
 MOST_PHRASES, MOST_WORDS = 3 << 19, 1 << 20
+#: Bytes of words that a task numbers, and of phrases that leave together.
+MOST_BYTES = 1 << 26
 BREAKS = _table(b".,;:!?\n\x0b\x0c\r")
 BETWEEN = BREAKS | _table(b" \t")
 ROWS = 1 << 16
@@ -49,7 +51,7 @@ class Vocabulary:
     """Ids from 1 on of a task's words, and phrases of ids as text."""
 
     def __init__(self):
-        self.ids, self.words = {}, []
+        self.ids, self.words, self.size = {}, [], 0
 
     def number(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
@@ -60,6 +62,7 @@ class Vocabulary:
                 if own is None:
                     ids[i] = known[distinct[i]] = len(known) + 1
                     self.words.append(distinct[i])
+                    self.size += len(distinct[i])
         return np.array(ids, np.uint64)[coded.indices.to_numpy()]
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,9 +91,13 @@ class Counter:
         spaced = None
         for keys, counts in runs:
             spaced = spaced or self.vocabulary.spaced()
-            for i in range(0, len(keys), ROWS):
-                part = keys[i : i + ROWS]
-                columns = {"lang": pa.array([lang] * len(part), pa.string()), "phrase": phrases(part, spaced, max(self.sizes)), "n": pa.array(counts[i : i + ROWS])}
+            longest = spaced[2][word_at(keys, 0).astype(np.int64)]
+            for depth in range(1, max(self.sizes)):
+                longest = longest + spaced[2][word_at(keys, depth).astype(np.int64)]
+            step = int(max(1, min(ROWS, MOST_BYTES // longest.max())))
+            for i in range(0, len(keys), step):
+                part = keys[i : i + step]
+                columns = {"lang": pa.array([lang] * len(part), pa.string()), "phrase": phrases(part, spaced, max(self.sizes)), "n": pa.array(counts[i : i + step])}
                 yield pa.RecordBatch.from_pydict(columns)
 
     def add(self, lang: str, ids: np.ndarray, joins: np.ndarray, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ class Counter:
 
     def relieve(self) -> Iterator[pa.RecordBatch]:
         """What the tries of all langs hold together stays bounded, and so does the vocabulary."""
-        if len(self.vocabulary.ids) > MOST_WORDS or sum(t.root.size() for t in self.tries.values()) > 2 * MOST_PHRASES:
+        if len(self.vocabulary.ids) > MOST_WORDS or self.vocabulary.size > MOST_BYTES or sum(t.root.size() for t in self.tries.values()) > 2 * MOST_PHRASES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,24 @@ def test_collocations(spark):
     assert sorted(map(tuple, phrases.collocations(docs, 9).collect())) == mined(rows, 9, 2000)
 
 
+def test_long_words(spark, monkeypatch):
+    """Words of any length, in a task that holds few bytes of them."""
+    counter = phrases.Counter((1, 2))
+    monkeypatch.setattr(phrases, "MOST_BYTES", 2000)
+    import pyarrow as pa
+
+    words = [b"x" * 900, b"y", b"z" * 1500] * 7
+    ids = counter.vocabulary.number(pa.array(words, pa.binary()))
+    found = Counter()
+    every = np.ones(len(ids), bool)
+    joins = np.append(every[1:], False)
+    for batch in [*counter.add("en", ids, joins, every), *counter.relieve(), *counter.flush()]:
+        assert sum(len(p) for p in batch.column("phrase").to_pylist()) <= 2500
+        for p, n in zip(batch.column("phrase").to_pylist(), batch.column("n").to_pylist()):
+            found[p] += n
+    assert found == Counter(words) + Counter(a + b" " + b for a, b in zip(words, words[1:]))
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert divergence.audit(empty).collect() == [] and phrases.collocations(empty).collect() == []
