@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import networks
+from ..functions.tables import written
 from ..operators import enrich, filters, metrics, selectors
 from ..sources import inventory
 from ..sources.packets import LINES
@@ -113,8 +114,8 @@ def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_decorated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Flows attributed to the objects of json_dump, and those objects."""
-    objects = inventory.objects(json_dump(spark, sf_dir))
+    """Flows attributed to the objects of json_dump, and those objects, which are parsed once and written."""
+    objects = written(inventory.objects(json_dump(spark, sf_dir)), "objects")
     return enrich.decorate(I.cluster_flows(spark, sf_dir), enrich.ip_index(objects.drop("containers", "body", "labels")), "last_ns"), objects
 
 
