@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowtide.operators import enrich, selectors
 from flowtide.sources import inventory
@@ -74,3 +75,15 @@ def test_json_to_policies(spark, monkeypatch, inline):
     assert names(got[3].ingress_policies) == ["all", "six"] and got[3].dst_name == "a"
     assert (got[4].dst_kind, got[4].dst_name, names(got[4].ingress_policies)) == ("EndpointSlice", "slice", [])
 
+
+
+def test_pairs_spread(spark, monkeypatch):
+    """One label set and one selector in one file make all pairs, and many tasks make them; rows without a name stay."""
+    monkeypatch.setattr(selectors, "PACK", 16, raising=False)
+    pods = spark.range(300).coalesce(1).selectExpr("'n' AS namespace", "concat('p', nullif(id, 7)) AS name", "map('app', 'web') AS labels")
+    named = spark.range(200).coalesce(1).selectExpr("'n' AS namespace", "'Service' AS kind", "concat('s', nullif(id, 7)) AS name", "map('app', 'web') AS match_labels")
+    policies = named.selectExpr("namespace", "name", f"CAST(NULL AS {selectors.SELECTOR}) AS pod_selector")
+    for got, columns in ((selectors.candidates(pods, policies), ["namespace", "pod", "policy"]), (selectors.relations(pods, named), ["namespace", "pod", "kind", "name"])):
+        assert got.columns == columns
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == got.distinct().count() == 60_000 and max(sizes) <= 40_000
