@@ -16,6 +16,12 @@ Before that, documents are left out that can't have a near-copy: of the ``LOW``
 document some nine in ten stand in a near-copy at 0.8 too, so if under half of them stand in any other
 document, there is none (a pair at 0.8 fails this once in some thousand times).
 
+What these two steps miss is found by an exact pass over all distinct texts. Of two sets at the similarity each holds that
+share of the other at least, so in any one order of hashes the first ones of both, a fifth and one, have a hash in common. Those are
+the postings; hashes of many documents come last in the order (a sample says which: that saves work and decides nothing). Where
+texts that aren't linked yet have one, their sizes and the parities of their sets in 256 bits are compared: sets differ in as
+many shingles at least as parities do in bits. Pairs that are left are checked as the others.
+
 Inside a key a task links documents by a minimal spanning forest over their distances (it emits no other
 pairs), and keys of over ``BLOCK_ROWS`` documents are dealt in blocks of two chunks each, which together meet
 all pairs. Links are then checked exactly on whole shingle sets, and components of those that hold are
@@ -27,6 +33,7 @@ under ``WORDS`` words is one shingle; long texts are read whole; only doc_id and
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +51,8 @@ MISS, SPARE = 0.001, 2
 LOW, FILTER_BITS = 8, 27
 BLOCK_ROWS = 20_000
 MOST_KEY_BITS = 48
+PAIR_ROWS = 4096
+HOT_SHARE, HOT_COUNT, HOT_BITS = 8, 32, 26
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,16 +221,21 @@ def spanning(prints: np.ndarray, chain: np.ndarray, bits: int) -> tuple[np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def candidates(distinct: DataFrame, similarity: float, block_rows: int) -> DataFrame:
-    """(u, v): links between uids within the distance, by spanning forests of all keys."""
-    bits, turns = key_plan(distinct.count(), similarity)
-    some = materialize(shared(keys(distinct, bits, turns)), "keys")
+def in_blocks(some: DataFrame, block_rows: int) -> DataFrame:
+    """(uid, key, low, high) of (key, uid): keys of over block_rows rows in blocks of two chunks each, that together meet all pairs."""
     counts = some.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
     hot = materialize(counts.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("chunks")), "hot")
     dealt = some.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("uid", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return dealt.select("uid", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def candidates(distinct: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """(u, v): links between uids within the distance, by spanning forests of all keys."""
+    bits, turns = key_plan(distinct.count(), similarity)
+    some = materialize(shared(keys(distinct, bits, turns)), "keys")
+    dealt = in_blocks(some, block_rows)
     dealt = dealt.join(distinct.select("uid", *FIELDS), "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
 
     def task(batches):
@@ -275,6 +289,99 @@ def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(task, "uid long, hashes array<long>")
 
 
+def frequent(docs: DataFrame, n_words: int) -> Broadcast:
+    """A bitmap of the shingle hashes of over HOT_COUNT documents of a HOT_SHARE-th of them."""
+    some = docs.select("text", F.xxhash64("text").alias("uid")).filter(F.pmod("uid", F.lit(HOT_SHARE)) == 0)
+    counts = shingle_sets(some, n_words).select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    return docs.sparkSession.sparkContext.broadcast(bitmap(counts.filter(F.col("n") > HOT_COUNT), "hash", HOT_BITS))
+
+
+def prefixes(docs: DataFrame, n_words: int, similarity: float, hot: Broadcast) -> DataFrame:
+    """uid, size, first hashes and the parities' lanes of the shingle set of each text that has shingles."""
+
+    def task(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for i, j in slices(offsets):
+                found, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
+                owner = np.repeat(np.arange(j - i), counts)
+                bit = (mix(found) & U(LANES * 64 - 1)).astype(np.int64)
+                odd = np.bincount(owner * (LANES * 64) + bit, minlength=(j - i) * LANES * 64).reshape(j - i, -1) & 1
+                odd = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                found = found[np.lexsort((found, hot.value.holds(found), owner))]
+                few = np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1, 0)
+                few = np.minimum(few, counts)
+                columns = {"uid": batch.column("uid").slice(i, j - i), "size": pa.array(counts.astype(np.int64)), "first": lists(found[gather(np.cumsum(counts) - counts, few)], few)}
+                yield pa.RecordBatch.from_pydict(columns | {f: pa.array(odd[:, k].copy()) for k, f in enumerate(FIELDS)})
+
+    return docs.select("text", F.xxhash64("text").alias("uid")).mapInArrow(task, "uid long, size long, first array<long>, " + ", ".join(f"{f} long" for f in FIELDS)).filter("size > 0")
+
+
+def _apart(held: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of different roots that may be similar, of one hash."""
+    uid, size, root, odd = (np.concatenate(x) for x in zip(*held))
+    if root.min() == root.max():
+        return uid[:0], uid[:0]
+    out = [(uid[:0], uid[:0])]
+    for i in range(len(uid) - 1):
+        left = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        left = left[np.minimum(size[left], size[i]) >= similarity * np.maximum(size[left], size[i]) - 1e-9]
+        differing = np.bitwise_count(odd[left] ^ odd[i]).sum(1, dtype=np.int64)
+        left = left[differing <= (1 - similarity) / (1 + similarity) * (size[left] + size[i]) + 1e-9]
+        out.append((np.full(len(left), uid[i]), uid[left]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def missed(docs: DataFrame, texts: DataFrame, n_words: int, similarity: float, block_rows: int) -> DataFrame:
+    """(u, v): pairs of texts (uid, root: distinct) of different roots that may be similar, and all that are."""
+    firsts = prefixes(docs, n_words, similarity, frequent(docs, n_words)).dropDuplicates(["uid"]).join(texts, "uid")
+    firsts = materialize(firsts, "prefixes")
+    roots = firsts.select(F.explode("first").alias("hash"), "root").groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(roots.filter("a < b"), "hash", FILTER_BITS))
+
+    def chosen(batches):
+        for batch in batches:
+            column = batch.column("first")
+            row = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+            hashes = column.flatten().to_numpy()
+            held = np.flatnonzero(marks.value.holds(hashes.view(np.uint64)))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(hashes[held]), "uid": batch.column("uid").take(pa.array(row[held]))})
+
+    some = materialize(firsts.select("uid", "first").mapInArrow(chosen, "key long, uid long"), "shared")
+    dealt = in_blocks(some, block_rows).join(firsts.select("uid", "size", "root", *FIELDS), "uid")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
+
+    def task(batches):
+        group, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high, uid, size, root = (batch.column(c).to_numpy() for c in ("key", "low", "high", "uid", "size", "root"))
+            odd = lanes(batch)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for i, j in zip([0, *new], [*new, batch.num_rows]):
+                if (key[i], low[i], high[i]) != group:
+                    if held:
+                        u, v = _apart(held, similarity)
+                        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+                    group, held = (key[i], low[i], high[i]), []
+                held.append((uid[i:j], size[i:j], root[i:j], odd[i:j]))
+        if held:
+            u, v = _apart(held, similarity)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+    found = dealt.mapInArrow(task, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of found whose sets (uid, hashes) have the similarity."""
+    both = found.join(sets.select(F.col("uid").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("hashes").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    held = both.withColumn("common", common).filter(F.col("common") >= similarity * (F.size("a") + F.size("b") - F.col("common")))
+    return held.select("u", "v")
+
+
 def near_copies(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """All rows' doc_id, text_hash and uid (of their fingerprint); and (uid, root) of the uids with near-copies but roots."""
     uid = F.xxhash64(*FIELDS).alias("uid")
@@ -289,11 +396,19 @@ def near_copies(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMIL
     keyed = docs.select("text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("hash")).select("*", mark)
     keyed = flagged(keyed, texts.select(mark), "mark", FILTER_BITS).filter("__flag")  # other texts aren't shuffled
     sets = shingle_sets(keyed.join(texts, ["id", "hash"]).dropDuplicates(["uid"]), n_words)
-    sets = materialize(sets, "sets")
-    both = found.join(sets.select(F.col("uid").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("hashes").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    held = both.withColumn("common", common).filter(F.col("common") >= similarity * (F.size("a") + F.size("b") - F.col("common")))
-    return rows, stars(held.select("u", "v")).select(F.col("node").alias("uid"), "root")
+    members = stars(similar(found, materialize(sets, "sets"), similarity)).select(F.col("node").alias("uid"), "root")
+    # What has been missed, among all distinct texts.
+    hashes = rows.groupBy(F.col("text_hash")).agg(F.min("uid").alias("uid")).join(members, "uid", "left")
+    hashes = materialize(hashes.select(F.col("text_hash").alias("uid"), F.coalesce("root", "uid").alias("root")), "texts")
+    more = materialize(missed(docs, hashes, n_words, similarity, PAIR_ROWS), "missed")
+    ends = more.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+    keyed = flagged(docs.select("text", F.xxhash64("text").alias("uid")), ends, "uid", FILTER_BITS).filter("__flag")
+    sets = materialize(shingle_sets(keyed.join(ends, "uid").dropDuplicates(["uid"]), n_words), "sets")
+    held = similar(more, sets, similarity)
+    for end in ("u", "v"):
+        held = held.join(hashes.select(F.col("uid").alias(end), F.col("root").alias(f"{end}_root")), end)
+    edges = members.select(F.col("uid").alias("u"), F.col("root").alias("v")).unionAll(held.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+    return rows, stars(edges).select(F.col("node").alias("uid"), "root")
 
 
 def keep_one(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
