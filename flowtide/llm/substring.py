@@ -237,8 +237,10 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield repeated_intervals(pa.Table.from_batches(held), min_words)
 
     found = sharded.mapInArrow(shards, "anchor long, hash long, low long, high long")
-    places = segments(docs, min_words, repeated, hot, False)
-    return places.join(found, ["anchor", "hash"]).select("id", "text_hash", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
+    # A segment's intervals go as one row to its places, so the join makes no more rows than there are places.
+    own = found.groupBy("anchor", "hash").agg(F.collect_list(F.struct("low", "high")).alias("own"))
+    places = segments(docs, min_words, repeated, hot, False).join(own, ["anchor", "hash"])
+    return places.select("id", "text_hash", "at", F.inline("own")).select("id", "text_hash", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
