@@ -20,7 +20,8 @@ What these two steps miss is found by an exact pass over all distinct texts. Of
 share of the other at least, so in any one order of hashes the first ones of both, a fifth and one, have a hash in common. Those are
 the postings; hashes of many documents come last in the order (a sample says which: that saves work and decides nothing). Where
 texts that aren't linked yet have one, their sizes and the parities of their sets in 256 bits are compared: sets differ in as
-many shingles at least as parities do in bits. Pairs that are left are checked as the others.
+many shingles at least as parities do in bits; and what both can have in common is their common postings and what either has beside its own.
+Pairs that are left are checked as the others.
 
 Inside a key a task links documents by a minimal spanning forest over their distances (it emits no other
 pairs), and keys of over ``BLOCK_ROWS`` documents are dealt in blocks of two chunks each, which together meet
@@ -296,6 +297,11 @@ def frequent(docs: DataFrame, n_words: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(bitmap(counts.filter(F.col("n") > HOT_COUNT), "hash", HOT_BITS))
 
 
+def first_hashes(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first hashes of a set of each size have one in common with any similar set's."""
+    return np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)
+
+
 def prefixes(docs: DataFrame, n_words: int, similarity: float, hot: Broadcast) -> DataFrame:
     """uid, size, first hashes and the parities' lanes of the shingle set of each text that has shingles."""
 
@@ -309,27 +315,26 @@ def prefixes(docs: DataFrame, n_words: int, similarity: float, hot: Broadcast) -
                 odd = np.bincount(owner * (LANES * 64) + bit, minlength=(j - i) * LANES * 64).reshape(j - i, -1) & 1
                 odd = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
                 found = found[np.lexsort((found, hot.value.holds(found), owner))]
-                few = np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1, 0)
-                few = np.minimum(few, counts)
+                few = first_hashes(counts, similarity)
                 columns = {"uid": batch.column("uid").slice(i, j - i), "size": pa.array(counts.astype(np.int64)), "first": lists(found[gather(np.cumsum(counts) - counts, few)], few)}
                 yield pa.RecordBatch.from_pydict(columns | {f: pa.array(odd[:, k].copy()) for k, f in enumerate(FIELDS)})
 
     return docs.select("text", F.xxhash64("text").alias("uid")).mapInArrow(task, "uid long, size long, first array<long>, " + ", ".join(f"{f} long" for f in FIELDS)).filter("size > 0")
 
 
-def _apart(held: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts of different roots that may be similar, of one hash."""
+def _apart(held: list, similarity: float) -> pa.RecordBatch:
+    """(u, v, wanted): pairs of texts of different roots that may be similar, of one hash; and how many first hashes such ones share."""
     uid, size, root, odd = (np.concatenate(x) for x in zip(*held))
-    if root.min() == root.max():
-        return uid[:0], uid[:0]
-    out = [(uid[:0], uid[:0])]
-    for i in range(len(uid) - 1):
+    out = [(uid[:0],) * 3]
+    for i in range(len(uid) - 1 if root.min() < root.max() else 0):
         left = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
         left = left[np.minimum(size[left], size[i]) >= similarity * np.maximum(size[left], size[i]) - 1e-9]
         differing = np.bitwise_count(odd[left] ^ odd[i]).sum(1, dtype=np.int64)
         left = left[differing <= (1 - similarity) / (1 + similarity) * (size[left] + size[i]) + 1e-9]
-        out.append((np.full(len(left), uid[i]), uid[left]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        common = np.ceil(similarity / (1 + similarity) * (size[left] + size[i]) - 1e-9).astype(np.int64)
+        rest = np.maximum(size[left] - first_hashes(size[left], similarity), size[i] - first_hashes(size[i], similarity))
+        out.append((np.full(len(left), uid[i]), uid[left], common - rest))
+    return pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(x)) for name, x in zip(("u", "v", "wanted"), zip(*out))})
 
 
 def missed(docs: DataFrame, texts: DataFrame, n_words: int, similarity: float, block_rows: int) -> DataFrame:
@@ -362,16 +367,15 @@ def missed(docs: DataFrame, texts: DataFrame, n_words: int, similarity: float, b
             for i, j in zip([0, *new], [*new, batch.num_rows]):
                 if (key[i], low[i], high[i]) != group:
                     if held:
-                        u, v = _apart(held, similarity)
-                        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+                        yield _apart(held, similarity)
                     group, held = (key[i], low[i], high[i]), []
                 held.append((uid[i:j], size[i:j], root[i:j], odd[i:j]))
         if held:
-            u, v = _apart(held, similarity)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+            yield _apart(held, similarity)
 
-    found = dealt.mapInArrow(task, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = dealt.mapInArrow(task, "u long, v long, wanted long")
+    met = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("n"), F.max("wanted").alias("wanted"))
+    return met.filter("n >= wanted").select("u", "v")  # blocks may count a hash again, which loses nothing
 
 
 def similar(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
