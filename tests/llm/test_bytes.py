@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowtide.llm import bytededup, queries
+from flowtide.llm import bytededup, queries, suffixes
 from flowtide.llm.suffixes import suffix_array
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,19 @@ def test_op13(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert got == {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op13_byte_dedup"]).fetchall()}
     assert any(r[1] for r in got.values())
+
+
+@pytest.mark.parametrize("bound", [(1 << 40) - 1, (1 << 62) - 1])
+def test_keys_in_order(bound):
+    """Keys that leave room for their places are sorted as words with them, others by their places."""
+    keys = np.random.default_rng(5).integers(0, bound, 3000)
+    keys[1000:2000] = keys[:1000]
+    order, ranked = suffixes._order(keys, bound)
+    assert (ranked == np.sort(keys)).all() and (keys[order] == ranked).all() and sorted(order.tolist()) == list(range(3000))
+
+
+def test_suffixes_of_large_symbols():
+    """Triples that pass 62 bits are named in two steps."""
+    r = random.Random(6)
+    symbols = [r.choice([1, 2, 1 << 33, (1 << 33) + 1]) for _ in range(500)]
+    assert suffix_array(np.array(symbols, np.int64)).tolist() == sorted(range(500), key=lambda i: symbols[i:])
