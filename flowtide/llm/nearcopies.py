@@ -42,7 +42,7 @@ from .bitmap import bitmap, flagged
 from .components import stars
 from .simhash import first_row, only_kept
 from .storage import materialize
-from .text import LOWER, U, Words, gather, grams, mix, slices, utf8
+from .text import LOWER, SMALL_BYTES, U, Words, gather, grams, mix, slices, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 LANES, DISTANCE, SEGMENT, CHAINS = 4, 52, 16, (1, 2, 4, 8)
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SMALL_BYTES):
                 found, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
                 prints = wide_simhashes(found, counts).view(np.int64)
                 few = np.minimum(counts, LOW)
@@ -283,7 +283,7 @@ def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SMALL_BYTES):
                 found, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
                 yield pa.RecordBatch.from_pydict({"uid": batch.column("uid").slice(i, j - i), "hashes": lists(found, counts)})
 
@@ -308,7 +308,7 @@ def prefixes(docs: DataFrame, n_words: int, similarity: float, hot: Broadcast) -
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SMALL_BYTES):
                 found, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
                 owner = np.repeat(np.arange(j - i), counts)
                 bit = (mix(found) & U(LANES * 64 - 1)).astype(np.int64)

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .bitmap import Bitmap, bitmap
 from .fmindex import FMIndex
 from .storage import extended, materialize
-from .text import U, Words, binary, grams, slices, utf8
+from .text import SMALL_BYTES, U, Words, binary, grams, slices, utf8
 
 MIN_WORDS, ANCHOR = 35, 8
 FILTER_BITS, HOT_BITS = 28, 24
-HOT_COUNT, SHARD_SEGMENTS = 10_000, 20_000
+HOT_COUNT, SHARD_SEGMENTS = 10_000, 10_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def grams_beside(words: Words, min_words: int, hot: Bitmap) -> np.ndarray:
 
 def _slices(batch: pa.RecordBatch):
     data, offsets = utf8(batch.column("text"))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SMALL_BYTES):
         yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 cuts.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             row = np.repeat(np.arange(batch.num_rows), lengths)
             texts, parts = [], {"n_words": [], "n_removed": [], "kept_sha256": []}
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SMALL_BYTES):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 own = np.flatnonzero((row >= i) & (row < j))
                 change = np.zeros(len(words) + 1, np.int64)
