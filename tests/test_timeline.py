@@ -69,3 +69,29 @@ def test_text_addresses_are_refused(spark):
     objects = spark.createDataFrame([("Pod", "p", ["10.0.0.1"])], "kind string, name string, ips array<string>")
     with pytest.raises(TypeError):
         enrich.ip_index(objects)
+
+
+def test_many_pods_of_one_node(spark):
+    """What a flow gets of an address doesn't grow with the pods on it, and the first of each port is among it."""
+    ip = packed("10.0.0.1")
+    ports = F.array(F.struct(F.lit("tcp").alias("protocol"), (F.col("id") % 3).cast("int").alias("port")), F.struct(F.lit(None).cast("string").alias("protocol"), F.lit(9).alias("port")))
+    pods = spark.range(100, 1000).select(F.lit("Pod").alias("kind"), F.lit("n").alias("namespace"), F.concat(F.lit("p"), "id").alias("name"), F.array(F.lit(ip)).alias("ips"), ports.alias("ports"))
+    intervals = enrich.timeline(enrich.ip_index(pods)).collect()
+    assert [[b.name for b in r.best] for r in intervals] == [["p100", "p101", "p102"]]
+    flows = spark.createDataFrame([(ip, packed("9.9.9.9"), 6, p, 1, 5) for p in (0, 1, 2, 9, 7)], "src_ip binary, dst_ip binary, proto int, src_port int, dst_port int, at long")
+    got = {r.src_port: r.src_name for r in enrich.decorate(flows, enrich.ip_index(pods), "at").collect()}
+    assert got == {0: "p102", 1: "p100", 2: "p101", 9: "p100", 7: "p100"}
+
+
+def test_addresses_of_one_object(spark):
+    """Objects alone on their addresses and others, in batches that end amid an address; equal to a sweep over all."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        objects = [("Pod", "n", f"p{i}", False, [packed(f"10.0.1.{i % 60 if i % 4 else i % 9}")], i % 5, 90 - 90 * (i % 7 == 0)) for i in range(100)]
+        moments = [(packed(f"10.0.1.{k}"), t) for k in range(60) for t in (0, 2, 4, 50, 90)]
+        flows = spark.createDataFrame(moments, "src_ip binary, at long")
+        known = enrich.histories(enrich.timeline(enrich.ip_index(spark.createDataFrame(objects, OBJECT))))
+        got = {(bytes(r.src_ip), r.at): r.src_name for r in enrich.attribute(flows, known, "src", "at").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(bytes(ip), t): owner(objects, ip, t) for ip, t in moments}
