@@ -16,8 +16,8 @@ What makes this linear is how content is dealt:
    segments count once there, and what differs at either end lies in a hot gram with the words beside it:
    n copies of a line have n / ``HOT_COUNT`` different ends of a length at most, on each side.
 3. In each shard an FM-index over the words of the segments gives the longest match at every end that no
-   longer match covers. Intervals go back to the places of their segments, and from there to the documents.
-   A task takes shard after shard and holds one at a time.
+   longer match covers. Intervals go back to the places of their segments, and from there to the documents:
+   in one row for each segment and document. A task takes shard after shard and holds one at a time.
 
 Defined results: a null text has no words; repeated rows count as further documents, so all their windows
 repeat; a null doc_id is a row like any other; texts under min_words words lose nothing; a very long text
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import Bitmap, bitmap
 from .fmindex import FMIndex
+from .places import OWN, beside, intervals, lists, own_intervals, single, together
 from .storage import extended, materialize
 from .text import SMALL_BYTES, U, Words, binary, grams, slices, utf8
 
@@ -147,7 +148,7 @@ def final_anchors(docs: DataFrame, min_words: int) -> tuple[DataFrame, Broadcast
 
 
 def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast | None, content: bool) -> DataFrame:
-    """Segments that may repeat: with their content, or else with the hash of it and where they are."""
+    """Segments that may repeat: with their content, or else with the hash of it and where they are in a document."""
 
     def task(batches):
         for batch in batches:
@@ -165,14 +166,15 @@ def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcas
                     digest = xxhash.xxh64_intdigest
                     hashes = np.fromiter((digest(whole[a:b], 42) for a, b in zip(begins.tolist(), ends.tolist())), np.uint64, len(starts))
                     document = np.searchsorted(words.first, starts, "right") - 1
-                    row = pa.array(document + i)
-                    out |= {"hash": pa.array(hashes.view(np.int64)), "id": batch.column("id").take(row), "text_hash": batch.column("text_hash").take(row)}
-                    out["at"] = pa.array((starts - words.first[document]).astype(np.int64))
+                    order, bounds = together(document, found.anchors[chosen], hashes)
+                    some, row = order[bounds[:-1]], pa.array(document[order[bounds[:-1]]] + i)
+                    out = {"anchor": out["anchor"].take(pa.array(some)), "hash": pa.array(hashes[some].view(np.int64)), "id": batch.column("id").take(row), "text_hash": batch.column("text_hash").take(row)}
+                    out["at"] = lists(bounds, pa.array((starts - words.first[document])[order].astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(out)
 
     if content:
         return docs.select("text").mapInArrow(task, "anchor long, content binary")
-    return docs.select("text", "id", "text_hash").mapInArrow(task, "anchor long, hash long, id long, text_hash long, at long")
+    return docs.select("text", "id", "text_hash").mapInArrow(task, "anchor long, hash long, id long, text_hash long, at array<long>")
 
 
 def matches(index: FMIndex, symbols: np.ndarray, first: np.ndarray, lanes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,12 +208,11 @@ def repeated_intervals(table: pa.Table, min_words: int) -> pa.RecordBatch:
     whole = np.flatnonzero(several & (words.counts >= min_words))
     of, low, high = matches(index, symbols, words.first, np.flatnonzero(~several), min_words)
     of, low, high = (np.concatenate(x) for x in ((of, whole), (low, words.first[whole]), (high, words.first[whole + 1])))
-    first, take = words.first[of], pa.array(of)
-    return pa.RecordBatch.from_pydict({"anchor": table.column("anchor").take(take).combine_chunks(), "hash": table.column("hash").take(take).combine_chunks(), "low": pa.array(low - first), "high": pa.array(high - first)})
+    return own_intervals(table, of, low - words.first[of], high - words.first[of])
 
 
-def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text_hash, low, high): word intervals to remove, in documents with columns text, id and text_hash."""
+def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, text_hash, at, own): of each segment of a document its places and the word intervals to remove there."""
     counts, hot = final_anchors(docs, min_words)
     repeated = docs.sparkSession.sparkContext.broadcast(bitmap(counts, "anchor", FILTER_BITS))
     most = F.least("n", F.lit(2 * HOT_COUNT))  # counted more often are only segments of hot grams, mostly equal
@@ -236,11 +237,13 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if held:
             yield repeated_intervals(pa.Table.from_batches(held), min_words)
 
-    found = sharded.mapInArrow(shards, "anchor long, hash long, low long, high long")
-    # A segment's intervals go as one row to its places, so the join makes no more rows than there are places.
-    own = found.groupBy("anchor", "hash").agg(F.collect_list(F.struct("low", "high")).alias("own"))
-    places = segments(docs, min_words, repeated, hot, False).join(own, ["anchor", "hash"])
-    return places.select("id", "text_hash", "at", F.inline("own")).select("id", "text_hash", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
+    found = sharded.mapInArrow(shards, f"anchor long, hash long, {OWN}")
+    return segments(docs, min_words, repeated, hot, False).join(found, ["anchor", "hash"]).select("id", "text_hash", "at", "own")
+
+
+def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, text_hash, low, high): word intervals to remove, in documents with columns text, id and text_hash."""
+    return single(repeated_places(docs, min_words))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -252,27 +255,21 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs, schema = extended(docs, "n_words long, n_removed long, kept_sha256 string")
     names = docs.columns
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
-    found = find_repeats(keyed.select("text", F.col("__id").alias("id"), F.col("__hash").alias("text_hash")), min_words)
-    found = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("low", "high")).alias("__cut"))
-    joined = keyed.join(found, ["__id", "__hash"], "left").select(*names, F.col("__cut.low").alias("__low"), F.col("__cut.high").alias("__high"))
+    found = repeated_places(keyed.select("text", F.col("__id").alias("id"), F.col("__hash").alias("text_hash")), min_words)
+    joined = beside(keyed, found)
 
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            cuts = []
-            for name in ("__low", "__high"):
-                column = batch.column(name)
-                lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-                cuts.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            row = np.repeat(np.arange(batch.num_rows), lengths)
+            row, low, high = intervals(batch)
             texts, parts = [], {"n_words": [], "n_removed": [], "kept_sha256": []}
             for i, j in slices(offsets, SMALL_BYTES):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 own = np.flatnonzero((row >= i) & (row < j))
                 change = np.zeros(len(words) + 1, np.int64)
                 first = words.first[row[own] - i]
-                np.add.at(change, first + cuts[0][own], 1)
-                np.add.at(change, first + cuts[1][own], -1)
+                np.add.at(change, first + low[own], 1)
+                np.add.at(change, first + high[own], -1)
                 kept = np.cumsum(change)[:-1] == 0
                 buffer, at = words.joined()
                 lengths = np.where(kept, np.diff(at), 0)
