@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from .storage import extended
+from .text import released
 
 LEAF_CHARACTERS, LEAF_BYTES, LEAF_IDS = 256, 96, 256
 #: A run of this many characters without a cut is encoded match by match.
@@ -143,6 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     docs, schema = extended(docs, "ids binary" + ", decoded binary" * decoded)
     names = docs.columns
 
+    @released
     def task(batches):
         coder = codec(path, pattern)
         for batch in batches:
@@ -159,6 +161,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of encoded and decoded: the bytes that ids stand for."""
     encoded, schema = extended(encoded, "decoded binary")
 
+    @released
     def task(batches):
         decoder = codec(path, pattern)
         for batch in batches:

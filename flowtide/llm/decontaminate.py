@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap
 from .storage import materialize
-from .text import LOWER, NOT_TERM, Words, gather, grams, slices, utf8
+from .text import LOWER, NOT_TERM, Words, gather, grams, released, slices, utf8
 
 MIN_TILE, COVERAGE = 5, 0.5
 FILTER_BITS = 26
@@ -89,6 +89,7 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, k: int = MIN_TILE) -> list[tu
 def seeds(rows: DataFrame, id_column: str, known: Broadcast | None) -> DataFrame:
     """id, text_hash, n (terms of the text), at and seed for all seeds, or for those that may be known."""
 
+    @released
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -122,6 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     of_doc = listed(mine.join(chosen, ["id", "text_hash"], "left_semi")).withColumnRenamed("id", "doc_id")
     both = pairs.join(of_item, ["item_id", "item_hash"]).join(of_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "item_id", "item_terms", "places", "item_places")
 
+    @released
     def task(batches):
         for batch in batches:
             found = []

@@ -42,7 +42,7 @@ from .bitmap import bitmap, flagged
 from .components import stars
 from .simhash import first_row, only_kept
 from .storage import materialize
-from .text import LOWER, SMALL_BYTES, U, Words, gather, grams, mix, slices, utf8
+from .text import LOWER, SMALL_BYTES, U, Words, gather, grams, mix, released, slices, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 LANES, DISTANCE, SEGMENT, CHAINS = 4, 52, 16, (1, 2, 4, 8)
@@ -97,6 +97,7 @@ FIELDS = [f"f{i}" for i in range(LANES)]
 def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
     """doc_id, text_hash, the least shingle hashes and the fingerprint's lanes of every row."""
 
+    @released
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -115,6 +116,7 @@ def with_company(distinct: DataFrame) -> DataFrame:
     counts = distinct.select(F.explode("low").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     marks = distinct.sparkSession.sparkContext.broadcast(bitmap(counts.filter("n > 1"), "hash", FILTER_BITS))
 
+    @released
     def task(batches):
         for batch in batches:
             column = batch.column("low")
@@ -146,6 +148,7 @@ def ring(turn: int) -> np.ndarray:
 def keys(distinct: DataFrame, bits: int, turns: int) -> DataFrame:
     """(key, uid): the first segment of every turn."""
 
+    @released
     def task(batches):
         orders = [ring(t)[:bits] for t in range(turns)]
         weights = U(1) << np.arange(bits, dtype=np.uint64)
@@ -163,6 +166,7 @@ def keys(distinct: DataFrame, bits: int, turns: int) -> DataFrame:
 def shared(keyed: DataFrame) -> DataFrame:
     """Only rows whose key another row has."""
 
+    @released
     def task(batches):
         pending = None  # the last row so far, and whether the one before it has its key
         for batch in batches:
@@ -239,6 +243,7 @@ def candidates(distinct: DataFrame, similarity: float, block_rows: int) -> DataF
     dealt = in_blocks(some, block_rows)
     dealt = dealt.join(distinct.select("uid", *FIELDS), "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
 
+    @released
     def task(batches):
         masks = {}
         group, held = None, []
@@ -280,6 +285,7 @@ def _linked(turn: int, held: list, masks: dict, bits: int) -> tuple[np.ndarray,
 def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
     """uid and the hashes of the distinct shingles of each text."""
 
+    @released
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -305,6 +311,7 @@ def first_hashes(sizes: np.ndarray, similarity: float) -> np.ndarray:
 def prefixes(docs: DataFrame, n_words: int, similarity: float, hot: Broadcast) -> DataFrame:
     """uid, size, first hashes and the parities' lanes of the shingle set of each text that has shingles."""
 
+    @released
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -344,6 +351,7 @@ def missed(docs: DataFrame, texts: DataFrame, n_words: int, similarity: float, b
     roots = firsts.select(F.explode("first").alias("hash"), "root").groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     marks = docs.sparkSession.sparkContext.broadcast(bitmap(roots.filter("a < b"), "hash", FILTER_BITS))
 
+    @released
     def chosen(batches):
         for batch in batches:
             column = batch.column("first")
@@ -356,6 +364,7 @@ def missed(docs: DataFrame, texts: DataFrame, n_words: int, similarity: float, b
     dealt = in_blocks(some, block_rows).join(firsts.select("uid", "size", "root", *FIELDS), "uid")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
 
+    @released
     def task(batches):
         group, held = None, []
         for batch in batches:

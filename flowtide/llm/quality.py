@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import extended
-from .text import Words, slices, utf8
+from .text import Words, released, slices, utf8
 from .training import first_by_hash, fold, labelled_texts, train
 
 MOST_POSITIVES, MOST_UNLABELLED = 4000, 6000
@@ -150,6 +150,7 @@ def score_quality(docs: DataFrame, model: bytes, threshold: float = THRESHOLD) -
     """All rows with the columns of docs, ``score`` and ``predicted``."""
     docs, schema = extended(docs, "score double, predicted int")
 
+    @released
     def task(batches):
         w = np.frombuffer(model)
         for batch in batches:

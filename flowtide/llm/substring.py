@@ -38,7 +38,7 @@ from .bitmap import Bitmap, bitmap
 from .fmindex import FMIndex
 from .places import OWN, beside, intervals, lists, own_intervals, single, together
 from .storage import extended, materialize
-from .text import SMALL_BYTES, U, Words, binary, grams, slices, utf8
+from .text import SMALL_BYTES, U, Words, binary, grams, released, slices, utf8
 
 MIN_WORDS, ANCHOR = 35, 8
 FILTER_BITS, HOT_BITS = 28, 24
@@ -117,6 +117,7 @@ def _slices(batch: pa.RecordBatch):
 def _counts(docs: DataFrame, hashes) -> DataFrame:
     """(anchor, n) of the hashes that a function gives for the words of each slice."""
 
+    @released
     def task(batches):
         for batch in batches:
             found = [hashes(words) for _, _, words in _slices(batch)]
@@ -150,6 +151,7 @@ def final_anchors(docs: DataFrame, min_words: int) -> tuple[DataFrame, Broadcast
 def segments(docs: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast | None, content: bool) -> DataFrame:
     """Segments that may repeat: with their content, or else with the hash of it and where they are in a document."""
 
+    @released
     def task(batches):
         for batch in batches:
             for i, j, words in _slices(batch):
@@ -222,6 +224,7 @@ def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # A task takes many shards, one after the other: as many tasks as the session shuffles into.
     sharded = sharded.repartition("shard").sortWithinPartitions("shard")
 
+    @released
     def shards(batches):
         held, last = [], None
         for batch in batches:
@@ -258,6 +261,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = repeated_places(keyed.select("text", F.col("__id").alias("id"), F.col("__hash").alias("text_hash")), min_words)
     joined = beside(keyed, found)
 
+    @released
     def task(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
