@@ -87,3 +87,15 @@ def test_pairs_spread(spark, monkeypatch):
         assert got.columns == columns
         sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == got.distinct().count() == 60_000 and max(sizes) <= 40_000
+
+
+def test_pairs_of_a_pod_at_a_time(spark):
+    """Pods and objects aren't expanded in one compiled loop, which makes all pairs of a block before it gives the first; kinds may be null."""
+    pods = spark.range(30).selectExpr("'n' AS namespace", "concat('p', id) AS name", "map('app', 'web') AS labels")
+    named = spark.range(24).selectExpr("'n' AS namespace", "nullif(concat('K', id % 3), 'K2') AS kind", "concat('s', nullif(id, 7)) AS name", "map('app', 'web') AS match_labels")
+    got = selectors.relations(pods, named)
+    rows = sorted((str(r.kind), r.name or "", r.pod) for r in got.collect())
+    assert rows == sorted((["K0", "K1", "None"][i % 3], f"s{i}" if i != 7 else "", f"p{p}") for i in range(24) for p in range(30))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    compiled = [line.split("Generate")[0].strip(" :+-") for line in plan.splitlines() if "Generate explode" in line or "Generate inline" in line][:2]
+    assert len(compiled) == 2 and "" in compiled
