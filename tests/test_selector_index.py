@@ -89,6 +89,14 @@ def test_pairs_spread(spark, monkeypatch):
         assert sum(sizes) == got.distinct().count() == 60_000 and max(sizes) <= 40_000
 
 
+def compiled_loops(done):
+    """In which compiled loops the plan of what was collected expands objects and pods; empty text: in none."""
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    loops = [line.split("Generate")[0].strip(" :+-") for line in plan.splitlines() if "Generate explode" in line or "Generate inline" in line][:2]
+    assert len(loops) == 2
+    return loops
+
+
 def test_pairs_of_a_pod_at_a_time(spark):
     """Pods and objects aren't expanded in one compiled loop, which makes all pairs of a block before it gives the first; kinds may be null."""
     pods = spark.range(30).selectExpr("'n' AS namespace", "concat('p', id) AS name", "map('app', 'web') AS labels")
@@ -96,6 +104,12 @@ def test_pairs_of_a_pod_at_a_time(spark):
     got = selectors.relations(pods, named)
     rows = sorted((str(r.kind), r.name or "", r.pod) for r in got.collect())
     assert rows == sorted((["K0", "K1", "None"][i % 3], f"s{i}" if i != 7 else "", f"p{p}") for i in range(24) for p in range(30))
-    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    compiled = [line.split("Generate")[0].strip(" :+-") for line in plan.splitlines() if "Generate explode" in line or "Generate inline" in line][:2]
-    assert len(compiled) == 2 and "" in compiled
+    assert "" in compiled_loops(got)
+
+
+def test_policies_of_a_pod_at_a_time(spark):
+    pods = spark.range(30).selectExpr("'n' AS namespace", "concat('p', id) AS name", "map('app', 'web') AS labels")
+    policies = spark.range(24).selectExpr("'n' AS namespace", "concat('s', nullif(id, 7)) AS name", f"CAST(NULL AS {selectors.SELECTOR}) AS pod_selector")
+    got = selectors.candidates(pods, policies)
+    assert sorted((r.policy or "", r.pod) for r in got.collect()) == sorted((f"s{i}" if i != 7 else "", f"p{p}") for i in range(24) for p in range(30))
+    assert "" in compiled_loops(got)
