@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide.operators import enrich, selectors
+from flowtide.plans import registry
 from flowtide.sources import inventory
 
 from .test_inventory import SELECTORS, packed
@@ -113,3 +114,9 @@ def test_policies_of_a_pod_at_a_time(spark):
     got = selectors.candidates(pods, policies)
     assert sorted((r.policy or "", r.pod) for r in got.collect()) == sorted((f"s{i}" if i != 7 else "", f"p{p}") for i in range(24) for p in range(30))
     assert "" in compiled_loops(got)
+
+
+def test_custom_objects_are_parsed_once(spark):
+    """The objects' text is parsed before the join, in all tasks, and not once for each time that relations reads them."""
+    plan = registry.QUERIES["custom_selectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.lower() and "variant" not in plan.lower()
