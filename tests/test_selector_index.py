@@ -120,3 +120,8 @@ def test_custom_objects_are_parsed_once(spark):
     """The objects' text is parsed before the join, in all tasks, and not once for each time that relations reads them."""
     plan = registry.QUERIES["custom_selectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parse_json" not in plan.lower() and "variant" not in plan.lower()
+
+
+def test_pods_of_services_one_at_a_time(spark):
+    got = registry.QUERIES["pod_services"](spark, "/root/testdata/sf0.001")
+    assert got.collect() and "" in compiled_loops(got)
